@@ -9,6 +9,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from topicmoments.config import MomentOptions
 from topicmoments.operators import likelihood
@@ -52,14 +53,18 @@ class TopicModel:
                                          max_iter, seed)
 
 
-def prepare(docs: DataFrame) -> DataFrame:
-    """Documents with their length, kept together by document for all later passes.
+def by_document(docs: DataFrame) -> DataFrame:
+    """Documents with their length, each in one partition.
 
     This one shuffle makes every later sum by document, and every join back to the documents,
-    free of shuffles. A lost executor's part is rebuilt from the source.
+    free of shuffles.
     """
-    kept = docs.select("doc_id", "term_id", "cnt").repartition("doc_id")
-    return with_length(kept).persist(StorageLevel.MEMORY_AND_DISK)
+    return with_length(docs.select("doc_id", "term_id", "cnt").repartition("doc_id"))
+
+
+def prepare(docs: DataFrame) -> DataFrame:
+    """The same, kept for all later passes. A lost executor's part is rebuilt from the source."""
+    return by_document(docs).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def term_table(prepared: DataFrame, n_docs: int | None = None, idf_lb: float = 1.0) -> TermTable:
@@ -107,6 +112,11 @@ def unwhiten(eigenvectors: DataFrame, eigenvalues: Sequence[float], factor: np.n
     return times_small(eigenvectors, ["term_id"], columns(eigenvectors), small)
 
 
+def order_topics(alpha: DataFrame) -> DataFrame:
+    """Number topics `(topic, alpha)` by descending weight: `(topic, alpha, place)`; one row per topic."""
+    return alpha.withColumn("place", F.row_number().over(W.orderBy(F.desc("alpha"), F.asc("topic"))) - 1)
+
+
 def long_topics(wide: DataFrame, vocab_size: int) -> DataFrame:
     """A tall table as `(vec_id, row, v)`, one vector per column, with every term present."""
     cols = columns(wide)
