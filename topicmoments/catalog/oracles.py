@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from topicmoments.catalog import queries as q
-from topicmoments.functions.words import PIECE, WORD
+from topicmoments.functions.words import (
+    DANDA, HIRAGANA, JOINER, KANA_MARKS, KANJI, KATAKANA, NUMBER_JOINER, WORD)
 from topicmoments.sources.stopwords import ENGLISH
 
 
+# The pieces of the word breaker in the SQL engine's dialect, which has neither class intersections
+# nor possessive steps.
+_FORMAT = r"[^\P{Cf}\x{AD}]"
+_MARK = rf"(?:[\p{{Mn}}\p{{Me}}]|{_FORMAT})"
+_LETTERS = rf"(?:(?:[^\P{{L}}{KANJI}{HIRAGANA}{KATAKANA}{KANA_MARKS}]|\p{{Mc}})+{_MARK}*)+"
+_DIGITS = rf"(?:\p{{N}}+{_MARK}*)+"
+_KANA = rf"[{HIRAGANA}][{HIRAGANA}{KANA_MARKS}]*|[{KATAKANA}][{KATAKANA}{KANA_MARKS}]*"
+PIECE = (rf"(?:\A{_FORMAT}+)?(?:{_LETTERS}(?:{JOINER}{_LETTERS})*|{_DIGITS}(?:{NUMBER_JOINER}{_DIGITS})*)+{DANDA}?"
+         rf"|[{KANJI}]+{_MARK}*|(?:{_KANA}|[{KANA_MARKS}]+(?:{_KANA})?){_MARK}*")
+
+
 def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -16,7 +16,7 @@ from topicmoments.config import JobConfig, MomentOptions
 from topicmoments.functions import special
 from topicmoments.operators import likelihood, matrix, moments, simplex, tensor, terms, weights
 from topicmoments.plans import evaluate, fit, job
-from topicmoments.runtime import work_path
+from topicmoments.runtime import cut, spread, work_path
 from topicmoments.sources import doc_tables, models, stopwords, text
 
 # Parameters shared with the SQL.
@@ -45,13 +45,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str, stop: bool = True) -> DataFrame:
-    return terms.tokenize(table(spark, sf, "documents"), stopwords.ENGLISH if stop else ())
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return terms.tokenize(texts, stopwords.ENGLISH if stop else ())
 
 
 def corpus(spark: SparkSession, sf: str, vocab_size: int = VOCAB, stop: bool = True) -> DataFrame:
     """The documents' counts of the most frequent words."""
     w = words(spark, sf, stop)
-    return terms.doc_term(w, terms.vocab_topk(terms.word_count(w), vocab_size))
+    return terms.doc_term(w, cut(terms.vocab_topk(terms.word_count(w), vocab_size)))
 
 
 def order_corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,9 +82,9 @@ def embedding_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_entries(spark, sf).toDF("vec_id", "row", "v")
 
 
-def language_model(spark: SparkSession, sf: str) -> DataFrame:
+def language_model(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
     """Word shares of each language: a topic model that follows from the tables."""
-    counts = corpus(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    counts = (corpus(spark, sf) if docs is None else docs).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     topic = F.expr("array_position(array('de', 'en', 'es', 'fr'), lang) - 1").cast("int")
     by_topic = counts.withColumn("topic", topic).groupBy("topic", "term_id").agg(F.sum("cnt").alias("n"))
     totals = by_topic.groupBy("topic").agg(F.sum("n").alias("total"))
@@ -360,25 +361,24 @@ def gaussian_matrix(spark, sf):
     return out.select("term_id", *[rounded(f"c{j}").alias(f"c{j}") for j in range(RANK)])
 
 
-def _fit_input(spark, sf):
-    docs = fit.by_document(corpus(spark, sf))
-    return docs.filter(F.col("len") >= 3), fit.term_table(docs, _n_docs(spark, sf))
-
-
-def _eigen_rows(vectors: DataFrame, values: np.ndarray) -> DataFrame:
+def _eigen(spark, sf, find: Callable) -> DataFrame:
+    """Eigenvectors and eigenvalues of the documents' second moment, one row per term and rank."""
+    docs = fit.prepare(corpus(spark, sf))
+    try:
+        sums = fit.term_table(docs, _n_docs(spark, sf))
+        vectors, values = find(docs.filter(F.col("len") >= 3), sums)
+    finally:
+        docs.unpersist()
     long = vectors.select("term_id", F.posexplode(F.array(*matrix.columns(vectors))).alias("rank", "weight"))
-    pairs = F.array(*[F.lit(float(v)) for v in values])
-    return long.withColumn("eigenvalue", F.element_at(pairs, F.col("rank") + 1))
+    return long.withColumn("eigenvalue", F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("rank") + 1))
 
 
 def topk_eigen_m2(spark, sf):
-    docs, sums = _fit_input(spark, sf)
-    return _eigen_rows(*moments.top_eigen(docs, sums, VOCAB, FIT_TOPICS, FIT_ALPHA0))
+    return _eigen(spark, sf, lambda docs, sums: moments.top_eigen(docs, sums, VOCAB, FIT_TOPICS, FIT_ALPHA0))
 
 
 def topk_eigen_exact(spark, sf):
-    docs, sums = _fit_input(spark, sf)
-    return _eigen_rows(*moments.top_eigen_exact(docs, sums, VOCAB, FIT_TOPICS, FIT_ALPHA0))
+    return _eigen(spark, sf, lambda docs, sums: moments.top_eigen_exact(docs, sums, VOCAB, FIT_TOPICS, FIT_ALPHA0))
 
 
 # --- matrices --------------------------------------------------------------------------------
@@ -516,27 +516,31 @@ def validate_model(spark, sf):
 
 
 def augment_topics(spark, sf):
-    m1_table = weights.first_moment(corpus(spark, sf), VOCAB)
-    out, _alpha = likelihood.add_background_topic(language_model(spark, sf), PRIOR, m1_table, VOCAB)
+    docs = corpus(spark, sf)
+    model = language_model(spark, sf, docs)
+    out, _alpha = likelihood.add_background_topic(model, PRIOR, weights.first_moment(docs, VOCAB), VOCAB)
     return out.withColumn("p", rounded("p", 12))
 
 
-def _smoothed(spark, sf):
-    return likelihood.smooth(language_model(spark, sf), range(len(PRIOR)), VOCAB, SMOOTHING)
+def _smoothed(spark, sf, docs):
+    return likelihood.smooth(language_model(spark, sf, docs), range(len(PRIOR)), VOCAB, SMOOTHING)
 
 
 def infer_topics(spark, sf):
-    out = likelihood.infer_topics(corpus(spark, sf), _smoothed(spark, sf), PRIOR, VOCAB, INFER_ITERATIONS, seed=3)
+    docs = corpus(spark, sf)
+    out = likelihood.infer_topics(docs, _smoothed(spark, sf, docs), PRIOR, VOCAB, INFER_ITERATIONS, seed=3)
     return out.withColumn("gamma", rounded("gamma", 6))
 
 
 def doc_bounds(spark, sf):
-    out = likelihood.doc_bounds(corpus(spark, sf), _smoothed(spark, sf), PRIOR, VOCAB, INFER_ITERATIONS, seed=3)
+    docs = corpus(spark, sf)
+    out = likelihood.doc_bounds(docs, _smoothed(spark, sf, docs), PRIOR, VOCAB, INFER_ITERATIONS, seed=3)
     return out.select("doc_id", rounded("bound", 5).alias("bound"), "skipped")
 
 
 def log_likelihood(spark, sf):
-    out = likelihood.log_likelihood(corpus(spark, sf), language_model(spark, sf), PRIOR, VOCAB, SMOOTHING,
+    docs = corpus(spark, sf)
+    out = likelihood.log_likelihood(docs, language_model(spark, sf, docs), PRIOR, VOCAB, SMOOTHING,
                                     INFER_ITERATIONS, seed=3)
     return out.select(rounded("log_likelihood", 3).alias("log_likelihood"), "skipped_tokens", "tokens")
 
@@ -574,7 +578,8 @@ def fit_moments(spark, sf):
 
 def fit_topics(spark, sf):
     """The flagship: learn topics from the documents and name their words."""
-    built = job.corpus_from_texts(table(spark, sf, "documents"), VOCAB, stopwords.ENGLISH)
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    built = job.corpus_from_texts(texts, VOCAB, stopwords.ENGLISH)
     model = fit.TopicMoments(FIT_TOPICS, FIT_ALPHA0).fit(built.docs, built.vocab_size, built.n_docs)
     alpha = F.element_at(F.array(*[F.lit(a) for a in model.alpha]), F.col("topic") + 1)
     return (model.topic_word.join(F.broadcast(built.vocab.select("term_id", "term")), "term_id")

@@ -7,12 +7,32 @@ from collections.abc import Collection
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The pieces that a word breaker cuts from a text, and the test that a piece is a
-# word of at least three letters. Letters joined by a dash, quote or dot form one piece, which then
-# fails the test, so "don't" and "state-of-the-art" are dropped whole. No look-around is used.
-PIECE = (r"""[\p{L}\p{N}_]*\p{L}(?:[\p{Pd}\x{AD}\x{2027}"'.]\p{L}(?:[\p{L}\p{N}_]*\p{L})?)*"""
-         r"""[\p{L}\p{N}_]*|[\p{N}_]+""")
-WORD = r"^\p{L}{3,}$"
+# The pieces into which a word breaker cuts a text, and the test that a piece is a word.
+# Letters joined by a dash, connector, quote or dot form one piece, and so do letters next to
+# digits; a piece that is not all letters is dropped whole ("don't", "state-of-the-art", "abc1").
+# Marks and format characters belong to the character before them. Ideographs, hiragana and katakana
+# form pieces of their own. A word has at least three UTF-16 units, so that two letters suffice
+# where one lies beyond the basic plane.
+KANJI = r"\x{3005}\x{4E00}-\x{9FA5}\x{F900}-\x{FA2D}"
+HIRAGANA = r"\x{3041}-\x{3094}\x{309D}\x{309E}"
+KATAKANA = r"\x{30A1}-\x{30FA}\x{30FD}\x{30FE}"
+KANA_MARKS = r"\x{3099}-\x{309C}\x{30FB}\x{30FC}"
+JOINER = r"""[\p{Pd}\p{Pc}\x{AD}\x{2027}"'.]"""
+NUMBER_JOINER = r"""["',.\x{66B}]"""
+DANDA = r"[\x{964}\x{965}]"
+WORD = r"^(?:\p{L}{3,}|\p{L}[\x{10000}-\x{10FFFF}]|[\x{10000}-\x{10FFFF}]\p{L})$"
+
+# The pattern in the dialect of Spark's expressions: no step ever has to be taken back, and plain
+# Latin letters are tested first.
+_CJK = KANJI + HIRAGANA + KATAKANA + KANA_MARKS
+_LETTERS = rf"[a-zA-Z[\p{{L}}\p{{Mc}}&&[^{_CJK}]]][a-zA-Z[\p{{L}}\p{{M}}\p{{Cf}}&&[^\x{{AD}}{_CJK}]]]*+"
+_DIGITS = r"\p{N}[\p{N}[\p{Mn}\p{Me}\p{Cf}&&[^\x{AD}]]]*+"
+_MARKS = r"[\p{Mn}\p{Me}\p{Cf}&&[^\x{AD}]]*+"
+_KANA = rf"[{HIRAGANA}][{HIRAGANA}{KANA_MARKS}]*+|[{KATAKANA}][{KATAKANA}{KANA_MARKS}]*+"
+PIECE = (rf"(?:\A[\p{{Cf}}&&[^\x{{AD}}]]++)?+"
+         rf"(?:{_LETTERS}(?:{JOINER}{_LETTERS})*+|{_DIGITS}(?:{NUMBER_JOINER}{_DIGITS})*+)++{DANDA}?+"
+         rf"|[{KANJI}]++{_MARKS}"
+         rf"|(?:{_KANA}|[{KANA_MARKS}]++(?:{_KANA})?+){_MARKS}")
 
 
 def pieces(text: Column) -> Column:

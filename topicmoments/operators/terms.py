@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from topicmoments.functions.words import is_word, pieces
+from topicmoments.functions.words import words as split_words
 from topicmoments.runtime import join_sized, with_dense_ids
 
 # A vocabulary of at most this many terms is numbered in one task; a larger one by ranges.
@@ -31,9 +31,7 @@ def assign_doc_ids(texts: DataFrame, order: Collection[str], id_col: str = "doc_
 def tokenize(texts: DataFrame, stopwords: Collection[str] = (), doc_id: str = "doc_id",
              text: str = "text") -> DataFrame:
     """One row per word of each text, lower case, letters only, at least three of them."""
-    return (texts.select(F.col(doc_id).alias("doc_id"), F.explode(pieces(F.col(text))).alias("term"))
-            .select("doc_id", F.lower("term").alias("term"))
-            .filter(is_word(F.col("term"), stopwords)))
+    return texts.select(F.col(doc_id).alias("doc_id"), F.explode(split_words(F.col(text), stopwords)).alias("term"))
 
 
 def remove_stopwords(words: DataFrame, stopwords: DataFrame, max_list: int = 10_000) -> DataFrame:
