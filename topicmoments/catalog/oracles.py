@@ -229,8 +229,9 @@ def _bounds() -> dict[str, str]:
     }
 
 
-def _gaussian(seed, key, j) -> str:
-    return f"sqrt(-2 * ln({_uniform(seed, key, j, 0)})) * cos(2 * pi() * {_uniform(seed, key, j, 1)})"
+def _gaussian(seed, key, j, key2=None) -> str:
+    keys = (key, j) if key2 is None else (key, key2, j)
+    return f"sqrt(-2 * ln({_uniform(seed, *keys, 0)})) * cos(2 * pi() * {_uniform(seed, *keys, 1)})"
 
 
 _SIMPLEX = {
@@ -281,6 +282,97 @@ def _orthonormal() -> dict[str, str]:
     return parts
 
 
+def _two_orthonormal(key: str, source: str, name: str) -> dict[str, str]:
+    """Two columns made orthonormal, the first kept in direction; the second step is done twice."""
+    parts = {f"{name}_u": f"SELECT {key}, c0 / (SELECT sqrt(sum(c0 * c0)) FROM {source}) AS c0, c1 FROM {source}"}
+    before = f"{name}_u"
+    for n in (1, 2):
+        parts[f"{name}_v{n}"] = f"SELECT {key}, c0, c1 - (SELECT sum(c0 * c1) FROM {before}) * c0 AS c1 FROM {before}"
+        before = f"{name}_v{n}"
+    parts[name] = f"SELECT {key}, c0, c1 / (SELECT sqrt(sum(c1 * c1)) FROM {before}) AS c1 FROM {before}"
+    return parts
+
+
+def _als() -> dict[str, str]:
+    """Rounds of least-squares updates for two components, for each start, and the best of them."""
+    parts: dict[str, str] = {}
+    for start in range(q.ALS_STARTS):
+        for m in "ijl":
+            parts[f"raw_{m}{start}"] = (f"SELECT {m}, " + ", ".join(f"{_gaussian(start, _text(m), c, key2=m)} AS c{c}" for c in (0, 1))
+                                        + f" FROM (SELECT DISTINCT {m} FROM cells)")
+            parts |= _two_orthonormal(m, f"raw_{m}{start}", f"f_{m}{start}_0")
+        now = {m: f"f_{m}{start}_0" for m in "ijl"}
+        for n in range(1, q.ALS_ROUNDS + 1):
+            for keep, mb, mc in ("ijl", "jli", "lij"):
+                b, c, out = now[mb], now[mc], f"f_{keep}{start}_{n}"
+                parts[f"{out}_s"] = (f"SELECT {keep}, sum(v * b.c0 * d.c0) AS r0, sum(v * b.c1 * d.c1) AS r1 FROM cells"
+                                     f" JOIN {b} b USING ({mb}) JOIN {c} d USING ({mc}) GROUP BY {keep}")
+                # columns have norm one, so only the product of the two cosines stands off the diagonal
+                parts[f"{out}_g"] = f"SELECT (SELECT sum(c0 * c1) FROM {b}) * (SELECT sum(c0 * c1) FROM {c}) AS g"
+                parts[f"{out}_t"] = (f"SELECT {keep}, (r0 - g * r1) / (1 - g * g) AS t0, (r1 - g * r0) / (1 - g * g) AS t1"
+                                     f" FROM {out}_s, {out}_g")
+                parts[f"{out}_n"] = f"SELECT sqrt(sum(t0 * t0)) AS n0, sqrt(sum(t1 * t1)) AS n1 FROM {out}_t"
+                parts[out] = f"SELECT {keep}, t0 / n0 AS c0, t1 / n1 AS c1 FROM {out}_t, {out}_n"
+                now[keep] = out
+        parts[f"loss_{start}"] = (
+            f"SELECT {start} AS start, any_value(n0) AS n0, any_value(n1) AS n1, sqrt(sum(power(coalesce(v, 0)"
+            f" - n0 * a.c0 * b.c0 * d.c0 - n1 * a.c1 * b.c1 * d.c1, 2))) AS loss FROM {now['i']} a CROSS JOIN {now['j']} b"
+            f" CROSS JOIN {now['l']} d CROSS JOIN {now['l']}_n LEFT JOIN cells ON cells.i = a.i AND cells.j = b.j AND cells.l = d.l")
+    last = q.ALS_ROUNDS
+    parts["losses"] = " UNION ALL ".join(f"SELECT * FROM loss_{s}" for s in range(q.ALS_STARTS))
+    parts["best"] = "SELECT * FROM losses ORDER BY loss, start LIMIT 1"
+    parts["found"] = " UNION ALL ".join(f"SELECT {s} AS start, * FROM f_i{s}_{last}" for s in range(q.ALS_STARTS))
+    return parts
+
+
+_F0 = f"CAST({q.FIT_ALPHA0} AS DOUBLE)"
+
+
+def _one_topic() -> dict[str, str]:
+    """The fit of one topic: two passes of subspace iteration, whitening, third moment, projection."""
+    def image(mat: str, name: str) -> dict[str, str]:
+        return {f"{name}_h": "SELECT " + ", ".join(f"sum(m1 * c{j}) AS h{j}" for j in (0, 1)) + f" FROM mean JOIN {mat} USING (term_id)",
+                f"{name}_e": ("SELECT t, " + ", ".join(f"sum(v * c{j}) AS e{j}" for j in (0, 1))
+                              + f" FROM pairs JOIN {mat} ON u = {mat}.term_id GROUP BY t"),
+                name: ("SELECT term_id, " + ", ".join(
+                    f"{_F0} * ({_F0} + 1) * e{j} / n - {_F0} * {_F0} * m1 * h{j} AS c{j}" for j in (0, 1))
+                    + f" FROM {name}_e JOIN mean ON t = term_id, {name}_h, size")}
+
+    h = f"({_F0} / ({_F0} + 2))"
+    return {
+        "size": "SELECT count(*)::DOUBLE AS n FROM lengths WHERE len >= 3",
+        "rows": ("SELECT doc_id, term_id, cnt, len, 1 / (len * (len - 1)) AS w2, 1 / (len * (len - 1) * (len - 2)) AS w3"
+                 " FROM docs JOIN lengths USING (doc_id) WHERE len >= 3"),
+        "mean": ("SELECT term_id, sum(cnt / len) / any_value(n) AS m1, sum(cnt * w2) AS s2, sum(cnt * w3) AS s1"
+                 " FROM rows, size GROUP BY term_id"),
+        "pairs": ("SELECT a.term_id AS t, b.term_id AS u, sum(a.cnt * b.cnt * a.w2) AS v FROM rows a JOIN rows b"
+                  " USING (doc_id) GROUP BY 1, 2 UNION ALL SELECT term_id, term_id, -sum(cnt * w2) FROM rows GROUP BY 1"),
+        "start": "SELECT term_id, " + ", ".join(f"{_gaussian(0, 'term_id', j)} AS c{j}" for j in (0, 1)) + " FROM mean",
+        **image("start", "image_1"),
+        **_two_orthonormal("term_id", "image_1", "basis"),
+        **image("basis", "image_2"),
+        "small": "SELECT sum(c0 * c0) AS a, sum(c0 * c1) AS b, sum(c1 * c1) AS c FROM image_2",
+        "root": "SELECT a, b, (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) AS square FROM small",
+        "eigen": ("SELECT term_id, (b * c0 + (square - a) * c1) / sqrt(b * b + power(square - a, 2)) AS u,"
+                  " sqrt(square) AS s FROM basis, root"),
+        "white": "SELECT term_id, u / (sqrt(s) + 1e-9) AS w FROM eigen",
+        "mean_w": "SELECT sum(m1 * w) AS q FROM mean JOIN white USING (term_id)",
+        "doc_p": ("SELECT doc_id, any_value(w2) AS w2, any_value(w3) AS w3, sum(cnt * w) AS p FROM rows JOIN white"
+                  " USING (term_id) GROUP BY doc_id"),
+        "term_z": "SELECT a.term_id, sum(a.w3 * cnt * p) AS z FROM rows a JOIN doc_p USING (doc_id) GROUP BY a.term_id",
+        "part_1": f"SELECT sum(w3 * p * p * p - w2 * {h} * 3 * p * p * q) AS v FROM doc_p, mean_w",
+        "part_2": (f"SELECT sum(3 * w * w * ({h} * s2 * q - z) + 2 * s1 * w * w * w) AS v FROM white JOIN mean"
+                   " USING (term_id) JOIN term_z USING (term_id), mean_w"),
+        "third": (f"SELECT ((part_1.v + part_2.v) / n + 2 * {_F0} * {_F0} / (({_F0} + 1) * ({_F0} + 2)) * q * q * q)"
+                  f" * {_F0} * ({_F0} + 1) * ({_F0} + 2) / 2 AS t FROM part_1, part_2, size, mean_w"),
+        "entry_v": ("SELECT term_id, coalesce(u, 0) * (SELECT any_value(sqrt(s)) FROM eigen) * (SELECT t FROM third) AS v"
+                    " FROM term_ids LEFT JOIN eigen USING (term_id)"),
+        "signed": ("SELECT 0 AS vec_id, term_id AS row, v FROM entry_v UNION ALL SELECT 1, term_id, -v FROM entry_v"),
+        "vectors": "SELECT vec_id, row, v - min(v) OVER (PARTITION BY vec_id) AS v FROM signed", **_SIMPLEX,
+        "chosen": "SELECT vec_id FROM theta ORDER BY theta, vec_id DESC LIMIT 1",
+    }
+
+
 _LINE_VECTOR = f"SELECT {_FLAG} AS comp, l_linenumber AS idx, avg({{m}}) AS v FROM lineitem GROUP BY 1, 2"
 
 ORACLES: dict[str, str] = {
@@ -384,6 +476,13 @@ ORACLES: dict[str, str] = {
     "cp_loss": statement(
         f"SELECT {r(f'sqrt(sum(power(coalesce(v, 0) - ({_MODEL}), 2)))')} AS loss FROM factor_i a CROSS JOIN factor_j b"
         " CROSS JOIN factor_l d LEFT JOIN cells ON cells.i = a.i AND cells.j = b.j AND cells.l = d.l"),
+    "cp_als": statement(f"SELECT i AS row, {r('c0', 6)} AS c0, {r('c1', 6)} AS c1, {r('n0', 6)} AS weight_0,"
+                        f" {r('n1', 6)} AS weight_1, {r('loss', 5)} AS loss FROM found JOIN best USING (start)", _als()),
+    "topk_eigen_one": statement(
+        f"SELECT term_id, {r('u * sign(sum(u) OVER ())')} AS weight, {r('s', 10)} AS eigenvalue FROM eigen", _one_topic()),
+    "fit_one_topic": statement(
+        f"SELECT row AS term_id, {r('greatest(v - theta, 0)')} AS p, {r('(SELECT power(t, -2) FROM third)', 6)} AS alpha"
+        " FROM vectors JOIN chosen USING (vec_id) JOIN theta USING (vec_id)", _one_topic()),
     "simplex_project": _PROJECT,
     "simplex_project_long": _PROJECT,
     "simplex_project_signed": _PROJECT_SIGNED,

@@ -32,6 +32,8 @@ FACTOR = ((0.8, 0.0, 0.6), (0.6, 0.0, -0.8), (0.0, 1.0, 0.0))
 PRIOR = (0.1, 0.2, 0.3, 0.4)
 SMOOTHING = 0.01
 INFER_ITERATIONS = 4
+ALS_ROUNDS = 3
+ALS_STARTS = 2
 FIT_TOPICS = 4
 FIT_ALPHA0 = 0.4
 
@@ -381,6 +383,19 @@ def topk_eigen_exact(spark, sf):
     return _eigen(spark, sf, lambda docs, sums: moments.top_eigen_exact(docs, sums, VOCAB, FIT_TOPICS, FIT_ALPHA0))
 
 
+def topk_eigen_one(spark, sf):
+    """The leading eigenvector, with its entries summing to a positive number."""
+    docs = fit.prepare(corpus(spark, sf))
+    try:
+        sums = fit.term_table(docs, _n_docs(spark, sf))
+        vectors, values = moments.top_eigen(docs.filter(F.col("len") >= 3), sums, VOCAB, 1, FIT_ALPHA0, q=0)
+    finally:
+        docs.unpersist()
+    sign = float(np.sign(matrix.sums(vectors, ["c0"])[0]))
+    return vectors.select("term_id", rounded(F.col("c0") * sign).alias("weight"),
+                          rounded(F.lit(float(values[0])), 10).alias("eigenvalue"))
+
+
 # --- matrices --------------------------------------------------------------------------------
 
 def gram(spark, sf):
@@ -470,10 +485,12 @@ def cp_loss(spark, sf):
 
 
 def cp_als(spark, sf):
-    a, _b, _c, values, loss = tensor.cp_als(line_tensor(spark, sf), 2, max_iter=4, tol=1e-4, restarts=2)
-    found = F.array(*[F.lit(float(v)) for v in values])
-    return a.select("row", *matrix.columns(a), found[0].alias("weight_0"), found[1].alias("weight_1"),
-                    F.lit(float(loss)).alias("loss"))
+    """Two components, from the better of two starts, after a fixed number of rounds."""
+    a, _b, _c, values, loss = tensor.cp_als(line_tensor(spark, sf), 2, max_iter=ALS_ROUNDS, tol=1e-15,
+                                            restarts=ALS_STARTS)
+    found = [rounded(F.lit(float(v)), 6) for v in values]
+    return a.select("row", rounded("c0", 6).alias("c0"), rounded("c1", 6).alias("c1"), found[0].alias("weight_0"),
+                    found[1].alias("weight_1"), rounded(F.lit(float(loss)), 5).alias("loss"))
 
 
 # --- simplex and recovery --------------------------------------------------------------------
@@ -586,6 +603,13 @@ def fit_topics(spark, sf):
             .select("topic", alpha.alias("alpha"), "term_id", "term", "p"))
 
 
+def fit_one_topic(spark, sf):
+    """The whole fit for one topic, which has no choice of start."""
+    model = fit.TopicMoments(1, FIT_ALPHA0, q=0).fit(corpus(spark, sf), VOCAB, _n_docs(spark, sf))
+    return model.topic_word.select("term_id", rounded("p").alias("p"),
+                                   rounded(F.lit(model.alpha[0]), 6).alias("alpha"))
+
+
 # --- evaluation ------------------------------------------------------------------------------
 
 def split_docs(spark, sf):
@@ -613,10 +637,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     vocab_stats, doc_term, doc_length, min_words_filter, valid_docs, term_distribution, token_total,
     corpus_summary, to_features, doc_freq, idf, low_idf_terms, filter_idf, m1,
     m2_exact, m2_project, m2_project_masked, whitening_matrix, whiten_docs, whiten_first_moment,
-    m3_first, m3_second, m3_third, m3_whitened, gaussian_matrix, topk_eigen_m2, topk_eigen_exact,
+    m3_first, m3_second, m3_third, m3_whitened, gaussian_matrix, topk_eigen_m2, topk_eigen_exact, topk_eigen_one,
     gram, gram_tall, orthonormalize, normalize_columns, frobenius_norm, condition_number, column_dots,
     rank_one_tensor, unfold_tensor, fold_tensor, khatri_rao, mttkrp, cp_loss, cp_als,
     simplex_project, simplex_project_long, simplex_project_signed, unwhiten, order_topics,
     smooth_beta, validate_model, augment_topics, infer_topics, doc_bounds, log_likelihood, multinomial_loglik,
-    log_gamma, dirichlet_expectation, log_sum_exp, fit_moments, fit_topics,
+    log_gamma, dirichlet_expectation, log_sum_exp, fit_moments, fit_topics, fit_one_topic,
     split_docs, heldout_perplexity, cv_log_perplexity)}
