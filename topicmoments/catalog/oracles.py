@@ -15,7 +15,8 @@ _MARK = rf"(?:[\p{{Mn}}\p{{Me}}]|{_FORMAT})"
 _LETTERS = rf"(?:(?:[^\P{{L}}{KANJI}{HIRAGANA}{KATAKANA}{KANA_MARKS}]|\p{{Mc}})+{_MARK}*)+"
 _DIGITS = rf"(?:\p{{N}}+{_MARK}*)+"
 _KANA = rf"[{HIRAGANA}][{HIRAGANA}{KANA_MARKS}]*|[{KATAKANA}][{KATAKANA}{KANA_MARKS}]*"
-PIECE = (rf"(?:\A{_FORMAT}+)?(?:{_LETTERS}(?:{JOINER}{_LETTERS})*|{_DIGITS}(?:{NUMBER_JOINER}{_DIGITS})*)+{DANDA}?"
+PIECE = (rf"(?:\A{_FORMAT}+)?(?:{_LETTERS}(?:{JOINER}{_FORMAT}*{_LETTERS})*"
+         rf"|{_DIGITS}(?:{NUMBER_JOINER}{_FORMAT}*{_DIGITS})*)+{DANDA}?"
          rf"|[{KANJI}]+{_MARK}*|(?:{_KANA}|[{KANA_MARKS}]+(?:{_KANA})?){_MARK}*")
 
 

@@ -29,8 +29,10 @@ _LETTERS = rf"[a-zA-Z[\p{{L}}\p{{Mc}}&&[^{_CJK}]]][a-zA-Z[\p{{L}}\p{{M}}\p{{Cf}}
 _DIGITS = r"\p{N}[\p{N}[\p{Mn}\p{Me}\p{Cf}&&[^\x{AD}]]]*+"
 _MARKS = r"[\p{Mn}\p{Me}\p{Cf}&&[^\x{AD}]]*+"
 _KANA = rf"[{HIRAGANA}][{HIRAGANA}{KANA_MARKS}]*+|[{KATAKANA}][{KATAKANA}{KANA_MARKS}]*+"
-PIECE = (rf"(?:\A[\p{{Cf}}&&[^\x{{AD}}]]++)?+"
-         rf"(?:{_LETTERS}(?:{JOINER}{_LETTERS})*+|{_DIGITS}(?:{NUMBER_JOINER}{_DIGITS})*+)++{DANDA}?+"
+_FORMAT = r"[\p{Cf}&&[^\x{AD}]]"
+PIECE = (rf"(?:\A{_FORMAT}++)?+"
+         rf"(?:{_LETTERS}(?:{JOINER}{_FORMAT}*+{_LETTERS})*+"
+         rf"|{_DIGITS}(?:{NUMBER_JOINER}{_FORMAT}*+{_DIGITS})*+)++{DANDA}?+"
          rf"|[{KANJI}]++{_MARKS}"
          rf"|(?:{_KANA}|[{KANA_MARKS}]++(?:{_KANA})?+){_MARKS}")
 

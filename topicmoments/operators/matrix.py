@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicmoments.functions.chance import gaussian
+from topicmoments.runtime import cut
 
 # Up to this many sums or products are one aggregate; beyond, tasks add them up on Arrow batches.
 MAX_EXPRESSIONS = 64
@@ -101,32 +102,39 @@ def times_small(mat: DataFrame, keep: Sequence[str], cols: Sequence[str], right:
     return mat.select(*keep, *cols).mapInPandas(multiply, schema)
 
 
-def orthonormal_step(products: np.ndarray) -> np.ndarray:
-    """The small matrix that makes columns with these products orthonormal.
+def orthonormal_step(products: np.ndarray) -> tuple[np.ndarray, bool]:
+    """A small matrix that makes columns with these products orthonormal, and whether it does so well.
 
-    The triangular factor of a QR with a positive diagonal; directions that vanish numerically make
-    that fail, and are then left out by way of the eigenvalues.
+    It is the triangular factor of a QR with a positive diagonal. Products of nearly dependent
+    columns are first moved away from zero; the result then only brings the columns closer to
+    orthonormal, and takes another round.
     """
     scale = 1.0 / np.sqrt(np.maximum(np.diag(products), np.finfo(float).tiny))
     scaled = products * scale[:, None] * scale[None, :]
-    values, vectors = np.linalg.eigh((scaled + scaled.T) / 2)
-    if values[0] > 1e-13 * values[-1]:
-        return scale[:, None] * np.linalg.inv(np.linalg.cholesky(scaled)).T
-    keep = values > 1e-13 * values[-1]
-    return scale[:, None] * vectors[:, keep] / np.sqrt(values[keep])
+    scaled = (scaled + scaled.T) / 2
+    values = np.linalg.eigvalsh(scaled)
+    good = values[0] > 1e-12 * values[-1]
+    if not good:
+        scaled = scaled + 1e-12 * values[-1] * np.eye(len(scaled))
+    return scale[:, None] * np.linalg.inv(np.linalg.cholesky(scaled)).T, bool(good)
 
 
 def orthonormalize(mat: DataFrame, key: str) -> DataFrame:
-    """Orthonormal columns with the same span: two rounds of products and a small triangular solve.
+    """Orthonormal columns with the same span, as a thin QR gives; vanishing directions are left out.
 
-    The second round removes what rounding left in the first. The table is read twice for its
-    products; nothing but the small products leaves the executors.
+    A round reads the table once for its products, and only these leave the executors. Each round's
+    table is written, since the next has to remove what rounding left in it.
     """
     cols = columns(mat)
-    first = orthonormal_step(gram_matrix(mat, cols))
-    once = times_small(mat, [key], cols, first)
-    second = orthonormal_step(gram_matrix(once, columns(once)))
-    return times_small(mat, [key], cols, first @ second)
+    step, good = orthonormal_step(gram_matrix(mat, cols))
+    for _ in range(1 if good else 2):
+        mat = cut(times_small(mat, [key], cols, step))
+        products = gram_matrix(mat, columns(mat))
+        # columns have norm one by now, but for directions that were only rounding
+        kept = np.diag(products) > 1e-8
+        cols = [c for c, k in zip(columns(mat), kept) if k]
+        step, _good = orthonormal_step(products[np.ix_(kept, kept)])
+    return times_small(mat, [key], cols, step)
 
 
 def normalize_columns(entries: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from topicmoments.operators.matrix import (
     COLUMN_BLOCK, MAX_EXPRESSIONS, column_sums, columns, gaussian_matrix, gram_matrix, number,
-    orthonormal_step, sums, times_small)
+    orthonormal_step, orthonormalize, sums, times_small)
 from topicmoments.runtime import cut, join_sized, row_bytes
 
 # Largest vocabulary for which the whole second moment is formed.
@@ -95,17 +95,20 @@ def top_eigen(docs: DataFrame, table: TermTable, vocab_size: int, k: int, alpha0
 
     Subspace iteration from a random start with 2q + 2 passes over the documents. Each pass writes
     one tall table, so the plan stays short and a lost executor costs one pass. The basis between
-    passes only has to span; the last one is made orthonormal to rounding on its small products.
+    passes only has to span; the last one is made orthonormal to rounding.
     """
     if vocab_size < k:
         raise ValueError(f"{vocab_size} terms cannot give {k} topics")
     width = k + min(vocab_size - k, k)
     basis, m1_basis = gaussian_matrix(table.terms, "term_id", width, seed), None
-    for _ in range(2 * q + 1):
+    for left in reversed(range(2 * q + 1)):
         image = cut(project_second_moment(docs, basis, table, alpha0, m1_basis))
+        if not left:
+            basis, m1_basis = orthonormalize(image.drop("m1"), "term_id"), None
+            break
         cols = columns(image)
         products = gram_matrix(image, ["m1", *cols])
-        step = orthonormal_step(products[1:, 1:])
+        step, _good = orthonormal_step(products[1:, 1:])
         basis, m1_basis = times_small(image, ["term_id"], cols, step), products[0, 1:] @ step
 
     basis = cut(basis)
@@ -116,7 +119,7 @@ def top_eigen(docs: DataFrame, table: TermTable, vocab_size: int, k: int, alpha0
     image = cut(project_second_moment(docs, basis, table, alpha0, m1_basis))
     both = basis.join(image.selectExpr("term_id", *[f"c{j} as y{j}" for j in range(r)]), "term_id")
     products = gram_matrix(both, [*cols, *[f"y{j}" for j in range(r)]])
-    polish = orthonormal_step(products[:r, :r])
+    polish, _good = orthonormal_step(products[:r, :r])
     squares, vectors = np.linalg.eigh(polish.T @ products[r:, r:] @ polish)
     order = np.argsort(-squares, kind="stable")[:k]
     values = np.sqrt(np.maximum(squares[order], 0.0))

@@ -32,13 +32,14 @@ def read_libsvm_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     to a whole number, is the document's id. Indices need not be sorted.
     """
     line = F.trim(F.translate("value", "\t\r", "  "))
-    items = (spark.read.text(_paths(paths)).select(line.alias("line"))
-             .filter((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
-             .select(F.filter(F.split("line", " "), lambda x: x != "").alias("items")))
+    is_data = (line != "") & ~F.startswith(line, F.lit("#"))
+    # skipped lines have no items, so that nothing in them is ever read as a number
+    parts = F.when(is_data, F.filter(F.split(line, " "), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    items = spark.read.text(_paths(paths)).select(parts.alias("items")).filter(F.size("items") > 0)
     entry = F.transform(F.slice("items", F.lit(2), F.size("items")),
                         lambda x: F.struct((F.split_part(x, F.lit(":"), F.lit(1)).cast("int") - 1).alias("term_id"),
                                            F.split_part(x, F.lit(":"), F.lit(2)).cast("double").alias("cnt")))
-    return items.select(F.col("items")[0].cast("double").cast("bigint").alias("doc_id"), entry.alias("entries"))
+    return items.select(F.get("items", F.lit(0)).cast("double").cast("bigint").alias("doc_id"), entry.alias("entries"))
 
 
 def read_libsvm(spark: SparkSession, paths: str | Sequence[str],
