@@ -150,3 +150,17 @@ def test_held_out_documents_score_better_than_one_distribution(spark):
     share = counts.sum(axis=0) / counts.sum()
     one = -(counts @ np.log(share)).sum() / counts.sum()
     assert rows["moments"] < one and rows["moments"] < rows["online variational"] + 0.05
+
+
+def test_multinomial_without_broadcast_is_equal(spark):
+    counts = np.random.default_rng(4).poisson(1.0, size=(30, 8)).astype(float)
+    docs = twins.doc_frame(spark, counts, 0)
+    p = spark.createDataFrame([(t, (t + 1) / 36) for t in range(7)], "term_id int, p double")
+    small = sorted(map(tuple, likelihood.multinomial_log_likelihood(docs, p).collect()))
+    spark.conf.set(runtime.BROADCAST_CONF, "0")
+    try:
+        large = sorted(map(tuple, likelihood.multinomial_log_likelihood(docs, p).collect()))
+    finally:
+        spark.conf.unset(runtime.BROADCAST_CONF)
+    assert [r[0] for r in small] == [r[0] for r in large]
+    assert np.allclose([r[1] for r in small], [r[1] for r in large]) and -math.inf in [r[1] for r in small]

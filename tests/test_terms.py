@@ -120,6 +120,11 @@ def test_idf_filter_zeroes_frequent_terms(spark):
     got = {(r["doc_id"], r["term_id"]): r["cnt"] for r in weights.filter_idf(docs, 3, 1.5).collect()}
     assert got == {(d, t): (0.0 if t == 2 else c) for d, t, c in IDF_CORPUS}
     assert weights.filter_idf(docs, 3, 1.0) is docs
+    spark.conf.set(runtime.BROADCAST_CONF, "0")
+    try:
+        assert {(r["doc_id"], r["term_id"]): r["cnt"] for r in weights.filter_idf(docs, 3, 1.5).collect()} == got
+    finally:
+        spark.conf.unset(runtime.BROADCAST_CONF)
 
 
 def test_stopwords_of_any_number(spark):

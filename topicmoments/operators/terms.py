@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from topicmoments.functions.words import words as split_words
-from topicmoments.runtime import join_sized, with_dense_ids
+from topicmoments.runtime import fits_broadcast, join_sized, table_bytes, with_dense_ids
 
 # A vocabulary of at most this many terms is numbered in one task; a larger one by ranges.
 ONE_TASK_VOCAB = 200_000
@@ -22,9 +22,12 @@ ONE_TASK_VOCAB = 200_000
 def assign_doc_ids(texts: DataFrame, order: Collection[str], id_col: str = "doc_id") -> DataFrame:
     """Number documents 0, 1, 2, ... by a unique key.
 
-    Only the key columns are sorted and numbered; the other columns join back on the key.
+    Only the key columns are sorted and numbered. The other columns join back on the key, and stay
+    where they are when the keys are few enough to broadcast.
     """
     keys = with_dense_ids(texts.select(*order), [F.col(c) for c in order], id_col)
+    if fits_broadcast(texts.sparkSession, table_bytes(keys)):
+        keys = F.broadcast(keys)
     return texts.join(keys, list(order))
 
 
@@ -37,15 +40,18 @@ def tokenize(texts: DataFrame, stopwords: Collection[str] = (), doc_id: str = "d
 def remove_stopwords(words: DataFrame, stopwords: DataFrame, max_list: int = 10_000) -> DataFrame:
     """Drop the words of a list held as a table.
 
-    A list of at most `max_list` words is tested in place; a longer one is an anti join on the
-    words, whose side Spark picks by size.
+    A list of at most `max_list` words is tested in place. A longer one is an anti join, broadcast
+    when it is proven small enough; else Spark splits the words that come too often.
     """
     known = [r["term"] for r in stopwords.select("term").distinct().limit(max_list + 1).collect()]
     if not known:
         return words
     if len(known) <= max_list:
         return words.filter(~F.col("term").isin(known))
-    return words.join(stopwords.select("term"), "term", "left_anti")
+    listed = stopwords.select("term").distinct()
+    if fits_broadcast(words.sparkSession, table_bytes(listed)):
+        listed = F.broadcast(listed)
+    return words.join(listed, "term", "left_anti")
 
 
 def word_count(words: DataFrame) -> DataFrame:
@@ -79,9 +85,8 @@ def doc_term(words: DataFrame, vocab: DataFrame) -> DataFrame:
     Words outside the vocabulary fall away before the shuffle, and each document's equal words are
     added up before it as well.
     """
-    size = vocab.agg(F.sum(F.octet_length("term") + F.lit(96))).first()[0] or 0
-    hits = join_sized(words, vocab.select("term", "term_id"), "term", size,
-                      "doc_id", vocab.select("term", "n"), "n")
+    ids = vocab.select("term", "term_id")
+    hits = join_sized(words, ids, "term", table_bytes(ids), "doc_id", vocab.select("term", "n"), "n")
     return (hits.groupBy("doc_id", "term_id")
             .agg(F.count("*").cast("double").alias("cnt")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicmoments.operators.terms import doc_length, with_length
+from topicmoments.runtime import join_sized, row_bytes
 
 # Fixed value: slack below the bound when a fit looks for low-IDF terms.
 IDF_SLACK = 1e-12
@@ -53,9 +54,8 @@ def filter_idf(docs: DataFrame, vocab_size: int, lower_bound: float, n_docs: int
     """Set the counts of terms below the bound to an explicit zero; a bound of 1 changes nothing."""
     if lower_bound <= 1.0 + IDF_SLACK:
         return docs
-    low = idf(docs, vocab_size, n_docs).filter(F.col("idf") < lower_bound).select("term_id")
-    # the flag table has one narrow row per masked term, and Spark picks the join by its size
-    flagged = docs.join(low.withColumn("low", F.lit(True)), "term_id", "left")
+    flags = idf(docs, vocab_size, n_docs).select("term_id", (F.col("idf") < lower_bound).alias("low"))
+    flagged = join_sized(docs, flags, "term_id", vocab_size * row_bytes(2), "doc_id", doc_freq(docs), "df")
     return flagged.select("doc_id", "term_id", F.when(F.col("low"), 0.0).otherwise(F.col("cnt")).alias("cnt"))
 
 

@@ -6,7 +6,6 @@ import time
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,11 +71,8 @@ def run_job(spark: SparkSession, cfg: JobConfig) -> tuple[Corpus, TopicModel]:
     started = time.monotonic()
     corpus = corpus_from_config(spark, cfg)
     kept = corpus.with_min_words(cfg.min_words)
-    docs = kept.docs.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = fit_corpus(Corpus(docs, kept.vocab, kept.vocab_size, kept.n_docs), cfg)
-    finally:
-        docs.unpersist()
+    # the fit keeps its own copy of the documents, so none is kept here
+    model = fit_corpus(kept, cfg)
     fitted = time.monotonic() - started
     n_docs = corpus.n_docs if corpus.n_docs is not None else corpus.docs.agg(F.count_distinct("doc_id")).first()[0]
     models.write_model(model.topic_word, model.alpha, cfg.alpha0, cfg.output_dir)

@@ -59,8 +59,8 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_CONF, str(BROADCAST_DEFAULT)))
 
 
-def fits_broadcast(spark: SparkSession, table_bytes: float) -> bool:
-    return table_bytes <= broadcast_limit(spark)
+def fits_broadcast(spark: SparkSession, size: float) -> bool:
+    return size <= broadcast_limit(spark)
 
 
 def row_bytes(n_columns: int) -> int:
@@ -68,6 +68,13 @@ def row_bytes(n_columns: int) -> int:
     return 64 + 8 * n_columns
 
 
+def table_bytes(table: DataFrame) -> float:
+    """Upper estimate of a table's size inside a broadcast hash table, from its actual values."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in table.dtypes),
+                F.lit(96))
+    return table.agg(F.sum(width)).first()[0] or 0
+
+
 def hot_keys(counts: DataFrame, key: str, count_col: str, parts: int) -> DataFrame:
     """Keys that hold more than one part in `parts` of all rows, and the copies each needs.
 
@@ -97,14 +104,14 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread_by: Column,
     return left.join(right, [key, "salt"]).drop("salt")
 
 
-def join_sized(rows: DataFrame, table: DataFrame, key: str, table_bytes: float, spread_by: str,
+def join_sized(rows: DataFrame, table: DataFrame, key: str, size: float, spread_by: str,
                counts: DataFrame, count_col: str) -> DataFrame:
     """Join a big side with a keyed table: broadcast when the table is proven small, else salted.
 
-    `counts` holds the number of big-side rows per key, and is only read on the second way.
+    `size` is an upper estimate of the table's bytes (see `row_bytes` and `table_bytes`). `counts` holds the number of big-side rows per key, and is only read on the second way.
     """
     spark = rows.sparkSession
-    if fits_broadcast(spark, table_bytes):
+    if fits_broadcast(spark, size):
         return rows.join(F.broadcast(table), key)
     hot = hot_keys(counts, key, count_col, shuffle_partitions(spark))
     return salted_join(rows, table, key, F.col(spread_by), hot)
