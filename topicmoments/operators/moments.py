@@ -63,7 +63,8 @@ def spread_to_terms(docs: DataFrame, projected: DataFrame, n_cols: int, weight:
     for lo in range(0, n_cols, COLUMN_BLOCK):
         block = range(lo, min(lo + COLUMN_BLOCK, n_cols))
         weighted = projected.selectExpr("doc_id", *[f"{weight} * p{j} as p{j}" for j in block])
-        joined = docs.select("doc_id", "term_id", "cnt").join(weighted, "doc_id")
+        # both sides lie together by document, and the documents are sorted already
+        joined = docs.select("doc_id", "term_id", "cnt").join(weighted.hint("merge"), "doc_id")
         totals = joined.groupBy("term_id").agg(*[F.expr(f"sum(cnt * p{j}) as z{j}") for j in block])
         parts = totals if parts is None else parts.join(totals, "term_id")
     return parts
