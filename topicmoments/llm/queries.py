@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from topicmoments.llm.bpe import encode_texts
 from topicmoments.llm.decontaminate import decontaminate
+from topicmoments.llm.near_dup import near_duplicates
 from topicmoments.llm.quality import quality_rules
 from topicmoments.llm.secrets import corpus_words, scan_secrets
 from topicmoments.llm.token_counts import count_tokens
+from topicmoments.llm.warc import capture_histories, sorted_runs, write_archives
+from topicmoments.runtime import work_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +33,10 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         joined_sha(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op2_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = encode_texts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined_sha(F.col("ids")).alias("ids_sha256"),
@@ -59,7 +66,14 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_path(spark, "archives")
+    write_archives(table(spark, folder, "pages"), path)
+    return capture_histories(sorted_runs(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op5_bpe, op6_secrets, op7_quality, op9_token_counts)}
+    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op5_bpe, op6_secrets, op7_quality, op9_token_counts, op10_warc)}
 
 ORACLES: dict[str, str] = {}
