@@ -14,6 +14,7 @@ from topicmoments.llm.near_dup import near_duplicates
 from topicmoments.llm.quality import quality_rules
 from topicmoments.llm.secrets import corpus_words, scan_secrets
 from topicmoments.llm.token_counts import count_tokens
+from topicmoments.llm.toxicity import score_toxicity
 from topicmoments.llm.warc import capture_histories, sorted_runs, write_archives
 from topicmoments.runtime import work_path
 
@@ -37,6 +38,10 @@ def op2_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = encode_texts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined_sha(F.col("ids")).alias("ids_sha256"),
@@ -74,6 +79,6 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op5_bpe, op6_secrets, op7_quality, op9_token_counts, op10_warc)}
+    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op4_toxicity, op5_bpe, op6_secrets, op7_quality, op9_token_counts, op10_warc)}
 
 ORACLES: dict[str, str] = {}
