@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topicmoments.llm.bpe import encode_texts
 from topicmoments.llm.decontaminate import decontaminate
+from topicmoments.llm.lines import dedupe_lines
 from topicmoments.llm.near_dup import near_duplicates
 from topicmoments.llm.quality import quality_rules
 from topicmoments.llm.secrets import corpus_words, scan_secrets
@@ -67,6 +68,11 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedupe_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", "n_near", "kept_in", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -79,6 +85,6 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op4_toxicity, op5_bpe, op6_secrets, op7_quality, op9_token_counts, op10_warc)}
+    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op4_toxicity, op5_bpe, op6_secrets, op7_quality, op8_line_dedup, op9_token_counts, op10_warc)}
 
 ORACLES: dict[str, str] = {}
