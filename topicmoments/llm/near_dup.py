@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicmoments.llm.buckets import bucket_links, fact
 from topicmoments.llm.common import join_measured, join_salted, lists, pieces, text_bytes, written
 from topicmoments.llm.components import components
 from topicmoments.llm.words import NOT_BLANK, SEED, WordReader, mixed, run_hashes
 
-#: Bands of a signature and numbers in a band. Each hash function gives two numbers, so a signature
-#: takes BANDS * ROWS / 2 functions. Of links at 0.85 about one in 10^8 shares no band.
-BANDS, ROWS = 32, 5
+#: Numbers in a band of a signature, and the share of links at the threshold that may meet in no band.
+#: Each hash function gives two numbers, so a signature takes half as many functions as numbers.
+ROWS, MISSED = 5, 1e-8
 #: Numbers that are hashed at a time.
 BLOCK = 1 << 15
 
@@ -112,6 +114,11 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     return packed.mapInArrow(run, "id long, p1 long, p2 long, shingles array<long>")
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Bands after which hardly a link at the threshold has met in none."""
+    return math.ceil(math.log(MISSED) / math.log1p(-min(percent / 100, 0.999) ** rows))
+
+
 def may_link(percent: int, n1: Column, s1: Column, n2: Column, s2: Column) -> Column:
     """Whether sets of n shingles, s of them shared with any other set, can be similar enough.
 
@@ -124,24 +131,26 @@ def may_link(percent: int, n1: Column, s1: Column, n2: Column, s2: Column) -> Co
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose whole sets are similar enough.
 
-    `a` is the hub, which may be in very many pairs: the sets of `b` are joined first, and the pairs of a
-    hub are dealt among tasks.
+    A hub may be in very many pairs: its pairs are dealt among tasks, each with a copy of its set.
     """
-    with_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b")
-    hubs = pairs.groupBy("a").agg(F.count("*").alias("w")).join(
-        sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = join_salted(with_b, hubs, ["a"], "w", F.col("b"), 10_000)
+    pairs = written(pairs, "pairs")
+    both = pairs
+    for end, other in (("a", "b"), ("b", "a")):
+        weights = pairs.groupBy(end).agg(F.count("*").alias("w"))
+        own = weights.join(sets.select(F.col("cid").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+        both = join_salted(both, own, [end], "w", F.col(other), 10_000)
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     return both.filter(100 * common >= percent * union).select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-            bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+            rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Sketches of all documents, and the classes of equal sets: (p1, p2, n, rep, copies, component).
 
     `rep` is the smallest id of the class and `component` the smallest id that its links reach.
     """
+    bands = bands_for(percent, rows)
     sketched = written(sketches(docs, id_col, text_col, size, bands, rows), "sketches")
     # copies become one class before anything is paired; the class number is read back, so it stays
     grouped = (sketched.filter("n > 0 and id is not null").groupBy("p1", "p2", "n")
@@ -153,7 +162,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     # whole sets of the classes that share a bucket at all
     wanted = members.select(F.col("rep").alias("id"), "p1", "p2", "cid").distinct()
-    chosen = join_measured(docs.withColumnRenamed(id_col, "id").select("id", F.col(text_col).alias("text")),
+    chosen = join_measured(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")),
                            wanted.select("id").distinct(), ["id"], "left_semi", 60)
     sets = written(sets_of(chosen, "id", "text", size).join(wanted, ["id", "p1", "p2"])
                    .select("cid", "shingles"), "sets")
@@ -163,33 +172,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
              .groupBy("cid").agg(F.count("*").alias("alone")))
     able = (members.join(alone, "cid", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
             .filter(100 * F.col("s") >= percent * F.col("n")).select("key", "cid", "n", "s"))
-    able = written(able, "able")
-
-    # first every member with its bucket's hub, the class with the largest part of shared shingles
-    hub = able.groupBy("key").agg(F.max_by(F.struct("cid", "n", "s"), F.struct(F.col("s") / F.col("n"), -F.col("cid"))).alias("hub"),
-                                  F.count("*").alias("size")).filter("size > 1")
-    hub = written(hub, "hubs")
-    met = join_salted(able, hub, ["key"], "size", F.col("cid"), 120).filter("hub is not null")
-    star = (met.filter(F.col("hub.cid") != F.col("cid"))
-            .filter(may_link(percent, F.col("n"), F.col("s"), F.col("hub.n"), F.col("hub.s")))
-            .select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct())
-    links = written(confirmed(star, sets, percent), "links")
-
-    # then what the hubs left apart: in a bucket with several components, every member that is not in
-    # the bucket's largest one meets the members of other components
+    able = written(able.withColumnRenamed("cid", "id"), "able")
+    best = F.struct(F.col("s") / F.col("n"), -F.col("id"))  # the class with the largest part of shared shingles
+    links = bucket_links(able, ["n", "s"], best, lambda x, y: may_link(percent, fact(x, "n"), fact(x, "s"), fact(y, "n"), fact(y, "s")),
+                         lambda pairs: confirmed(pairs, sets, percent))
     roots = components(links)
-    labelled = written(met.select("key", "cid", "n", "s").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
-                       .withColumn("root", F.coalesce("root", "cid")), "labelled")
-    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("many"))
-    mixed_buckets = parts.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    open_members = written(join_measured(labelled, mixed_buckets.select("key", "main"), ["key"], "inner", 80), "open")
-    x, y = open_members.filter("root != main").alias("x"), open_members.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-                   & may_link(percent, F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s")))
-            .select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct())
-    more = written(confirmed(rest.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"),
-                             sets, percent), "more-links")
-    roots = components(links.unionByName(more))
     least = roots.join(reps.select(F.col("cid").alias("id"), "rep"), "id")
     least = least.join(least.groupBy("root").agg(F.min("rep").alias("component")), "root").select(F.col("id").alias("cid"), "component")
     found = reps.drop("keys").join(least, "cid", "left").withColumn("component", F.coalesce("component", "rep")).drop("cid")
@@ -197,7 +184,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    rows: int = ROWS) -> DataFrame:
     """The component of every document under links of similar shingle sets: id, n_shingles,
     component_id, kept.
 
@@ -214,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that share an id have the component of their text. A row without an id is linked with nothing,
     has no component_id and is kept. Other columns are not read.
     """
-    sketched, found = classes(docs, id_col, text_col, size, percent, bands, rows)
+    sketched, found = classes(docs, id_col, text_col, size, percent, rows)
     grouped = found.filter("copies > 1 or component != rep").select("p1", "p2", "n", "copies", "component")
     rows_ = sketched.select("id", "n", "p1", "p2", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.lit(True)).alias("linked"))
     joined = join_salted(rows_, grouped, ["p1", "p2", "n"], "copies", F.col("id"), 120)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topicmoments.llm.bpe import encode_texts
 from topicmoments.llm.decontaminate import decontaminate
+from topicmoments.llm.language import identify_languages
 from topicmoments.llm.lines import dedupe_lines
 from topicmoments.llm.near_dup import near_duplicates
 from topicmoments.llm.quality import quality_rules
@@ -39,6 +40,10 @@ def op2_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_languages(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -85,6 +90,6 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op4_toxicity, op5_bpe, op6_secrets, op7_quality, op8_line_dedup, op9_token_counts, op10_warc)}
+    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_language_id, op4_toxicity, op5_bpe, op6_secrets, op7_quality, op8_line_dedup, op9_token_counts, op10_warc)}
 
 ORACLES: dict[str, str] = {}
