@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicmoments.llm.common import flat, pieces, scan_texts
+from topicmoments.llm.common import flat, pieces, scan_texts, written
 
 # fixed values: the base patterns, and the least length of a match (or of its value)
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -166,7 +166,15 @@ def corpus_words(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY
                     counts.clear()
         yield out()
 
-    counted = packed.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = written(packed.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the least power of two that so many words reach: else every task would send `size` words to the driver
+    steps = counted.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    least, words = 0, 0
+    for row in steps:
+        least, words = row["step"], words + row["words"]
+        if words >= size:
+            break
+    counted = counted.filter(F.col("n") >= 1 << least)
     return {r["word"]: i for i, r in enumerate(counted.orderBy(F.desc("n"), "word").limit(size).collect(), 1)}
 
 
