@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,34 +11,52 @@ from topicmoments.llm.common import join_measured, join_salted, written
 from topicmoments.llm.components import components
 
 
-def bucket_links(members: DataFrame, facts: Sequence[str], best: Column, may: Callable[[str, str], Column],
-                 verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a, b) that connect whatever links within buckets connect.
+def bucket_links(members: DataFrame, facts: Sequence[str], best: Column, measure: Callable[[DataFrame], DataFrame],
+                 may: Callable[[str, str], Column], may_star: Callable[[str, str], Column] | None = None,
+                 with_hub: Mapping[str, Column] | None = None, bounds: Mapping[str, Column] | None = None,
+                 reach: Column | None = None) -> DataFrame:
+    """Links (a, b) that connect whatever links within buckets connect.
 
-    `members` holds (key, id, *facts), a member once in a bucket, and is read several times. First
-    every member meets its bucket's hub, the member with the greatest `best`. Links that verify
-    make components. Then only buckets that still hold several components are looked at: members
-    outside a bucket's largest component meet the members of other components. Pairs within one
-    component need no look, as they are connected already, so the components of the result are those
-    of all links. `may(x, y)` is a necessary condition on the facts of two aliases, applied inside the joins.
+    `members` holds (key, id, *facts), a member once in a bucket, and is read several times.
+    `measure` adds `linked` to pairs (a, b), and the columns of `with_hub` if there are any. First every member
+    meets its bucket's hub, the member with the greatest `best`. Their links make components. Then
+    only buckets that still hold several components are looked at: members outside a bucket's largest
+    component meet the members of other components. Pairs within one component are connected
+    already, so the components of the result are those of all links.
+
+    Necessary conditions keep pairs out early, without losing a link: `may_star(x, y)` and `may(x, y)` on
+    the facts of two aliases, the latter also on what was measured with the bucket's hub (`with_hub`
+    names these columns and gives the hub's own values); `reach` on one member and the aggregates `bounds` of
+    its bucket says whether it can have any link there.
     """
+    with_hub = with_hub or {}
     hubs = written(members.groupBy("key").agg(F.max_by(F.struct("id", *facts), best).alias("hub"), F.count("*").alias("size"))
                    .filter("size > 1"), "hubs")
     met = join_salted(members, hubs, ["key"], "size", F.col("id"), 200).filter("hub is not null")
-    star = written(met.filter((F.col("hub.id") != F.col("id")) & may("hub", ""))
-                   .select(F.greatest("hub.id", "id").alias("a"), F.least("hub.id", "id").alias("b")).distinct(), "star")
-    links = written(verify(star), "links")
+    met = met.select("*", F.greatest("hub.id", "id").alias("a"), F.least("hub.id", "id").alias("b"))
+    star = met.filter("a != b")
+    if may_star is not None:
+        star = star.filter(may_star("hub", ""))
+    measured = written(measure(written(star.select("a", "b").distinct(), "star")), "measured")
+    links = measured.filter("linked").select("a", "b")
     roots = components(links).select("id", "root")
-    labelled = written(met.select("key", "id", *facts).join(roots, "id", "left")
-                       .withColumn("root", F.coalesce("root", "id")), "labelled")
+    labelled = met.select("key", "id", "a", "b", *facts).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if with_hub:
+        labelled = labelled.join(measured.select("a", "b", *with_hub), ["a", "b"], "left")
+        labelled = labelled.withColumns({c: F.coalesce(c, own) for c, own in with_hub.items()})
+    labelled = written(labelled.drop("a", "b"), "labelled")
     parts = labelled.groupBy("key", "root").agg(F.count("*").alias("many"))
     mixed = (parts.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
              .filter("roots > 1").select("key", "main"))
-    still = written(join_measured(labelled, mixed, ["key"], "inner", 80), "open")
-    x, y = still.filter("root != main").alias("x"), still.alias("y")
+    if bounds:
+        mixed = mixed.join(labelled.groupBy("key").agg(*[c.alias(name) for name, c in bounds.items()]), "key")
+    still = written(join_measured(labelled, written(mixed, "mixed"), ["key"], "inner", 120), "open")
+    x, y = still.filter("root != main"), still.alias("y")
+    x = (x if reach is None else x.filter(reach)).alias("x")
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & may("x", "y"))
             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
-    return links.unionByName(written(verify(rest.join(star, ["a", "b"], "left_anti")), "more-links"))
+    more = measure(written(rest.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "rest"))
+    return links.unionByName(written(more.filter("linked").select("a", "b"), "more-links"))
 
 
 def fact(alias: str, name: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from topicmoments.runtime import checkpoint_root, shuffle_partitions, work_path
 
 #: Bytes of text that a task works on at a time; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Bytes of a table that may be broadcast.
 BROADCAST_BYTES = 24 << 20
 

@@ -109,12 +109,13 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, edits: int, min_char
         moved = sum((F.abs(fact(x, n) - fact(y, n)) for n in names[1:]), F.lit(0))
         return (F.abs(fact(x, "size") - fact(y, "size")) <= edits) & (moved <= 2 * edits)
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def measure(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
         b = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-        return pairs.join(a, "a").join(b, "b").filter(within_edits(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+        near = within_edits(F.col("line_a"), F.col("line_b"), edits)
+        return pairs.join(a, "a").join(b, "b").select("a", "b", near.alias("linked"))
 
-    return bucket_links(rows, names, -F.col("id"), may, verify)
+    return bucket_links(rows, names, -F.col("id"), measure, may, may_star=may)
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:

@@ -119,29 +119,25 @@ def bands_for(percent: int, rows: int = ROWS) -> int:
     return math.ceil(math.log(MISSED) / math.log1p(-min(percent / 100, 0.999) ** rows))
 
 
-def may_link(percent: int, n1: Column, s1: Column, n2: Column, s2: Column) -> Column:
-    """Whether sets of n shingles, s of them shared with any other set, can be similar enough.
-
-    What they have in common is at most the lesser s and the lesser n.
-    """
-    common = F.least(s1, s2, n1, n2)
+def may_link(percent: int, n1: Column, n2: Column, common: Column) -> Column:
+    """Whether sets of n1 and n2 shingles with at most `common` in common can be similar enough."""
+    common = F.least(common, n1, n2)
     return 100 * common >= percent * (n1 + n2 - common)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose whole sets are similar enough.
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common, linked) of pairs of class ids: what their whole sets have in common, and whether that links them.
 
     A hub may be in very many pairs: its pairs are dealt among tasks, each with a copy of its set.
     """
-    pairs = written(pairs, "pairs")
     both = pairs
     for end, other in (("a", "b"), ("b", "a")):
         weights = pairs.groupBy(end).agg(F.count("*").alias("w"))
         own = weights.join(sets.select(F.col("cid").alias(end), F.col("shingles").alias(f"set_{end}")), end)
         both = join_salted(both, own, [end], "w", F.col(other), 10_000)
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.filter(100 * common >= percent * union).select("a", "b")
+    both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
+    union = F.size("set_a") + F.size("set_b") - F.col("common")
+    return both.select("a", "b", "common", (100 * F.col("common") >= percent * union).alias("linked"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
@@ -174,8 +170,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             .filter(100 * F.col("s") >= percent * F.col("n")).select("key", "cid", "n", "s"))
     able = written(able.withColumnRenamed("cid", "id"), "able")
     best = F.struct(F.col("s") / F.col("n"), -F.col("id"))  # the class with the largest part of shared shingles
-    links = bucket_links(able, ["n", "s"], best, lambda x, y: may_link(percent, fact(x, "n"), fact(x, "s"), fact(y, "n"), fact(y, "s")),
-                         lambda pairs: confirmed(pairs, sets, percent))
+
+    def may(x: str, y: str) -> Column:
+        """Two sets share at most what the lesser shares with the hub, and of the rest what others have, too."""
+        inside = F.least(fact(x, "common"), fact(y, "common"))
+        outside = F.least(fact(x, "s") - fact(x, "common"), fact(y, "s") - fact(y, "common"))
+        return may_link(percent, fact(x, "n"), fact(y, "n"), inside + outside)
+
+    most = F.col("common") + F.least(F.col("s") - F.col("common"), F.col("most_outside"))
+    links = bucket_links(able, ["n", "s"], best, lambda pairs: compared(pairs, sets, percent), may,
+                         with_hub={"common": F.col("n")},
+                         bounds={"least_n": F.min("n"), "most_outside": F.max(F.col("s") - F.col("common"))},
+                         reach=may_link(percent, F.col("n"), F.greatest("least_n", most), most))
     roots = components(links)
     least = roots.join(reps.select(F.col("cid").alias("id"), "rep"), "id")
     least = least.join(least.groupBy("root").agg(F.min("rep").alias("component")), "root").select(F.col("id").alias("cid"), "component")
@@ -193,8 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets are one class. Candidates are classes that share a band of a min-max signature: each hash
     function gives the least and the greatest hash of a set, both unbiased, so half the functions are
     enough. In a bucket members meet its hub, and after that only members that links have not joined
-    yet; sizes and the number of shingles that a set shares with any other bound what two sets can
-    have in common. Links are confirmed on whole sets. component_id is the smallest id reachable;
+    yet; sizes, what sets have in common with the hub, and the number of shingles that any other set has, too,
+    bound what two sets can have in common. Links are confirmed on whole sets. component_id is the smallest id reachable;
     kept says whether the document has that id itself.
 
     Null and empty texts have no shingles and are linked with nothing. Equal rows stay as many; rows
