@@ -13,7 +13,8 @@ def spark(tmp_path_factory):
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "8g"))
+               .config("spark.driver.memory", "8g")
+               .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}"))
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -146,3 +146,17 @@ def test_small_decomposition_runs_every_restart(spark):
     assert np.allclose(np.abs(factor.T @ q).max(axis=0), 1.0, atol=1e-4)
     again = tensor.decompose_small(spark, t, restarts=5, tol=1e-12)
     assert np.array_equal(again[0], factor)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_no_vector_goes_missing(spark, limit):
+    rows = [(0, i, 1e17) for i in range(2)] + [(1, i, 0.5) for i in range(3)]
+    found = simplex.project(spark.createDataFrame(rows, "vec_id int, row int, v double"), limit).collect()
+    assert sorted((r["vec_id"], r["row"]) for r in found) == [(v, i) for v, i, _ in rows]
+    assert all(abs(r["v"] - 1 / 3) < 1e-12 for r in found if r["vec_id"] == 1)
+
+
+def test_entries_of_a_vector_are_not_gathered(spark):
+    vectors = spark.range(2000).selectExpr("cast(id % 2 as int) as vec_id", "cast(id as int) as row", "rand(1) as v")
+    plan = simplex.project(vectors, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

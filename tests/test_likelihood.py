@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import twins
 from topicmoments import TopicModel, runtime
 from topicmoments.functions import special
+from topicmoments.functions.chance import gamma_integer
 from topicmoments.operators import likelihood
 from topicmoments.plans import evaluate
 
@@ -40,7 +41,7 @@ def test_multinomial_log_likelihood(spark):
     docs = twins.doc_frame(spark, np.array([[20, 50, 30], [40, 40, 20]]), 1)
     p = spark.createDataFrame([(0, .2), (1, .5), (2, .3)], "term_id int, p double")
     got = {r["doc_id"]: r["log_likelihood"] for r in likelihood.multinomial_log_likelihood(docs, p).collect()}
-    assert [got[1], got[2]] == pytest.approx([-4.697546, -15.42038], abs=1e-5)
+    assert [got[1], got[2]] == pytest.approx([-4.6975456, -15.4203801], abs=1e-6)
     zero = spark.createDataFrame([(9, 0, 2.0), (9, 1, 0.0)], twins.SCHEMA)
     q = spark.createDataFrame([(0, 1.0), (1, 0.0)], "term_id int, p double")
     assert likelihood.multinomial_log_likelihood(zero, q).first()["log_likelihood"] == pytest.approx(0.0, abs=1e-12)
@@ -74,7 +75,7 @@ def test_inference_and_bound_equal_the_definition(spark, limit):
     counts = rng.poisson(0.6, size=(40, 30)).astype(float)
     docs, words = twins.doc_frame(spark, counts, 0), topic_frame(spark, beta)
     starts = docs.select("doc_id").distinct().selectExpr(
-        "doc_id", *[f"{likelihood.gamma_integer(5, 1, 'doc_id', k)} as g{k}" for k in range(3)])
+        "doc_id", *[f"{gamma_integer(5, 1, 'doc_id', k)} as g{k}" for k in range(3)])
     start = {r["doc_id"]: np.array([r["g0"], r["g1"], r["g2"]]) for r in starts.collect()}
     if limit is not None:
         spark.conf.set(runtime.BROADCAST_CONF, limit)
@@ -94,7 +95,7 @@ def test_inference_and_bound_equal_the_definition(spark, limit):
 
 def test_gamma_starts_have_mean_one(spark):
     for shape in (1, 4):
-        row = spark.range(20000).selectExpr(f"{likelihood.gamma_integer(1, shape, 'id', 0)} as g").selectExpr(
+        row = spark.range(20000).selectExpr(f"{gamma_integer(1, shape, 'id', 0)} as g").selectExpr(
             "avg(g) as m", "var_samp(g) as v").first()
         assert row["m"] == pytest.approx(1.0, abs=0.03) and row["v"] == pytest.approx(1 / shape, rel=0.1)
 
@@ -164,3 +165,23 @@ def test_multinomial_without_broadcast_is_equal(spark):
         spark.conf.unset(runtime.BROADCAST_CONF)
     assert [r[0] for r in small] == [r[0] for r in large]
     assert np.allclose([r[1] for r in small], [r[1] for r in large]) and -math.inf in [r[1] for r in small]
+
+
+def test_negative_counts_are_refused(spark):
+    p = spark.createDataFrame([(0, 0.5), (1, 0.5)], "term_id int, p double")
+    with pytest.raises(Exception, match="negative"):
+        likelihood.multinomial_log_likelihood(spark.createDataFrame([(1, 0, -1.0)], twins.SCHEMA), p).collect()
+
+
+def test_smoothed_topics_must_sum_to_one(spark):
+    docs = spark.createDataFrame([(1, 0, 2.0)], twins.SCHEMA)
+    words = spark.createDataFrame([(0, 0, 0.6), (0, 1, 0.3)], "topic int, term_id int, p double")
+    with pytest.raises(ValueError, match="sum to one"):
+        likelihood.log_likelihood(docs, words, [1.0], 2, 0.01, 5)
+
+
+def test_gamma_starts_in_a_task_are_those_of_the_expression(spark):
+    from topicmoments.functions.chance import gamma_integer, gamma_integer_np
+
+    rows = spark.range(20).selectExpr("id", f"{gamma_integer(3, 2, 'id', 1)} as g").collect()
+    assert all(abs(r["g"] - gamma_integer_np(3, 2, r["id"], 1)) < 1e-12 for r in rows)

@@ -13,7 +13,9 @@ def test_libsvm_lines(spark, tmp_path):
     path.write_text("# a comment\n\n  7.0 1:2 4:0.5 \n8 3:1  2:6\n   \n9\n#9 1:1\n")
     docs, vocab, size, n_docs = doc_tables.read_libsvm(spark, str(path))
     assert {(r["doc_id"], r["term_id"]): r["cnt"] for r in docs.collect()} == {
-        (7, 0): 2.0, (7, 3): 0.5, (8, 2): 1.0, (8, 1): 6.0}
+        (0, 0): 2.0, (0, 3): 0.5, (1, 2): 1.0, (1, 1): 6.0}
+    assert [(r["doc_id"], r["label"], len(r["entries"])) for r in doc_tables.read_libsvm_lines(spark, str(path)).orderBy("doc_id").collect()] == [
+        (0, 7.0, 2), (1, 8.0, 2), (2, 9.0, 0)]
     assert (size, n_docs) == (4, 3)
     assert [(r["term_id"], r["term"]) for r in vocab.orderBy("term_id").collect()] == [(t, str(t)) for t in range(4)]
     assert doc_tables.read_libsvm(spark, str(path), 10)[2] == 10
@@ -29,7 +31,31 @@ def test_docs_round_trips(spark, tmp_path):
     doc_tables.write_libsvm(docs, f"{tmp_path}/a.libsvm")
     assert sorted(map(tuple, doc_tables.read_docs(spark, f"{tmp_path}/*.parquet").collect())) == rows
     assert sorted(map(tuple, doc_tables.read_dok(spark, f"{tmp_path}/a.dok").collect())) == rows
-    assert sorted(map(tuple, doc_tables.read_libsvm(spark, f"{tmp_path}/a.libsvm")[0].collect())) == rows
+    assert sorted((int(r["label"]), e["term_id"], e["cnt"]) for r in doc_tables.read_libsvm_lines(spark, f"{tmp_path}/a.libsvm").collect()
+                  for e in r["entries"]) == rows
+
+
+def test_every_line_and_file_is_a_document(spark, tmp_path):
+    (tmp_path / "a.libsvm").write_text("1 1:2\n0 2:1\n1 1:5\n0\n")
+    (tmp_path / "b.libsvm").write_text("1 1:1\n")
+    paths = [f"{tmp_path}/a.libsvm", f"{tmp_path}/b.libsvm", f"{tmp_path}/b.libsvm"]
+    docs, _vocab, _size, n_docs = doc_tables.read_libsvm(spark, paths)
+    assert n_docs == 6 and sorted(map(tuple, docs.collect())) == [(0, 0, 2.0), (1, 1, 1.0), (2, 0, 5.0), (4, 0, 1.0), (5, 0, 1.0)]
+    (tmp_path / "texts").mkdir()
+    for n in "ab":
+        (tmp_path / "texts" / f"{n}.txt").write_text(n)
+    rows = text.read_text_corpus(spark, [f"{tmp_path}/texts", f"{tmp_path}/texts/a.txt"]).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"]) for r in rows] == [(0, "a"), (1, "a"), (2, "b")]
+
+
+def test_documents_without_a_term_survive_saving(spark, tmp_path):
+    ids = spark.createDataFrame([(i,) for i in range(4)], "doc_id long")
+    docs = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (2, 0, 1.0)], twins.SCHEMA)
+    doc_tables.write_docs(docs, f"{tmp_path}/d.parquet", ids)
+    assert sorted(map(tuple, doc_tables.read_docs(spark, f"{tmp_path}/d.parquet").collect())) == [(0, 0, 1.0), (0, 1, 2.0), (2, 0, 1.0)]
+    assert doc_tables.count_docs(spark, f"{tmp_path}/d.parquet") == 4
+    doc_tables.write_libsvm(docs, f"{tmp_path}/d.libsvm", ids.selectExpr("doc_id", "doc_id % 2 as label"))
+    assert doc_tables.read_libsvm(spark, f"{tmp_path}/d.libsvm")[3] == 4
 
 
 def test_text_files_and_compaction(spark, tmp_path):

@@ -62,14 +62,19 @@ PARTS: dict[str, str] = {
     "said": _words("conversations", "conv_id"),
     "listed": _words("benchmark", "item_id"),
     "counts": _COUNTS.format(words="words"),
-    "vocab": _vocab("counts", q.VOCAB),
+    "vocab": _vocab("counts", q.ALL),
+    "top_vocab": _vocab("counts", q.TOP),
+    "top_docs": _DOCS.format(words="words", vocab="top_vocab"),
+    "few_vocab": _vocab("counts", 20),
+    "few_docs": _DOCS.format(words="words", vocab="few_vocab"),
     "docs": _DOCS.format(words="words", vocab="vocab"),
     "all_counts": _COUNTS.format(words="all_words"),
-    "all_vocab": _vocab("all_counts", q.VOCAB),
+    "all_vocab": _vocab("all_counts", q.ALL),
     "all_docs": _DOCS.format(words="all_words", vocab="all_vocab"),
     "pair_vocab": _vocab("counts", q.PAIR_VOCAB),
     "pair_docs": _DOCS.format(words="words", vocab="pair_vocab"),
-    "term_ids": f"SELECT CAST(range AS INTEGER) AS term_id FROM range({q.VOCAB})",
+    "term_ids": "SELECT term_id FROM vocab",
+    "term_count": "SELECT count(*)::DOUBLE AS v FROM vocab",
     "lengths": "SELECT doc_id, sum(cnt) AS len FROM docs GROUP BY doc_id",
     "freq": "SELECT term_id, count(*) AS df FROM docs WHERE cnt > 0 GROUP BY term_id",
     "total_docs": "SELECT count(*) AS n FROM documents",
@@ -98,8 +103,8 @@ PARTS: dict[str, str] = {
                     " GROUP BY 1, 2"),
     "lang_model": "SELECT topic, term_id, n / sum(n) OVER (PARTITION BY topic) AS p FROM lang_counts",
     "lang_alpha": f"SELECT {_LANG} AS topic, avg(n_chars) / 1000 AS alpha FROM documents GROUP BY 1",
-    "smoothed": (f"SELECT topic, term_id, coalesce(p, 0) * (1 - {q.SMOOTHING}::DOUBLE) + {q.SMOOTHING}::DOUBLE / {q.VOCAB} AS p"
-                 " FROM (SELECT term_id, CAST(t.range AS INTEGER) AS topic FROM term_ids, range(4) t)"
+    "smoothed": (f"SELECT topic, term_id, coalesce(p, 0) * (1 - {q.SMOOTHING}::DOUBLE) + {q.SMOOTHING}::DOUBLE / v AS p"
+                 " FROM (SELECT term_id, v, CAST(t.range AS INTEGER) AS topic FROM term_ids, term_count, range(4) t)"
                  " LEFT JOIN lang_model USING (topic, term_id)"),
     "cells": ("SELECT l_linenumber AS i, CAST(month(l_shipdate) - 1 AS INTEGER) AS j, CAST(l_suppkey AS INTEGER) AS l,"
               " sum(l_quantity / 100) AS v FROM lineitem GROUP BY 1, 2, 3"),
@@ -128,7 +133,7 @@ def statement(select: str, extra: dict[str, str] | None = None) -> str:
     parts = [(n, PARTS[n]) for n in names if n in used] + list(extra.items())
     if not parts:
         return select
-    return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in parts) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in parts) + "\n" + select
 
 
 def _shifted_m2(rows: str, m1: str, mat: str, n: str) -> dict[str, str]:
@@ -187,30 +192,25 @@ def _uniform(seed, *keys) -> str:
 
 
 def _inference() -> dict[str, str]:
-    """Variational inference with its iterations written out one after the other."""
+    """Variational inference until a document settles, or for the most iterations."""
     t = _TOPICS
-    parts = {
+    total = " + ".join(f"g{k}" for k in t)
+    phi = "(" + " + ".join(f"b{k} * e{k}" for k in t) + " + 1e-100)"
+    change = " + ".join(f"abs(n{k} - g{k})" for k in t)
+    weights = ", ".join(f"exp({_digamma(f'g{k}')} - {_digamma('whole')}) AS e{k}" for k in t)
+    step = ", ".join(f"any_value(g{k}) AS g{k}, any_value(e{k}) * sum(b{k} * cnt / {phi}) + {q.PRIOR[k]}::DOUBLE AS n{k}" for k in t)
+    return {
         "model": ("SELECT term_id, " + ", ".join(f"max(CASE WHEN topic = {k} THEN p END) AS b{k}" for k in t)
                   + " FROM smoothed GROUP BY term_id"),
         "rows": "SELECT doc_id, cnt, b0, b1, b2, b3 FROM docs JOIN model USING (term_id)",
-        "g_0": ("SELECT doc_id, true AS moving, " + ", ".join(f"-ln({_uniform(3, 'doc_id', k, 0)}) AS g{k}" for k in t)
-                + " FROM (SELECT DISTINCT doc_id FROM docs)"),
+        "starts": ("SELECT doc_id, " + ", ".join(f"-ln({_uniform(3, 'doc_id', k, 0)}) AS g{k}" for k in t)
+                   + " FROM (SELECT DISTINCT doc_id FROM docs)"),
+        "gammas": (f"SELECT 0 AS n, doc_id, true AS moving, {', '.join(f'g{k}' for k in t)} FROM starts UNION ALL"
+                   f" SELECT n + 1, doc_id, ({change}) / {len(t)} > 1e-3, {', '.join(f'n{k}' for k in t)} FROM"
+                   f" (SELECT any_value(n) AS n, doc_id, {step} FROM (SELECT *, {weights} FROM (SELECT *, {total} AS whole"
+                   f" FROM gammas WHERE moving AND n < {q.INFER_ITERATIONS})) JOIN rows USING (doc_id) GROUP BY doc_id)"),
+        "last": "SELECT * FROM gammas QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1",
     }
-    for n in range(1, q.INFER_ITERATIONS + 1):
-        before = f"g_{n - 1}"
-        total = " + ".join(f"g{k}" for k in t)
-        parts[f"e_{n}"] = (f"SELECT doc_id, " + ", ".join(
-            f"exp({_digamma(f'g{k}')} - {_digamma('whole')}) AS e{k}" for k in t)
-            + f" FROM (SELECT *, {total} AS whole FROM {before})")
-        phi = "(" + " + ".join(f"b{k} * e{k}" for k in t) + " + 1e-100)"
-        parts[f"s_{n}"] = ("SELECT doc_id, " + ", ".join(
-            f"any_value(e{k}) * sum(b{k} * cnt / {phi}) + {q.PRIOR[k]}::DOUBLE AS n{k}" for k in t)
-            + f" FROM rows JOIN e_{n} USING (doc_id) GROUP BY doc_id")
-        change = " + ".join(f"abs(n{k} - g{k})" for k in t)
-        parts[f"g_{n}"] = (f"SELECT doc_id, moving AND ({change}) / {len(t)} > 1e-3 AS moving, "
-                           + ", ".join(f"CASE WHEN moving THEN n{k} ELSE g{k} END AS g{k}" for k in t)
-                           + f" FROM {before} JOIN s_{n} USING (doc_id)")
-    return parts
 
 
 def _bounds() -> dict[str, str]:
@@ -220,7 +220,7 @@ def _bounds() -> dict[str, str]:
     return {
         **_inference(),
         "expected": ("SELECT doc_id, g0, g1, g2, g3, " + ", ".join(f"{_digamma(f'g{k}')} - {_digamma(whole)} AS x{k}" for k in t)
-                     + f" FROM g_{q.INFER_ITERATIONS}"),
+                     + " FROM last"),
         "word_part": ("SELECT doc_id, sum(cnt * ln(" + " + ".join(f"exp(x{k} + ln(b{k}))" for k in t) + ")) AS w"
                       " FROM rows JOIN expected USING (doc_id) GROUP BY doc_id"),
         "bounds": ("SELECT doc_id, w + " + " + ".join(
@@ -330,14 +330,16 @@ _F0 = f"CAST({q.FIT_ALPHA0} AS DOUBLE)"
 
 
 def _one_topic() -> dict[str, str]:
-    """The fit of one topic: two passes of subspace iteration, whitening, third moment, projection."""
+    """The fit of one topic: subspace iteration (q = 1), whitening, third moment, projection."""
     def image(mat: str, name: str) -> dict[str, str]:
         return {f"{name}_h": "SELECT " + ", ".join(f"sum(m1 * c{j}) AS h{j}" for j in (0, 1)) + f" FROM mean JOIN {mat} USING (term_id)",
-                f"{name}_e": ("SELECT t, " + ", ".join(f"sum(v * c{j}) AS e{j}" for j in (0, 1))
-                              + f" FROM pairs JOIN {mat} ON u = {mat}.term_id GROUP BY t"),
+                f"{name}_p": ("SELECT doc_id, " + ", ".join(f"sum(cnt * c{j}) AS p{j}" for j in (0, 1))
+                              + f" FROM rows JOIN {mat} USING (term_id) GROUP BY doc_id"),
+                f"{name}_e": ("SELECT term_id, " + ", ".join(f"sum(w2 * cnt * p{j}) AS e{j}" for j in (0, 1))
+                              + f" FROM rows JOIN {name}_p USING (doc_id) GROUP BY term_id"),
                 name: ("SELECT term_id, " + ", ".join(
-                    f"{_F0} * ({_F0} + 1) * e{j} / n - {_F0} * {_F0} * m1 * h{j} AS c{j}" for j in (0, 1))
-                    + f" FROM {name}_e JOIN mean ON t = term_id, {name}_h, size")}
+                    f"{_F0} * ({_F0} + 1) * (e{j} - s2 * c{j}) / n - {_F0} * {_F0} * m1 * h{j} AS c{j}" for j in (0, 1))
+                    + f" FROM {name}_e JOIN mean USING (term_id) JOIN {mat} USING (term_id), {name}_h, size")}
 
     h = f"({_F0} / ({_F0} + 2))"
     return {
@@ -346,13 +348,15 @@ def _one_topic() -> dict[str, str]:
                  " FROM docs JOIN lengths USING (doc_id) WHERE len >= 3"),
         "mean": ("SELECT term_id, sum(cnt / len) / any_value(n) AS m1, sum(cnt * w2) AS s2, sum(cnt * w3) AS s1"
                  " FROM rows, size GROUP BY term_id"),
-        "pairs": ("SELECT a.term_id AS t, b.term_id AS u, sum(a.cnt * b.cnt * a.w2) AS v FROM rows a JOIN rows b"
-                  " USING (doc_id) GROUP BY 1, 2 UNION ALL SELECT term_id, term_id, -sum(cnt * w2) FROM rows GROUP BY 1"),
         "start": "SELECT term_id, " + ", ".join(f"{_gaussian(0, 'term_id', j)} AS c{j}" for j in (0, 1)) + " FROM mean",
         **image("start", "image_1"),
-        **_two_orthonormal("term_id", "image_1", "basis"),
-        **image("basis", "image_2"),
-        "small": "SELECT sum(c0 * c0) AS a, sum(c0 * c1) AS b, sum(c1 * c1) AS c FROM image_2",
+        **_two_orthonormal("term_id", "image_1", "basis_1"),
+        **image("basis_1", "image_2"),
+        **_two_orthonormal("term_id", "image_2", "basis_2"),
+        **image("basis_2", "image_3"),
+        **_two_orthonormal("term_id", "image_3", "basis"),
+        **image("basis", "image_4"),
+        "small": "SELECT sum(c0 * c0) AS a, sum(c0 * c1) AS b, sum(c1 * c1) AS c FROM image_4",
         "root": "SELECT a, b, (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) AS square FROM small",
         "eigen": ("SELECT term_id, (b * c0 + (square - a) * c1) / sqrt(b * b + power(square - a, 2)) AS u,"
                   " sqrt(square) AS s FROM basis, root"),
@@ -382,6 +386,13 @@ ORACLES: dict[str, str] = {
     "write_docs": statement("SELECT * FROM docs"),
     "read_docs": statement("SELECT * FROM o_docs"),
     "read_libsvm": statement("SELECT * FROM docs"),
+    "read_libsvm_class_labels": statement(
+        "SELECT label, coalesce(sum(cnt), 0) AS len, count(term_id) AS n_terms, (SELECT count(*) FROM labelled) AS n_docs"
+        " FROM labelled LEFT JOIN docs USING (doc_id) GROUP BY doc_id, label",
+        {"labelled": "SELECT doc_id, max(quality) AS label FROM labels GROUP BY doc_id"}),
+    "read_text_repeated_path": statement("SELECT term, 2 * n AS n, true AS numbered FROM all_counts"),
+    "idf_after_round_trip": statement(
+        f"SELECT term_id, {r('n::DOUBLE / df')} AS idf FROM (SELECT term_id, count(*) AS df FROM few_docs GROUP BY term_id), total_docs"),
     "read_dok": statement("SELECT * FROM o_docs"),
     "read_stopwords": r"SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS term FROM benchmark) WHERE term <> ''",
     "write_model": statement(f"SELECT topic, term_id, {r('p', 10)} AS p FROM lang_model"),
@@ -394,11 +405,11 @@ ORACLES: dict[str, str] = {
     "remove_stopwords": statement("SELECT * FROM said WHERE term NOT IN (SELECT term FROM stop)"),
     "remove_long_stopword_list": statement("SELECT * FROM said WHERE term NOT IN (SELECT term FROM listed)"),
     "word_count": statement("SELECT * FROM counts"),
-    "vocab_topk": statement("SELECT * FROM vocab"),
+    "vocab_topk": statement("SELECT * FROM top_vocab"),
     "vocab_all": statement(_vocab("counts", -1)),
     "vocab_stats": statement("SELECT (SELECT count(*) FROM counts) AS full_vocab_size, count(*) AS vocab_size,"
-                             " CAST(sum(n) AS BIGINT) AS selected_tokens FROM vocab"),
-    "doc_term": statement("SELECT * FROM docs"),
+                             " CAST(sum(n) AS BIGINT) AS selected_tokens FROM top_vocab"),
+    "doc_term": statement("SELECT * FROM top_docs"),
     "doc_length": statement("SELECT * FROM lengths"),
     "min_words_filter": statement(f"SELECT docs.* FROM docs JOIN lengths USING (doc_id) WHERE len >= {q.MIN_WORDS}"),
     "valid_docs": statement("SELECT doc_id, term_id, cnt, len FROM docs JOIN lengths USING (doc_id) WHERE len >= 3"),
@@ -406,8 +417,8 @@ ORACLES: dict[str, str] = {
     "token_total": statement("SELECT sum(cnt) AS tokens FROM docs"),
     "corpus_summary": statement("SELECT count(*) AS n_docs, count(*) FILTER (len >= 3) AS n_valid_docs, sum(len) AS n_tokens,"
                                 " (SELECT count(DISTINCT term_id) FROM docs) AS n_terms FROM lengths"),
-    "to_features": statement(f"SELECT doc_id, {q.VOCAB} AS size, sum(cnt) AS total, sum(cnt * (term_id + 1)) AS weighted"
-                             " FROM docs GROUP BY doc_id"),
+    "to_features": statement("SELECT doc_id, CAST(any_value(v) AS INTEGER) AS size, sum(cnt) AS total, sum(cnt * (term_id + 1)) AS weighted"
+                             " FROM docs, term_count GROUP BY doc_id"),
     "doc_freq": statement("SELECT * FROM freq"),
     "idf": statement(f"SELECT term_id, {r('n::DOUBLE / df')} AS idf FROM term_ids JOIN freq USING (term_id), total_docs"),
     "low_idf_terms": statement(f"SELECT term_id, {r('idf')} AS idf FROM all_idf WHERE idf <= {q.IDF_BOUND} - 1e-12"),
@@ -415,12 +426,10 @@ ORACLES: dict[str, str] = {
                             " FROM all_docs JOIN all_idf USING (term_id)"),
     "m1": statement(f"SELECT term_id, {r('coalesce(m1, 0)', 10)} AS m1 FROM term_ids LEFT JOIN m1 USING (term_id)"),
     "m2_exact": statement(
-        f"SELECT i, j, {r(f'{_A0} * ({_A0} + 1) * v / n - {_A0} * {_A0} * a.m1 * b.m1', 12)} AS v"
-        " FROM summed JOIN means a ON a.term_id = i JOIN means b ON b.term_id = j, size",
+        f"SELECT i, j, {r(f'{_A0} * ({_A0} + 1) * v / n', 12)} AS v FROM summed, size",
         {"len_2": "SELECT doc_id, sum(cnt) AS len FROM pair_docs GROUP BY doc_id HAVING sum(cnt) >= 3",
          "size": "SELECT count(*)::DOUBLE AS n FROM len_2",
          "rows": "SELECT doc_id, term_id, cnt, len FROM pair_docs JOIN len_2 USING (doc_id)",
-         "means": "SELECT term_id, sum(cnt / len) / any_value(n) AS m1 FROM rows, size GROUP BY term_id",
          "summed": ("SELECT a.term_id AS i, b.term_id AS j, sum((a.cnt * b.cnt - CASE WHEN a.term_id = b.term_id THEN a.cnt"
                     " ELSE 0 END) / (a.len * (a.len - 1))) AS v FROM rows a JOIN rows b USING (doc_id)"
                     " WHERE a.term_id <= b.term_id GROUP BY 1, 2 HAVING v <> 0")}),
@@ -433,7 +442,12 @@ ORACLES: dict[str, str] = {
                  " JOIN open_terms USING (term_id)"),
         "mean": "SELECT term_id, sum(cnt / len) / any_value(n) AS m1 FROM rows, size GROUP BY term_id",
         "mat": f"SELECT term_id, {_rule('term_id')} FROM open_terms",
-        **_shifted_m2("rows", "mean", "mat", "n_docs")}),
+        "s2": "SELECT term_id, sum(cnt * w2) AS s2 FROM rows GROUP BY term_id",
+        "p": ("SELECT doc_id, " + ", ".join(f"sum(cnt * c{j}) AS p{j}" for j in _R) + " FROM rows JOIN mat USING (term_id) GROUP BY doc_id"),
+        "image": ("SELECT term_id AS t, " + ", ".join(f"any_value(z{j}) - any_value(s2 * c{j}) AS e{j}" for j in _R)
+                  + " FROM (SELECT term_id, " + ", ".join(f"sum(w2 * cnt * p{j}) AS z{j}" for j in _R)
+                  + " FROM rows JOIN p USING (doc_id) GROUP BY term_id) JOIN s2 USING (term_id) JOIN mat USING (term_id) GROUP BY term_id"),
+        **{k: v for k, v in _shifted_m2("rows", "mean", "mat", "n_docs").items() if k in ("shift", "result")}}),
     "whitening_matrix": statement("SELECT term_id, " + ", ".join(
         f"{r(f'c{j} / (sqrt({q.SIGMA[j]}::DOUBLE) + 1e-9)', 10)} AS c{j}" for j in _R) + " FROM o_mat"),
     "whiten_docs": statement("SELECT doc_id, len, " + ", ".join(f"{r(f'p{j}')} AS p{j}" for j in _R) + " FROM o_p"),
@@ -497,9 +511,9 @@ ORACLES: dict[str, str] = {
     "augment_topics": statement(
         f"SELECT topic, term_id, {r('p', 12)} AS p FROM (SELECT topic, term_id, p FROM lang_model UNION ALL"
         " SELECT 4, term_id, share / sum(share) OVER () FROM (SELECT term_id,"
-        f" coalesce(m1, 0) + 0.1::DOUBLE / {q.VOCAB} AS share FROM term_ids LEFT JOIN m1 USING (term_id)))"),
+        " coalesce(m1, 0) + 0.1::DOUBLE / v AS share FROM term_ids LEFT JOIN m1 USING (term_id), term_count))"),
     "infer_topics": statement(" UNION ALL ".join(
-        f"SELECT doc_id, {k} AS topic, {r(f'g{k}', 6)} AS gamma FROM g_{q.INFER_ITERATIONS}" for k in _TOPICS), _inference()),
+        f"SELECT doc_id, {k} AS topic, {r(f'g{k}', 6)} AS gamma FROM last" for k in _TOPICS), _inference()),
     "doc_bounds": statement(f"SELECT doc_id, {r('bound', 5)} AS bound, skipped FROM bounds", _bounds()),
     "log_likelihood": statement(f"SELECT {r('sum(bound)', 3)} AS log_likelihood, sum(skipped) AS skipped_tokens,"
                                 " (SELECT sum(cnt) FROM docs) AS tokens FROM bounds", _bounds()),

@@ -16,12 +16,13 @@ from topicmoments.config import JobConfig, MomentOptions
 from topicmoments.functions import special
 from topicmoments.operators import likelihood, matrix, moments, simplex, tensor, terms, weights
 from topicmoments.plans import evaluate, fit, job
-from topicmoments.runtime import cut, spread, work_path
+from topicmoments.runtime import fits_broadcast, spread, table_bytes, work_path
 from topicmoments.sources import doc_tables, models, stopwords, text
 
 # Parameters shared with the SQL.
-VOCAB = 500
-PAIR_VOCAB = 200
+TOP = 500  # of the queries whose feature is the limit
+ALL = -1
+PAIR_VOCAB = 200  # the dense moment is for small vocabularies
 MIN_WORDS = 50
 IDF_BOUND = 2.0
 ALPHA0 = 1.5
@@ -31,7 +32,7 @@ LAMBDA = (0.5, 2.0, 1.25)
 FACTOR = ((0.8, 0.0, 0.6), (0.6, 0.0, -0.8), (0.0, 1.0, 0.0))
 PRIOR = (0.1, 0.2, 0.3, 0.4)
 SMOOTHING = 0.01
-INFER_ITERATIONS = 4
+INFER_ITERATIONS = 50
 ALS_ROUNDS = 3
 ALS_STARTS = 2
 FIT_TOPICS = 4
@@ -51,10 +52,14 @@ def words(spark: SparkSession, sf: str, stop: bool = True) -> DataFrame:
     return terms.tokenize(texts, stopwords.ENGLISH if stop else ())
 
 
-def corpus(spark: SparkSession, sf: str, vocab_size: int = VOCAB, stop: bool = True) -> DataFrame:
-    """The documents' counts of the most frequent words."""
-    w = words(spark, sf, stop)
-    return terms.doc_term(w, cut(terms.vocab_topk(terms.word_count(w), vocab_size)))
+def built(spark: SparkSession, sf: str, vocab_size: int = ALL, stop: bool = True) -> job.Corpus:
+    """The documents' counts of their words, with the vocabulary."""
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return job.corpus_from_texts(texts, vocab_size, stopwords.ENGLISH if stop else ())
+
+
+def corpus(spark: SparkSession, sf: str, vocab_size: int = ALL, stop: bool = True) -> DataFrame:
+    return built(spark, sf, vocab_size, stop).docs
 
 
 def order_corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +144,14 @@ def write_docs(spark, sf):
     return doc_tables.read_docs(spark, path)
 
 
+def idf_after_round_trip(spark, sf):
+    """Inverse frequencies from saved documents, some of which have none of the vocabulary's words."""
+    path = work_path(spark, "docs.parquet")
+    doc_tables.write_docs(corpus(spark, sf, 20), path, table(spark, sf, "documents").select("doc_id"))
+    ratios = weights.idf(doc_tables.read_docs(spark, path), 20, doc_tables.count_docs(spark, path))
+    return ratios.withColumn("idf", rounded("idf"))
+
+
 def read_docs(spark, sf):
     path = work_path(spark, "docs.parquet")
     doc_tables.write_docs(order_corpus(spark, sf), path)
@@ -148,7 +161,28 @@ def read_docs(spark, sf):
 def read_libsvm(spark, sf):
     path = work_path(spark, "docs.libsvm")
     doc_tables.write_libsvm(corpus(spark, sf), path)
-    return doc_tables.read_libsvm(spark, path)[0]
+    return doc_tables.read_libsvm_lines(spark, path).select(F.col("label").cast("bigint").alias("doc_id"), F.inline("entries"))
+
+
+def read_libsvm_class_labels(spark, sf):
+    """Labels that many lines share: every line stays a document of its own, also one without a word."""
+    path = work_path(spark, "classes.libsvm")
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    doc_tables.write_libsvm(corpus(spark, sf), path, labels)
+    lines = doc_tables.read_libsvm_lines(spark, path)
+    docs, _vocab, _size, n_docs = doc_tables.read_libsvm(spark, path)
+    sizes = docs.groupBy("doc_id").agg(F.sum("cnt").alias("len"), F.count("*").alias("n_terms"))
+    return (lines.select("doc_id", F.col("label").cast("int").alias("label")).join(sizes, "doc_id", "left")
+            .select("label", F.coalesce("len", F.lit(0.0)).alias("len"), F.coalesce("n_terms", F.lit(0).cast("bigint")).alias("n_terms"),
+                    F.lit(n_docs).cast("bigint").alias("n_docs")))
+
+
+def read_text_repeated_path(spark, sf):
+    """A folder that is listed twice: each of its files is read, and numbered, twice."""
+    path = _text_files(spark, sf)
+    docs = text.read_text_corpus(spark, [path, path])
+    numbers = docs.agg((F.max("doc_id") + 1 == F.count("*")).alias("dense"), (F.count_distinct("doc_id") == F.count("*")).alias("unique")).first()
+    return terms.word_count(terms.tokenize(docs)).withColumn("numbered", F.lit(numbers["dense"] and numbers["unique"]))
 
 
 def read_dok(spark, sf):
@@ -183,8 +217,7 @@ def run_metrics(spark, sf):
     path = work_path(spark, "job")
     docs = f"{path}/docs.parquet"
     doc_tables.write_docs(corpus(spark, sf), docs)
-    cfg = JobConfig(k=FIT_TOPICS, alpha0=FIT_ALPHA0, inputs=(docs,), output_dir=path, vocab_size=VOCAB,
-                    min_words=3)
+    cfg = JobConfig(k=FIT_TOPICS, alpha0=FIT_ALPHA0, inputs=(docs,), output_dir=path, min_words=3)
     job.run_job(spark, cfg)
     return spark.read.json(f"{path}/TD_runningTime_k{FIT_TOPICS}.json")
 
@@ -217,7 +250,7 @@ def word_count(spark, sf):
 
 
 def vocab_topk(spark, sf):
-    return terms.vocab_topk(terms.word_count(words(spark, sf)), VOCAB)
+    return terms.vocab_topk(terms.word_count(words(spark, sf)), TOP)
 
 
 def vocab_all(spark, sf):
@@ -226,11 +259,11 @@ def vocab_all(spark, sf):
 
 def vocab_stats(spark, sf):
     counts = terms.word_count(words(spark, sf))
-    return terms.vocab_stats(counts, terms.vocab_topk(counts, VOCAB))
+    return terms.vocab_stats(counts, terms.vocab_topk(counts, TOP))
 
 
 def doc_term(spark, sf):
-    return corpus(spark, sf)
+    return corpus(spark, sf, TOP)
 
 
 def doc_length(spark, sf):
@@ -259,7 +292,8 @@ def corpus_summary(spark, sf):
 
 def to_features(spark, sf):
     dense = vector_to_array("features")
-    rows = terms.to_features(corpus(spark, sf), VOCAB).select("doc_id", dense.alias("x"))
+    made = built(spark, sf)
+    rows = terms.to_features(made.docs, made.vocab_size).select("doc_id", dense.alias("x"))
     return rows.select(
         "doc_id", F.size("x").alias("size"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"),
         F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b).alias("weighted"))
@@ -269,25 +303,25 @@ def doc_freq(spark, sf):
     return weights.doc_freq(corpus(spark, sf))
 
 
-def _n_docs(spark, sf):
-    return table(spark, sf, "documents").count()
-
-
 def idf(spark, sf):
-    return weights.idf(corpus(spark, sf), VOCAB, _n_docs(spark, sf)).withColumn("idf", rounded("idf"))
+    made = built(spark, sf)
+    return weights.idf(made.docs, made.vocab_size, made.n_docs).withColumn("idf", rounded("idf"))
 
 
 def low_idf_terms(spark, sf):
-    ratios = weights.idf(corpus(spark, sf, stop=False), VOCAB, _n_docs(spark, sf))
+    made = built(spark, sf, stop=False)
+    ratios = weights.idf(made.docs, made.vocab_size, made.n_docs)
     return weights.low_idf_terms(ratios, IDF_BOUND).withColumn("idf", rounded("idf"))
 
 
 def filter_idf(spark, sf):
-    return weights.filter_idf(corpus(spark, sf, stop=False), VOCAB, IDF_BOUND, _n_docs(spark, sf))
+    made = built(spark, sf, stop=False)
+    return weights.filter_idf(made.docs, made.vocab_size, IDF_BOUND, made.n_docs)
 
 
 def m1(spark, sf):
-    return weights.first_moment(corpus(spark, sf), VOCAB).withColumn("m1", rounded("m1", 10))
+    made = built(spark, sf)
+    return weights.first_moment(made.docs, made.vocab_size).withColumn("m1", rounded("m1", 10))
 
 
 # --- moments ---------------------------------------------------------------------------------
@@ -305,10 +339,11 @@ def m2_project(spark, sf):
 
 
 def m2_project_masked(spark, sf):
-    docs = fit.by_document(corpus(spark, sf, stop=False))
-    sums = fit.term_table(docs, _n_docs(spark, sf), IDF_BOUND)
+    made = built(spark, sf, stop=False)
+    docs = fit.by_document(made.docs)
+    sums = fit.term_table(docs, made.n_docs, IDF_BOUND)
     out = moments.project_second_moment(docs.filter(F.col("len") >= 3),
-                                        rule_matrix(weights.all_terms(spark, VOCAB), "term_id"), sums, ALPHA0)
+                                        rule_matrix(weights.all_terms(spark, made.vocab_size), "term_id"), sums, ALPHA0)
     return out.select("term_id", *[rounded(f"c{j}", 12).alias(f"c{j}") for j in range(RANK)])
 
 
@@ -358,17 +393,18 @@ def m3_whitened(spark, sf):
 
 
 def gaussian_matrix(spark, sf):
-    vocab = terms.vocab_topk(terms.word_count(words(spark, sf)), VOCAB)
+    vocab = terms.vocab_topk(terms.word_count(words(spark, sf)), ALL)
     out = matrix.gaussian_matrix(vocab, "term_id", RANK, 7)
     return out.select("term_id", *[rounded(f"c{j}").alias(f"c{j}") for j in range(RANK)])
 
 
-def _eigen(spark, sf, find: Callable) -> DataFrame:
+def _eigen(spark, sf, find: Callable, vocab_size: int = ALL) -> DataFrame:
     """Eigenvectors and eigenvalues of the documents' second moment, one row per term and rank."""
-    docs = fit.prepare(corpus(spark, sf))
+    made = built(spark, sf, vocab_size)
+    docs = fit.prepare(made.docs)
     try:
-        sums = fit.term_table(docs, _n_docs(spark, sf))
-        vectors, values = find(docs.filter(F.col("len") >= 3), sums)
+        sums = fit.term_table(docs, made.n_docs)
+        vectors, values = find(docs.filter(F.col("len") >= 3), sums, made.vocab_size)
     finally:
         docs.unpersist()
     long = vectors.select("term_id", F.posexplode(F.array(*matrix.columns(vectors))).alias("rank", "weight"))
@@ -376,19 +412,20 @@ def _eigen(spark, sf, find: Callable) -> DataFrame:
 
 
 def topk_eigen_m2(spark, sf):
-    return _eigen(spark, sf, lambda docs, sums: moments.top_eigen(docs, sums, VOCAB, FIT_TOPICS, FIT_ALPHA0))
+    return _eigen(spark, sf, lambda docs, sums, n: moments.top_eigen(docs, sums, n, FIT_TOPICS, FIT_ALPHA0))
 
 
 def topk_eigen_exact(spark, sf):
-    return _eigen(spark, sf, lambda docs, sums: moments.top_eigen_exact(docs, sums, VOCAB, FIT_TOPICS, FIT_ALPHA0))
+    return _eigen(spark, sf, lambda docs, sums, n: moments.top_eigen_exact(docs, sums, n, FIT_TOPICS, FIT_ALPHA0), TOP)
 
 
 def topk_eigen_one(spark, sf):
     """The leading eigenvector, with its entries summing to a positive number."""
-    docs = fit.prepare(corpus(spark, sf))
+    made = built(spark, sf)
+    docs = fit.prepare(made.docs)
     try:
-        sums = fit.term_table(docs, _n_docs(spark, sf))
-        vectors, values = moments.top_eigen(docs.filter(F.col("len") >= 3), sums, VOCAB, 1, FIT_ALPHA0, q=0)
+        sums = fit.term_table(docs, made.n_docs)
+        vectors, values = moments.top_eigen(docs.filter(F.col("len") >= 3), sums, made.vocab_size, 1, FIT_ALPHA0)
     finally:
         docs.unpersist()
     sign = float(np.sign(matrix.sums(vectors, ["c0"])[0]))
@@ -524,40 +561,41 @@ def order_topics(spark, sf):
 # --- models ----------------------------------------------------------------------------------
 
 def smooth_beta(spark, sf):
-    out = likelihood.smooth(language_model(spark, sf), range(len(PRIOR)), VOCAB, SMOOTHING)
+    made = built(spark, sf)
+    out = _smoothed(spark, sf, made)
     return out.withColumn("p", rounded("p", 12))
 
 
 def validate_model(spark, sf):
-    return likelihood.validate(language_model(spark, sf)).withColumn("total", rounded("total"))
+    return likelihood.validate(language_model(spark, sf)).drop("least").withColumn("total", rounded("total"))
 
 
 def augment_topics(spark, sf):
-    docs = corpus(spark, sf)
-    model = language_model(spark, sf, docs)
-    out, _alpha = likelihood.add_background_topic(model, PRIOR, weights.first_moment(docs, VOCAB), VOCAB)
+    made = built(spark, sf)
+    model = language_model(spark, sf, made.docs)
+    out, _alpha = likelihood.add_background_topic(model, PRIOR, weights.first_moment(made.docs, made.vocab_size), made.vocab_size)
     return out.withColumn("p", rounded("p", 12))
 
 
-def _smoothed(spark, sf, docs):
-    return likelihood.smooth(language_model(spark, sf, docs), range(len(PRIOR)), VOCAB, SMOOTHING)
+def _smoothed(spark, sf, made):
+    return likelihood.smooth(language_model(spark, sf, made.docs), range(len(PRIOR)), made.vocab_size, SMOOTHING)
 
 
 def infer_topics(spark, sf):
-    docs = corpus(spark, sf)
-    out = likelihood.infer_topics(docs, _smoothed(spark, sf, docs), PRIOR, VOCAB, INFER_ITERATIONS, seed=3)
+    made = built(spark, sf)
+    out = likelihood.infer_topics(made.docs, _smoothed(spark, sf, made), PRIOR, made.vocab_size, INFER_ITERATIONS, seed=3)
     return out.withColumn("gamma", rounded("gamma", 6))
 
 
 def doc_bounds(spark, sf):
-    docs = corpus(spark, sf)
-    out = likelihood.doc_bounds(docs, _smoothed(spark, sf, docs), PRIOR, VOCAB, INFER_ITERATIONS, seed=3)
+    made = built(spark, sf)
+    out = likelihood.doc_bounds(made.docs, _smoothed(spark, sf, made), PRIOR, made.vocab_size, INFER_ITERATIONS, seed=3)
     return out.select("doc_id", rounded("bound", 5).alias("bound"), "skipped")
 
 
 def log_likelihood(spark, sf):
-    docs = corpus(spark, sf)
-    out = likelihood.log_likelihood(docs, language_model(spark, sf, docs), PRIOR, VOCAB, SMOOTHING,
+    made = built(spark, sf)
+    out = likelihood.log_likelihood(made.docs, language_model(spark, sf, made.docs), PRIOR, made.vocab_size, SMOOTHING,
                                     INFER_ITERATIONS, seed=3)
     return out.select(rounded("log_likelihood", 3).alias("log_likelihood"), "skipped_tokens", "tokens")
 
@@ -565,9 +603,8 @@ def log_likelihood(spark, sf):
 def multinomial_loglik(spark, sf):
     docs = corpus(spark, sf)
     totals = docs.groupBy("term_id").agg(F.sum("cnt").alias("n"))
-    whole = docs.agg(F.sum("cnt").alias("total")).withColumn("one", F.lit(1))
-    p = (totals.withColumn("one", F.lit(1)).join(whole, "one")
-         .select("term_id", (F.col("n") / F.col("total")).alias("p")))
+    whole = docs.agg(F.sum("cnt").alias("total"))  # one row
+    p = totals.crossJoin(F.broadcast(whole)).select("term_id", (F.col("n") / F.col("total")).alias("p"))
     return likelihood.multinomial_log_likelihood(docs, p).withColumn("log_likelihood", rounded("log_likelihood", 6))
 
 
@@ -589,23 +626,27 @@ def log_sum_exp(spark, sf):
 
 def fit_moments(spark, sf):
     options = MomentOptions(k=FIT_TOPICS, alpha0=FIT_ALPHA0)
-    found = fit.fit_moments(corpus(spark, sf), options, VOCAB, _n_docs(spark, sf))
+    made = built(spark, sf)
+    found = fit.fit_moments(made.docs, options, made.vocab_size, made.n_docs)
     return moments.tensor_cells(found.eigenvectors, found.third)
 
 
 def fit_topics(spark, sf):
     """The flagship: learn topics from the documents and name their words."""
-    texts = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    built = job.corpus_from_texts(texts, VOCAB, stopwords.ENGLISH)
-    model = fit.TopicMoments(FIT_TOPICS, FIT_ALPHA0).fit(built.docs, built.vocab_size, built.n_docs)
+    made = built(spark, sf)
+    model = fit.TopicMoments(FIT_TOPICS, FIT_ALPHA0).fit(made.docs, made.vocab_size, made.n_docs)
     alpha = F.element_at(F.array(*[F.lit(a) for a in model.alpha]), F.col("topic") + 1)
-    return (model.topic_word.join(F.broadcast(built.vocab.select("term_id", "term")), "term_id")
+    named = made.vocab.select("term_id", "term")
+    if fits_broadcast(spark, table_bytes(named)):
+        named = F.broadcast(named)
+    return (model.topic_word.join(named, "term_id")
             .select("topic", alpha.alias("alpha"), "term_id", "term", "p"))
 
 
 def fit_one_topic(spark, sf):
     """The whole fit for one topic, which has no choice of start."""
-    model = fit.TopicMoments(1, FIT_ALPHA0, q=0).fit(corpus(spark, sf), VOCAB, _n_docs(spark, sf))
+    made = built(spark, sf)
+    model = fit.TopicMoments(1, FIT_ALPHA0).fit(made.docs, made.vocab_size, made.n_docs)
     return model.topic_word.select("term_id", rounded("p").alias("p"),
                                    rounded(F.lit(model.alpha[0]), 6).alias("alpha"))
 
@@ -619,19 +660,22 @@ def split_docs(spark, sf):
 
 
 def heldout_perplexity(spark, sf):
-    docs = corpus(spark, sf).persist()
+    made = built(spark, sf)
+    docs = made.docs.persist()
     try:
-        return evaluate.heldout_perplexity(docs, VOCAB, FIT_TOPICS, FIT_ALPHA0)
+        return evaluate.heldout_perplexity(docs, made.vocab_size, FIT_TOPICS, FIT_ALPHA0)
     finally:
         docs.unpersist()
 
 
 def cv_log_perplexity(spark, sf):
-    return evaluate.cv_log_perplexity(corpus(spark, sf), VOCAB, 2, FIT_TOPICS, FIT_ALPHA0, min_words=3)
+    made = built(spark, sf)
+    return evaluate.cv_log_perplexity(made.docs, made.vocab_size, 2, FIT_TOPICS, FIT_ALPHA0, min_words=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    read_text_corpus, compact_small_files, write_docs, read_docs, read_libsvm, read_dok, read_stopwords,
+    read_text_corpus, read_text_repeated_path, compact_small_files, write_docs, idf_after_round_trip, read_docs, read_libsvm,
+    read_libsvm_class_labels, read_dok, read_stopwords,
     write_model, topic_matrix, rescaled_alpha, run_metrics,
     assign_doc_ids, tokenize, remove_stopwords, remove_long_stopword_list, word_count, vocab_topk, vocab_all,
     vocab_stats, doc_term, doc_length, min_words_filter, valid_docs, term_distribution, token_total,

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicmoments.functions.chance import gaussian
-from topicmoments.runtime import cut
+from topicmoments.runtime import cut, fits_broadcast, hot_keys, row_bytes, salted_join, shuffle_partitions
 
 # Up to this many sums or products are one aggregate; beyond, tasks add them up on Arrow batches.
 MAX_EXPRESSIONS = 64
@@ -140,7 +140,14 @@ def orthonormalize(mat: DataFrame, key: str) -> DataFrame:
 def normalize_columns(entries: DataFrame) -> DataFrame:
     """Divide each column of `(row, col, v)` by its Euclidean norm."""
     norms = entries.groupBy("col").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return entries.join(norms, "col").select("row", "col", (F.col("v") / F.col("norm")).alias("v"))
+    spark = entries.sparkSession
+    norms = cut(norms)
+    if fits_broadcast(spark, norms.count() * row_bytes(2)):
+        joined = entries.join(F.broadcast(norms), "col")
+    else:
+        sizes = entries.groupBy("col").agg(F.count("*").alias("n"))
+        joined = salted_join(entries, norms, "col", F.col("row"), hot_keys(sizes, "col", "n", shuffle_partitions(spark)))
+    return joined.select("row", "col", (F.col("v") / F.col("norm")).alias("v"))
 
 
 def frobenius_norm(entries: DataFrame) -> DataFrame:

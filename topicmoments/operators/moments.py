@@ -191,16 +191,16 @@ def pair_moment(docs: DataFrame, vocab_size: int) -> DataFrame:
 
 
 def second_moment(docs: DataFrame, table: TermTable, vocab_size: int, alpha0: float) -> DataFrame:
-    """The shifted second moment of the unmasked terms that occur together: `(i, j, v)`, i <= j.
+    """The documents' part of the second moment: `(i, j, v)`, i <= j, zero for pairs that are not listed.
 
-    Every other pair of terms has just the shift, -a0² m1_i m1_j, and is not listed.
+    The shifted moment is this less the product of the first moments, a0² m1_i m1_j, which no pair is
+    without; it has rank one and is left in that form. Masked terms have no row.
     """
-    m1 = F.broadcast(table.terms.select("term_id", "m1"))
-    main, shift = alpha0 * (alpha0 + 1) / table.n_docs, alpha0 * alpha0
+    open_terms = F.broadcast(table.terms.select("term_id"))
+    main = alpha0 * (alpha0 + 1) / table.n_docs
     return (pair_moment(docs, vocab_size)
-            .join(m1.toDF("i", "m1_i"), "i").join(m1.toDF("j", "m1_j"), "j")
-            .select("i", "j", (F.lit(main) * F.col("v")
-                               - F.lit(shift) * F.col("m1_i") * F.col("m1_j")).alias("v")))
+            .join(open_terms.toDF("i"), "i").join(open_terms.toDF("j"), "j")
+            .select("i", "j", (F.lit(main) * F.col("v")).alias("v")))
 
 
 def top_eigen_exact(docs: DataFrame, table: TermTable, vocab_size: int, k: int,
@@ -210,9 +210,10 @@ def top_eigen_exact(docs: DataFrame, table: TermTable, vocab_size: int, k: int,
     m1 = np.zeros(vocab_size)
     for row in table.terms.select("term_id", "m1").collect():
         m1[row["term_id"]] = row["m1"]
-    whole = -alpha0 * alpha0 * np.outer(m1, m1)
+    whole = np.zeros((vocab_size, vocab_size))
     i, j = cells["i"].to_numpy(), cells["j"].to_numpy()
     whole[i, j] = whole[j, i] = cells["v"].to_numpy()
+    whole -= alpha0 * alpha0 * np.outer(m1, m1)
     values, vectors = np.linalg.eigh(whole)
     values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
     if values[-1] <= 0:

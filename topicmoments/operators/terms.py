@@ -7,28 +7,38 @@ Table shapes: texts `(doc_id, text)`, words `(doc_id, term)`, counts `(term, n)`
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructField, StructType
 
 from topicmoments.functions.words import words as split_words
-from topicmoments.runtime import fits_broadcast, join_sized, table_bytes, with_dense_ids
+from topicmoments.runtime import cut, fits_broadcast, join_sized, table_bytes, with_dense_ids
 
 # A vocabulary of at most this many terms is numbered in one task; a larger one by ranges.
 ONE_TASK_VOCAB = 200_000
 
 
 def assign_doc_ids(texts: DataFrame, order: Collection[str], id_col: str = "doc_id") -> DataFrame:
-    """Number documents 0, 1, 2, ... by a unique key.
+    """Number documents 0, 1, 2, ... in the order of a key; every row is a document, whatever its key.
 
     Only the key columns are sorted and numbered. The other columns join back on the key, and stay
-    where they are when the keys are few enough to broadcast.
+    where they are when the keys are few enough to broadcast. Where keys repeat, the rows are written
+    once with a number of their own, which then takes the key's place; equal keys are numbered in the
+    order in which they were read.
     """
-    keys = with_dense_ids(texts.select(*order), [F.col(c) for c in order], id_col)
+    counts = texts.groupBy(*order).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+    key = list(order)
+    if (counts["n"] or 0) > 1 or texts.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in order])).limit(1).count():
+        texts, key = cut(texts.withColumn("_row", F.monotonically_increasing_id())), ["_row"]
+        keys = with_dense_ids(texts.select(*order, "_row"), [*[F.col(c) for c in order], F.col("_row")], id_col).select("_row", id_col)
+    else:
+        keys = with_dense_ids(texts.select(*order), [F.col(c) for c in order], id_col)
     if fits_broadcast(texts.sparkSession, table_bytes(keys)):
         keys = F.broadcast(keys)
-    return texts.join(keys, list(order))
+    return texts.join(keys, key).drop("_row")
 
 
 def tokenize(texts: DataFrame, stopwords: Collection[str] = (), doc_id: str = "doc_id",
@@ -58,6 +68,28 @@ def word_count(words: DataFrame) -> DataFrame:
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
 
+def count_words(texts: DataFrame, stopwords: Collection[str] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each document's words and how often it has them: `(doc_id, term, cnt)`, placed by document.
+
+    Texts, which are smaller than their words, are shuffled once; counting then needs no shuffle, and
+    what follows by document needs none either.
+    """
+    placed = texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    return tokenize(placed, stopwords).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("cnt"))
+
+
+def counted_words(counted: DataFrame) -> DataFrame:
+    """The corpus counts `(term, n)` of counted documents."""
+    return counted.groupBy("term").agg(F.sum("cnt").cast("bigint").alias("n"))
+
+
+def in_vocabulary(counted: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Counted documents by the vocabulary's numbers; other words fall away."""
+    ids = vocab.select("term", "term_id")
+    return (join_sized(counted, ids, "term", table_bytes(ids), "doc_id", vocab.select("term", "n"), "n")
+            .select("doc_id", "term_id", "cnt"))
+
+
 def vocab_topk(counts: DataFrame, size: int = -1) -> DataFrame:
     """The `size` most frequent terms (-1 = all), numbered from 0 by count, then by term."""
     order = [F.desc("n"), F.asc("term")]
@@ -75,8 +107,7 @@ def vocab_stats(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row: all terms, selected terms, tokens the selected terms stand for."""
     full = counts.agg(F.count("*").alias("full_vocab_size"))
     chosen = vocab.agg(F.count("*").alias("vocab_size"), F.sum("n").alias("selected_tokens"))
-    # both sides are one-row totals, keyed alike
-    return (full.withColumn("one", F.lit(1)).join(chosen.withColumn("one", F.lit(1)), "one").drop("one"))
+    return full.crossJoin(F.broadcast(chosen))  # one row each
 
 
 def doc_term(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -128,18 +159,20 @@ def corpus_summary(docs: DataFrame) -> DataFrame:
         F.count_if(F.col("len") >= 3).alias("n_valid_docs"),
         F.sum("len").alias("n_tokens"))
     terms = docs.select("term_id").distinct().agg(F.count("*").alias("n_terms"))
-    return (per_doc.withColumn("one", F.lit(1)).join(terms.withColumn("one", F.lit(1)), "one").drop("one"))
+    return per_doc.crossJoin(F.broadcast(terms))  # one row each
 
 
 def to_features(docs: DataFrame, vocab_size: int) -> DataFrame:
-    """One sparse vector per document for `pyspark.ml`; a document has at most one entry per term."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (registers the vector type)
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """One sparse vector per document for `pyspark.ml`; a document has at most one entry per term.
 
-    pairs = docs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("pairs"))
-
-    @F.udf(VectorUDT())
-    def pack(ids, counts):
-        return SparseVector(vocab_size, ids, counts)
+    Columns put the vectors together in the layout that Spark ML stores (kind 0 is sparse). Arrow
+    batches then pass unchanged through a step whose only work is to give them the vector type.
+    """
+    from pyspark.ml.linalg import VectorUDT
 
-    return pairs.select("doc_id", pack(F.col("pairs.term_id"), F.col("pairs.cnt")).alias("features"))
+    pairs = docs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("pairs"))
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(vocab_size).cast("int").alias("size"),
+                      F.col("pairs.term_id").alias("indices"), F.col("pairs.cnt").alias("values"))
+    rows = pairs.select("doc_id", stored.alias("features"))
+    schema = StructType([rows.schema["doc_id"], StructField("features", VectorUDT())])
+    return rows.mapInArrow(lambda batches: batches, schema)

@@ -56,10 +56,10 @@ class TopicModel:
 def by_document(docs: DataFrame) -> DataFrame:
     """Documents with their length, each in one partition.
 
-    This one shuffle makes every later sum by document, and every join back to the documents,
-    free of shuffles.
+    Where the documents are not placed so yet, one shuffle does it; every later sum by document, and
+    every join back to the documents, is then free of shuffles.
     """
-    return with_length(docs.select("doc_id", "term_id", "cnt").repartition("doc_id"))
+    return with_length(docs.select("doc_id", "term_id", "cnt"))
 
 
 def prepare(docs: DataFrame) -> DataFrame:

@@ -33,16 +33,20 @@ class Corpus:
         return Corpus(terms.min_words_filter(self.docs, min_words), self.vocab, self.vocab_size)
 
 
-def corpus_from_texts(texts: DataFrame, vocab_size: int = -1, stopwords: Collection[str] = (),
+def corpus_from_texts(texts: DataFrame, vocab_size: int = -1, stopwords: Collection[str] | DataFrame = (),
                       doc_id: str = "doc_id", text_col: str = "text") -> Corpus:
-    """Words, vocabulary and counts of `(doc_id, text)`.
+    """Words, vocabulary and counts of `(doc_id, text)`; stopwords are a list, or a table of any length.
 
-    Texts are split twice, once to choose the vocabulary and once to count its terms; the words
-    themselves, many times the result, are never stored.
+    Texts are split once. The counted words are written, placed by document, and give the vocabulary
+    and then the document-term table.
     """
-    words = terms.tokenize(texts, stopwords, doc_id, text_col)
-    vocab = cut(terms.vocab_topk(terms.word_count(words), vocab_size))
-    return Corpus(terms.doc_term(words, vocab), vocab, vocab.count(), texts.count())
+    listed = () if isinstance(stopwords, DataFrame) else stopwords
+    counted = terms.count_words(texts, listed, doc_id, text_col)
+    if isinstance(stopwords, DataFrame):
+        counted = terms.remove_stopwords(counted, stopwords)
+    counted = cut(counted)
+    vocab = cut(terms.vocab_topk(terms.counted_words(counted), vocab_size))
+    return Corpus(terms.in_vocabulary(counted, vocab), vocab, vocab.count(), texts.count())
 
 
 def corpus_from_config(spark: SparkSession, cfg: JobConfig) -> Corpus:
@@ -52,11 +56,10 @@ def corpus_from_config(spark: SparkSession, cfg: JobConfig) -> Corpus:
         return Corpus(docs, vocab, size, n_docs)
     if cfg.input_type == "text":
         words = default_stopwords(spark) if cfg.stopword_file is None else read_stopwords(spark, cfg.stopword_file)
-        listed = [r["term"] for r in words.collect()]
-        return corpus_from_texts(text.read_text_corpus(spark, inputs), cfg.vocab_size, listed)
+        return corpus_from_texts(text.read_text_corpus(spark, inputs), cfg.vocab_size, words)
     docs = doc_tables.read_docs(spark, inputs)
     size = cfg.vocab_size if cfg.vocab_size > 0 else (docs.agg(F.max("term_id")).first()[0] or 0) + 1
-    return Corpus(docs, None, size)
+    return Corpus(docs, None, size, doc_tables.count_docs(spark, inputs))
 
 
 def fit_corpus(corpus: Corpus, cfg: JobConfig) -> TopicModel:

@@ -7,17 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicmoments.operators.terms import assign_doc_ids
 from topicmoments.sources.text import _paths
 
 DOCS_SCHEMA = "doc_id bigint, term_id int, cnt double"
 
 
-def write_docs(docs: DataFrame, path: str) -> None:
-    docs.select("doc_id", "term_id", "cnt").write.mode("errorifexists").parquet(path)
+def write_docs(docs: DataFrame, path: str, doc_ids: DataFrame | None = None) -> None:
+    """Write counts. Documents of `doc_ids` that have none get a row without a term, so that they still count."""
+    rows = docs.select("doc_id", "term_id", "cnt")
+    if doc_ids is not None:
+        bare = doc_ids.select("doc_id").distinct().join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
+        rows = rows.unionByName(bare.select("doc_id", F.lit(None).cast("int").alias("term_id"), F.lit(0.0).alias("cnt")))
+    rows.write.mode("errorifexists").parquet(path)
 
 
 def read_docs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return spark.read.schema(DOCS_SCHEMA).parquet(*_paths(paths))
+    """The counts that `write_docs` wrote."""
+    return spark.read.schema(DOCS_SCHEMA).parquet(*_paths(paths)).filter("term_id is not null")
+
+
+def count_docs(spark: SparkSession, paths: str | Sequence[str]) -> int:
+    """The documents that `write_docs` wrote, those without a term included."""
+    return spark.read.schema(DOCS_SCHEMA).parquet(*_paths(paths)).agg(F.count_distinct("doc_id")).first()[0]
 
 
 def read_dok(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -26,20 +38,24 @@ def read_dok(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def read_libsvm_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines `label index:value ...` as `(doc_id, entries)`, blank lines and `#` lines skipped.
+    """Lines `label index:value ...` as `(doc_id, label, entries)`, blank lines and `#` lines skipped.
 
-    Indices count from 1 in the file and from 0 in the entries `(term_id, cnt)`; the label, cut
-    to a whole number, is the document's id. Indices need not be sorted.
+    Every line is a document, whatever its label; documents are numbered from 0 by file and place in
+    it. Indices count from 1 in the file and from 0 in the entries `(term_id, cnt)`, and need not be
+    sorted.
     """
     line = F.trim(F.translate("value", "\t\r", "  "))
     is_data = (line != "") & ~F.startswith(line, F.lit("#"))
     # skipped lines have no items, so that nothing in them is ever read as a number
     parts = F.when(is_data, F.filter(F.split(line, " "), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
-    items = spark.read.text(_paths(paths)).select(parts.alias("items")).filter(F.size("items") > 0)
+    items = (spark.read.text(_paths(paths))
+             .select(parts.alias("items"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+             .filter(F.size("items") > 0))
     entry = F.transform(F.slice("items", F.lit(2), F.size("items")),
                         lambda x: F.struct((F.split_part(x, F.lit(":"), F.lit(1)).cast("int") - 1).alias("term_id"),
                                            F.split_part(x, F.lit(":"), F.lit(2)).cast("double").alias("cnt")))
-    return items.select(F.get("items", F.lit(0)).cast("double").cast("bigint").alias("doc_id"), entry.alias("entries"))
+    lines = items.select("path", "block", F.get("items", F.lit(0)).cast("double").alias("label"), entry.alias("entries"))
+    return assign_doc_ids(lines, ["path", "block"]).select("doc_id", "label", "entries")
 
 
 def read_libsvm(spark: SparkSession, paths: str | Sequence[str],
@@ -59,13 +75,21 @@ def read_libsvm(spark: SparkSession, paths: str | Sequence[str],
     return docs, vocab, size, stats["n_docs"]
 
 
-def write_libsvm(docs: DataFrame, path: str) -> None:
-    """Documents as libsvm lines, indices from 1 and sorted; a line has one entry per distinct term."""
+def write_libsvm(docs: DataFrame, path: str, labels: DataFrame | None = None) -> None:
+    """Documents as libsvm lines, indices from 1 and sorted; a line has one entry per distinct term.
+
+    The label is the document's id, or that of `labels` `(doc_id, label)`, whose documents are all
+    written, also those without a term.
+    """
     entry = F.concat_ws(":", (F.col("term_id") + 1).cast("string"), F.col("cnt").cast("string"))
-    lines = (docs.groupBy("doc_id")
-             .agg(F.array_sort(F.collect_list(F.struct("term_id", entry.alias("entry")))).alias("entries"))
-             .select(F.concat_ws(" ", F.col("doc_id").cast("string"),
-                                 F.concat_ws(" ", F.transform("entries", lambda e: e["entry"]))).alias("value")))
+    grouped = (docs.groupBy("doc_id")
+               .agg(F.array_sort(F.collect_list(F.struct("term_id", entry.alias("entry")))).alias("entries")))
+    if labels is None:
+        grouped = grouped.withColumn("label", F.col("doc_id"))
+    else:
+        grouped = labels.select("doc_id", "label").join(grouped, "doc_id", "left")
+    items = F.transform(F.coalesce("entries", F.array().cast(grouped.schema["entries"].dataType)), lambda e: e["entry"])
+    lines = grouped.select(F.array_join(F.concat(F.array(F.col("label").cast("string")), items), " ").alias("value"))
     lines.write.mode("errorifexists").text(path)
 
 
