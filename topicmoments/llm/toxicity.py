@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from topicmoments.llm.common import flat, scan_texts
 
 #: Labelled rows of each label that the model is fitted on, at most, and bytes of their texts.
-TRAIN_ROWS = {1: 2500, 0: 5000}
-TRAIN_BYTES = 16 << 20
+TRAIN_ROWS = {1: 2000, 0: 4000}
+TRAIN_BYTES = 12 << 20
 #: Bytes of the dictionaries. The toxic one is trained in several sizes, on several orders of the
 #: samples, and the best is taken by how well it parts so many training rows of each label.
 TOXIC_SIZES, ORDERS, ORDINARY_SIZE, TRIAL_ROWS = (1024, 2048, 4096), 3, 16384, 300
@@ -52,11 +52,17 @@ def spelled(word: bytes) -> bytes:
 
 def context_counts(texts: Iterable[str | None]) -> Counter[bytes]:
     """For each word, the different pairs of neighbours it has; copied text adds nothing."""
-    seen: set[tuple[bytes, bytes, bytes]] = set()
+    number: dict[bytes, int] = {b"": 0}
+    parts = [np.zeros(1, dtype=np.int64)]
     for text in texts:
-        words = [b"", *windows_in(text), b""]
-        seen.update(zip(words, words[1:], words[2:]))
-    return Counter(word for _, word, _ in seen)
+        parts.append(np.array([number.setdefault(w, len(number)) for w in windows_in(text)], dtype=np.int64))
+        parts.append(np.zeros(1, dtype=np.int64))  # the word without letters stands between texts
+    ids, n = np.concatenate(parts), len(number)
+    word, sides = ids[1:-1], ids[:-2] * n + ids[2:]
+    _, sides = np.unique(sides[word > 0], return_inverse=True)
+    different = np.unique(sides * n + word[word > 0])
+    counts = np.bincount(different % n, minlength=n).tolist()
+    return Counter({w: c for w, c in zip(number, counts) if c})
 
 
 def trained(size: int, samples: list[bytes]) -> bytes:
