@@ -1,4 +1,5 @@
 import os
+import random
 import re
 from collections import Counter
 
@@ -30,7 +31,8 @@ def test_repeated_windows(words):
 
 
 def test_as_brute_force(spark):
-    prose = " ".join(f"word{(i * i * 7919) % 1013} number{(i * 104729) % 997}é" for i in range(80))
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choice(("the", "ing", "é", "ou", "st", "ra", "mi", "an")) for _ in range(rng.randrange(1, 4))) for _ in range(160))
     rows = [(0, None), (1, ""), (2, prose), (3, prose + "\n" + prose), (4, "a b c " * 5000), (5, " \t\x1c\x85\xa0x 日本\r\n\n x"),
             (6, "same line\n" * 3 + "\n\n"), (7, " ".join(f"{i} again and again" for i in range(4000))),
             (8, " ".join(os.urandom(3000).hex()[i:i + 90] for i in range(0, 6000, 90))), (2, prose), (None, "# $ | " + prose)]

@@ -59,7 +59,7 @@ def test_operator(spark):
     rows = [(0, TEXT), (1, None), (2, ""), (3, "x " * 50000 + "token: " + "Zq9" * 5000), (4, "password: password"), (4, "password: password"), (None, TEXT)]
     docs = documents(spark, rows)
     ranks = corpus_words(docs, size=5)
-    assert len(ranks) == 5 and sorted(ranks.values()) == [1, 2, 3, 4, 5] and ranks["password"] == 1
+    assert len(ranks) == 5 and sorted(ranks.values()) == [1, 2, 3, 4, 5] and ranks["token"] < ranks["password"] < 3
     got = scan_secrets(docs, ranks).collect()
     assert len(got) == len(rows)
     for r in got:
