@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicmoments.llm.buckets import bucket_links, fact
+from topicmoments.llm.buckets import bucket_links, fact, flag_count, flags, no_flags
 from topicmoments.llm.common import join_measured, join_salted, lists, pieces, text_bytes, written
 from topicmoments.llm.components import components
 from topicmoments.llm.words import NOT_BLANK, SEED, WordReader, mixed, run_hashes
@@ -126,7 +126,7 @@ def may_link(percent: int, n1: Column, n2: Column, common: Column) -> Column:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common, linked) of pairs of class ids: what their whole sets have in common, and whether that links them.
+    """(a, b, linked, from_a, from_b) of pairs of class ids, from their whole sets (see `seen`).
 
     A hub may be in very many pairs: its pairs are dealt among tasks, each with a copy of its set.
     """
@@ -137,7 +137,13 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         both = join_salted(both, own, [end], "w", F.col(other), 10_000)
     both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     union = F.size("set_a") + F.size("set_b") - F.col("common")
-    return both.select("a", "b", "common", (100 * F.col("common") >= percent * union).alias("linked"))
+    return both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"),
+                       seen("set_a", "set_b").alias("from_a"), seen("set_b", "set_a").alias("from_b"))
+
+
+def seen(own: str, other: str) -> Column:
+    """What a set sees of another one: its size, what is common, and which of 128 parts lack something."""
+    return F.struct(F.size(other).cast("long").alias("size"), F.col("common").alias("common"), flags(F.array_except(other, own)).alias("lacks"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
@@ -172,15 +178,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     best = F.struct(F.col("s") / F.col("n"), -F.col("id"))  # the class with the largest part of shared shingles
 
     def may(x: str, y: str) -> Column:
-        """Two sets share at most what the lesser shares with the hub, and of the rest what others have, too."""
-        inside = F.least(fact(x, "common"), fact(y, "common"))
-        outside = F.least(fact(x, "s") - fact(x, "common"), fact(y, "s") - fact(y, "common"))
-        return may_link(percent, fact(x, "n"), fact(y, "n"), inside + outside)
-
-    most = F.col("common") + F.least(F.col("s") - F.col("common"), F.col("most_outside"))
-    links = bucket_links(able, ["n", "s"], best, lambda pairs: compared(pairs, sets, percent), may,
-                         with_hub={"common": F.col("n")},
-                         bounds={"least_n": F.min("n"), "most_outside": F.max(F.col("s") - F.col("common"))},
+        """Two sets share of the hub at most what neither lacks, and of the rest what others have, too."""
+        a, b = fact(x, "seen"), fact(y, "seen")
+        lacks = F.greatest(a["size"] - a["common"], a["size"] - b["common"], flag_count(a["lacks"], b["lacks"], "bitwiseOR"))
+        outside = F.least(fact(x, "s") - a["common"], fact(y, "s") - b["common"])
+        return may_link(percent, fact(x, "n"), fact(y, "n"), a["size"] - lacks + outside)
+
+    hub_seen = F.struct(F.col("n").alias("size"), F.col("n").alias("common"), no_flags().alias("lacks"))
+    outside = F.col("s") - F.col("seen.common")
+    most = F.col("seen.common") + F.least(outside, F.col("most_outside"))
+    links = bucket_links(able, ["n", "s"], best, lambda pairs: compared(pairs, sets, percent), may, hub_seen=hub_seen,
+                         bounds={"least_n": F.min("n"), "most_outside": F.max(outside)},
                          reach=may_link(percent, F.col("n"), F.greatest("least_n", most), most))
     roots = components(links)
     least = roots.join(reps.select(F.col("cid").alias("id"), "rep"), "id")
