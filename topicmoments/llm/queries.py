@@ -13,6 +13,7 @@ from topicmoments.llm.decontaminate import decontaminate
 from topicmoments.llm.language import identify_languages
 from topicmoments.llm.lines import dedupe_lines
 from topicmoments.llm.near_dup import near_duplicates
+from topicmoments.llm.oracles import ORACLES
 from topicmoments.llm.quality import quality_rules
 from topicmoments.llm.secrets import corpus_words, scan_secrets
 from topicmoments.llm.token_counts import count_tokens
@@ -86,10 +87,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "archives")
     write_archives(table(spark, folder, "pages"), path)
     return capture_histories(sorted_runs(spark, path)).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_language_id, op4_toxicity, op5_bpe, op6_secrets, op7_quality, op8_line_dedup, op9_token_counts, op10_warc)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
