@@ -15,7 +15,10 @@ BROADCAST_DEFAULT = 128 * 1024 * 1024
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder for checkpoints and work tables: the one the cluster names, else a local one in local mode."""
+    """Folder for checkpoints and work tables: the one that spark.checkpoint.dir names.
+
+    Only in local mode, where the setting is missing, as in a notebook, a temporary folder takes its place.
+    """
     sc = spark.sparkContext
     active = sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
