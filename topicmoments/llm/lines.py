@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicmoments.llm.buckets import bucket_links, fact
+from topicmoments.llm.buckets import bucket_links, fact, flag_count, flags, no_flags
 from topicmoments.llm.common import join_measured, join_salted, written
 from topicmoments.llm.components import components
 
@@ -14,7 +14,7 @@ EDITS = 2
 #: Shorter lines are left alone; from here on EDITS edits leave a similarity far above 0.8.
 MIN_CHARS = 32
 #: Letters whose numbers are compared before two lines are. An edit changes these by two in all at most.
-LETTERS = " etaoinshrdlucmg"
+LETTERS = " abcdefghijklmnopqrstuvwxyz.,"
 SALT = 91
 
 
@@ -39,18 +39,22 @@ def segment_probes(edits: int) -> list[tuple[int, int, int]]:
             for shift in range(max(1 - i, d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1)]
 
 
-def bucket_keys(line: Column, edits: int) -> Column:
-    """An array of hashes, one for each substring to look up and its place, without repeats."""
-    parts, n = edits + 1, F.char_length(line)
-    keys = []
-    for i, d, shift in segment_probes(edits):
-        length = n - d
-        base, longer = F.floor(length / parts).cast("int"), length % parts
-        # the last `longer` segments have one character more
-        begin = (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1 - parts) + longer)
-        size = base + F.when(F.lit(i) > parts - longer, 1).otherwise(0)
-        keys.append(F.xxhash64(length, F.lit(i), F.substr(line, begin + 1 + shift, size)))
-    return F.array_distinct(F.array(*keys))
+def with_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """Add `keys`, an array of hashes, one for each substring to look up and its place, without repeats.
+
+    Lengths become columns first: they are then worked out once and not in each of the keys.
+    """
+    parts = edits + 1
+    lines = lines.withColumn("n", F.char_length("line"))
+    lines = lines.withColumns({f"longer{d}": (F.col("n") - d) % parts for d in range(edits + 1)})
+    lines = lines.withColumns({f"base{d}": ((F.col("n") - d - F.col(f"longer{d}")) / parts).cast("int") for d in range(edits + 1)})
+    # the last segments, as many as `longer`, have one character more
+    lines = lines.withColumns({f"begin{d}_{i}": (i - 1) * F.col(f"base{d}") + F.greatest(F.lit(0), F.lit(i - 1 - parts) + F.col(f"longer{d}")) + 1
+                               for d in range(edits + 1) for i in range(1, parts + 1)})
+    keys = [F.xxhash64(F.col("n") - d, F.lit(i), F.substr(F.col("line"), F.col(f"begin{d}_{i}") + shift,
+                                                         F.col(f"base{d}") + F.when(F.lit(i) > parts - F.col(f"longer{d}"), 1).otherwise(0)))
+            for i, d, shift in segment_probes(edits)]
+    return lines.withColumn("keys", F.array_distinct(F.array(*keys)))
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -62,60 +66,91 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     """
     width = 2 * edits + 2
     mask = (1 << width) - 1
-    longer, shorter = F.when(F.char_length(a) >= F.char_length(b), a).otherwise(b), F.when(F.char_length(a) >= F.char_length(b), b).otherwise(a)
-    p, t = F.split(longer, ""), F.split(shorter, "")
-    m = F.char_length(longer)
-
-    def matches(char: Column, j: Column) -> Column:
-        bits = F.lit(0)
-        for k in range(width):
-            bits = bits + F.when(F.get(p, j + F.lit(edits - (width - 1) + k)) == char, F.lit(1 << k)).otherwise(F.lit(0))
-        return bits
-
-    def step(s: Column, x: Column) -> Column:
-        vp, vn, j = s["vp"], s["vn"], s["j"]
-        d0 = ((x.bitwiseAND(vp) + vp).bitwiseAND(F.lit(mask)).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn)
-        hp = vn.bitwiseOR(d0.bitwiseOR(vp).bitwiseXOR(F.lit(mask)))
-        hn = d0.bitwiseAND(vp)
-        half = F.shiftright(d0, 1)
-        over = j - (m - F.lit(edits))  # columns since the band reached the last row
-        bit = F.greatest(F.lit(width - 2) - over, F.lit(0))
-        along = F.when(over < 0, 1 - F.shiftright(d0, width - 1)).otherwise(
-            F.call_function("shiftright", hp, bit).bitwiseAND(F.lit(1)) - F.call_function("shiftright", hn, bit).bitwiseAND(F.lit(1)))
-        return F.struct(hn.bitwiseOR(half.bitwiseOR(hp).bitwiseXOR(F.lit(mask))).alias("vp"), half.bitwiseAND(hp).alias("vn"),
-                        (s["dist"] + along).alias("dist"), (j + 1).alias("j"))
-
-    start = F.struct(F.lit(mask ^ ((1 << (width - edits - 1)) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"), F.lit(0).alias("j"))
-    banded = F.aggregate(F.transform(t, matches), start, step, lambda s: s["dist"]) <= edits
-    return (F.abs(F.char_length(a) - F.char_length(b)) <= edits) & F.when(F.char_length(shorter) > 0, banded).otherwise(True)
+    first = F.char_length(a) >= F.char_length(b)
+    longer, shorter = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+
+    def banded(pair: Column) -> Column:
+        p, m = pair["p"], pair["m"]
+
+        def matches(char: Column, j: Column) -> Column:
+            bits = F.lit(0)
+            for k in range(width):
+                bits = bits + F.when(F.get(p, j + F.lit(edits - (width - 1) + k)) == char, F.lit(1 << k)).otherwise(F.lit(0))
+            return bits
+
+        def step(s: Column, x: Column) -> Column:
+            vp, vn, j = s["vp"], s["vn"], s["j"]
+            d0 = ((x.bitwiseAND(vp) + vp).bitwiseAND(F.lit(mask)).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn)
+            hp = vn.bitwiseOR(d0.bitwiseOR(vp).bitwiseXOR(F.lit(mask)))
+            hn = d0.bitwiseAND(vp)
+            half = F.shiftright(d0, 1)
+            over = j - (m - F.lit(edits))  # columns since the band reached the last row
+            bit = F.greatest(F.lit(width - 2) - over, F.lit(0))
+            along = F.when(over < 0, 1 - F.shiftright(d0, width - 1)).otherwise(
+                F.call_function("shiftright", hp, bit).bitwiseAND(F.lit(1)) - F.call_function("shiftright", hn, bit).bitwiseAND(F.lit(1)))
+            return F.struct(hn.bitwiseOR(half.bitwiseOR(hp).bitwiseXOR(F.lit(mask))).alias("vp"), half.bitwiseAND(hp).alias("vn"),
+                            (s["dist"] + along).alias("dist"), (j + 1).alias("j"))
+
+        start = F.struct(F.lit(mask ^ ((1 << (width - edits - 1)) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"), F.lit(0).alias("j"))
+        return F.aggregate(F.transform(pair["t"], matches), start, step, lambda s: s["dist"]) <= edits
+
+    # an array of one pair, so that the characters are split once and not for each step
+    pair = F.array(F.struct(F.split(longer, "").alias("p"), F.split(shorter, "").alias("t"), F.char_length(longer).alias("m")))
+    near = F.get(F.transform(pair, banded), F.lit(0))
+    return (F.abs(F.char_length(a) - F.char_length(b)) <= edits) & F.when(F.char_length(shorter) > 0, near).otherwise(True)
+
+
+def triples(line: Column) -> Column:
+    """Hashes of the different runs of three characters of a line."""
+    def of(chars: Column) -> Column:
+        starts = F.when(F.size(chars) >= 3, F.sequence(F.lit(0), F.size(chars) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+
+    # an array of one array, so that the characters are split once
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(line, "")), of)))
 
 
 def near_links(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
     """(a, b): hashes of different lines within `edits` edits, enough of them to connect all such lines."""
     lines = line_rows(docs, id_col, text_col, min_chars).select("h", "line")
-    keyed = lines.select("h", F.explode(bucket_keys(F.col("line"), edits)).alias("key"))
+    # arrays are never empty; a plain explode would have them worked out a first time to filter on that
+    keyed = with_keys(lines, edits).select("h", F.explode_outer("keys").alias("key"))
     # copies of one line count once in the least and greatest hash, and are added up before the shuffle
     shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
                      .filter("low != high").select("key"), "shared-segments")
     members = written(join_measured(keyed, shared, ["key"], "inner", 60).distinct(), "segment-members")
-    texts = written(join_measured(lines, members.select("h").distinct(), ["h"], "left_semi", 60)
-                    .groupBy("h").agg(F.first("line").alias("line")), "lines")
     counts = [F.char_length("line") - F.char_length(F.translate("line", c, "")) for c in LETTERS]
-    facts = texts.select(F.col("h"), F.char_length("line").alias("size"), *[c.alias(f"c{i}") for i, c in enumerate(counts)])
-    names = ["size", *[f"c{i}" for i in range(len(LETTERS))]]
-    rows = written(members.join(facts, "h").select("key", F.col("h").alias("id"), *names), "members")
-
-    def may(x: str, y: str) -> Column:
+    texts = (join_measured(lines, members.select("h").distinct(), ["h"], "left_semi", 60)
+             .groupBy("h").agg(F.first("line").alias("line")))
+    texts = written(texts.select("h", "line", F.char_length("line").alias("size"), *[c.alias(f"c{i}") for i, c in enumerate(counts)]), "lines")
+    names = texts.columns[2:]
+    rows = written(members.join(texts.drop("line"), "h").withColumnRenamed("h", "id"), "members")
+
+    def near_counts(x: str, y: str) -> Column:
+        """An edit changes the length by one at most, and letter counts by two in all."""
         moved = sum((F.abs(fact(x, n) - fact(y, n)) for n in names[1:]), F.lit(0))
         return (F.abs(fact(x, "size") - fact(y, "size")) <= edits) & (moved <= 2 * edits)
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
-        b = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-        near = within_edits(F.col("line_a"), F.col("line_b"), edits)
-        return pairs.join(a, "a").join(b, "b").select("a", "b", near.alias("linked"))
+    def may(x: str, y: str) -> Column:
+        """Moreover it takes three triples of characters at most, and brings three."""
+        a, b = fact(x, "seen"), fact(y, "seen")
+        changed = flag_count(a["lacks"], b["lacks"], "bitwiseXOR") + flag_count(a["adds"], b["adds"], "bitwiseXOR")
+        return near_counts(x, y) & (changed <= 6 * edits)
 
-    return bucket_links(rows, names, -F.col("id"), measure, may, may_star=may)
+    def measure(pairs: DataFrame) -> DataFrame:
+        both = pairs
+        for end in ("a", "b"):
+            both = both.join(texts.select(F.col("h").alias(end), F.struct("line", *names).alias(f"x{end}")), end)
+        triples_a, triples_b = triples(F.col("xa.line")), triples(F.col("xb.line"))
+        both = both.withColumns({"more_a": F.array_except(triples_a, triples_b), "more_b": F.array_except(triples_b, triples_a)})
+        near = near_counts("xa", "xb") & (F.size("more_a") + F.size("more_b") <= 6 * edits)
+        linked = F.when(near, within_edits(F.col("xa.line"), F.col("xb.line"), edits)).otherwise(False)
+        more_a, more_b = flags(F.col("more_a")), flags(F.col("more_b"))
+        return both.select("a", "b", linked.alias("linked"), F.struct(more_b.alias("lacks"), more_a.alias("adds")).alias("from_a"),
+                           F.struct(more_a.alias("lacks"), more_b.alias("adds")).alias("from_b"))
+
+    return bucket_links(rows, names, -F.col("id"), measure, may,
+                        hub_seen=F.struct(no_flags().alias("lacks"), no_flags().alias("adds")))
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
