@@ -11,19 +11,27 @@ from topicmoments.llm.components import components
 
 #: Edits (insert, delete, replace a character) within which two lines are the same.
 EDITS = 2
-#: Shorter lines are left alone; from here on EDITS edits leave a similarity far above 0.8.
+#: Shorter lines are left alone, unless lines that hold a word are asked for (`near_from`).
 MIN_CHARS = 32
+#: From this length on EDITS edits leave a similarity of 0.8.
+NEAR_FROM = 10
+#: A line that holds a word.
+WORD = r"[\p{L}\p{N}]"
 #: Letters whose numbers are compared before two lines are. An edit changes these by two in all at most.
 LETTERS = " abcdefghijklmnopqrstuvwxyz.,"
 SALT = 91
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, t, pos, line, h, g): long enough lines of documents with an id, and two hashes; t is the text's hash."""
+def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int, words: bool = False) -> DataFrame:
+    """(id, t, pos, line, h, g): long enough lines of documents with an id, and two hashes; t is the text's hash.
+    With `words` also shorter lines that hold a word."""
+    counted = F.char_length("line") >= min_chars
+    if words:
+        counted = counted | F.col("line").rlike(WORD)
     return (docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
             .filter("id is not null and text is not null")
             .select("id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .filter(F.char_length("line") >= min_chars)
+            .filter(counted)
             .withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(SALT), "line")}))
 
 
@@ -110,9 +118,11 @@ def triples(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.split(line, "")), of)))
 
 
-def near_links(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
+def near_links(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, near_from: int | None = None) -> DataFrame:
     """(a, b): hashes of different lines within `edits` edits, enough of them to connect all such lines."""
-    lines = line_rows(docs, id_col, text_col, min_chars).select("h", "line")
+    lines = line_rows(docs, id_col, text_col, min_chars, near_from is not None).select("h", "line")
+    if near_from is not None:
+        lines = lines.filter(F.char_length("line") >= near_from)
     # arrays are never empty; a plain explode would have them worked out a first time to filter on that
     keyed = with_keys(lines, edits).select("h", F.explode_outer("keys").alias("key"))
     # copies of one line count once in the least and greatest hash, and are added up before the shuffle
@@ -153,13 +163,13 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, edits: int, min_char
                         hub_seen=F.struct(no_flags().alias("lacks"), no_flags().alias("adds")))
 
 
-def line_classes(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, near_from: int | None = None) -> DataFrame:
     """(h, g, n, class, first_id, near) of lines that have a copy or a near copy: how often the line
     stands, the class's number, the smallest id of a document with a line of the class, and whether the class has
     different lines."""
-    counted = written(line_rows(docs, id_col, text_col, min_chars).groupBy("h", "g")
+    counted = written(line_rows(docs, id_col, text_col, min_chars, near_from is not None).groupBy("h", "g")
                       .agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "line-counts")
-    roots = components(near_links(docs, id_col, text_col, edits, min_chars)) if edits else None
+    roots = components(near_links(docs, id_col, text_col, edits, min_chars, near_from)) if edits else None
     if roots is None:
         return counted.filter("n > 1").select("h", "g", "n", F.col("h").alias("class"), "first_id", F.lit(False).alias("near"))
     roots = written(roots.withColumnRenamed("id", "h"), "line-roots")
@@ -172,11 +182,11 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str, edits: int, min_ch
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-                    min_chars: int = MIN_CHARS) -> DataFrame:
+                    min_chars: int = MIN_CHARS, near_from: int | None = None) -> DataFrame:
     """Documents in a struct column `row`, with their text without repeated lines: row, n_lines, n_dropped,
     n_near, kept_in, text (see `dedupe_lines`)."""
-    classes = line_classes(docs, id_col, text_col, edits, min_chars)
-    found = join_salted(line_rows(docs, id_col, text_col, min_chars).select("id", "t", "pos", "h", "g"), classes, ["h", "g"], "n",
+    classes = line_classes(docs, id_col, text_col, edits, min_chars, near_from)
+    found = join_salted(line_rows(docs, id_col, text_col, min_chars, near_from is not None).select("id", "t", "pos", "h", "g"), classes, ["h", "g"], "n",
                         F.xxhash64("id", "pos"), 90).filter("class is not null")
     # a document's rows are placed once; both groupings below keep to that
     grouped = (found.repartition("id", "t").groupBy("id", "t", "class")
@@ -203,10 +213,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-                 min_chars: int = MIN_CHARS) -> DataFrame:
+                 min_chars: int = MIN_CHARS, near_from: int | None = None) -> DataFrame:
     """Every document without the lines that stand elsewhere first: id, n_lines, n_dropped, n_near, kept_in, text.
 
-    Lines are parted by line feeds; those with fewer than `min_chars` characters always stay. Lines that are
+    Lines are parted by line feeds; those with fewer than `min_chars` characters always stay. If `near_from` is
+    given, lines that hold a letter or a digit count at any length, and edits are looked for from `near_from`
+    characters on; only shorter lines without a letter or digit, empty ones too, then always stay. Lines that are
     equal, or linked by steps of at most `edits` edits between lines of the corpus, are a class. Of each class
     the first line stays: in the document with the smallest id, the first one there. n_dropped lines are gone,
     n_near of them from classes of different lines, and kept_in lists the documents that keep theirs (the
@@ -216,5 +228,5 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     they are, and their lines count nowhere. Equal rows are treated alike, so copies under one id both keep a
     line that is first there. Other columns are not read.
     """
-    found = without_repeats(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", "text", edits, min_chars)
+    found = without_repeats(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", "text", edits, min_chars, near_from)
     return found.select(F.col("row.id").alias(id_col), "n_lines", "n_dropped", "n_near", "kept_in", "text")

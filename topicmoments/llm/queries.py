@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from topicmoments.llm.bpe import encode_texts
 from topicmoments.llm.decontaminate import decontaminate
 from topicmoments.llm.language import identify_languages
-from topicmoments.llm.lines import dedupe_lines
+from topicmoments.llm.lines import NEAR_FROM, dedupe_lines
 from topicmoments.llm.near_dup import near_duplicates
 from topicmoments.llm.oracles import ORACLES
 from topicmoments.llm.quality import quality_rules
@@ -75,7 +75,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return dedupe_lines(table(spark, folder, "documents")).select(
+    return dedupe_lines(table(spark, folder, "documents"), near_from=NEAR_FROM).select(
         "doc_id", "n_lines", "n_dropped", "n_near", "kept_in", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
