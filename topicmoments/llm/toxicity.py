@@ -30,6 +30,8 @@ THRESHOLD = 0.3
 #: Classes of windows: bytes saved, and bytes left, up to these numbers.
 SAVED, LEFT = 24, 48
 MEMORY = 1 << 19
+#: Words (with repeats) that the ordinary dictionary is trained on, drawn at random from all of them.
+PLAIN_WORDS = 1 << 19
 
 
 def windows_in(text: str | None) -> list[bytes]:
@@ -148,8 +150,8 @@ def fit(toxic: Sequence[str | None], ordinary: Sequence[str | None]) -> Model |
         return None
     rng = np.random.default_rng(0)
     samples = [spelled(w) for w in typical for _ in range(bad[w])]
-    plain = [spelled(w) for w, n in sorted(good.items()) for _ in range(min(n, 20)) if n > 1][:MEMORY]
-    other = trained(ORDINARY_SIZE, [plain[i] for i in rng.permutation(len(plain))])
+    plain = [spelled(w) for w, n in sorted(good.items()) for _ in range(min(n, 20)) if n > 1]
+    other = trained(ORDINARY_SIZE, [plain[i] for i in rng.permutation(len(plain))[:PLAIN_WORDS]])
     trials = [windows_in(t) for t in [*toxic[:TRIAL_ROWS], *ordinary[:TRIAL_ROWS]]]
     words = list(set().union(*trials))
     base = packer(other)
@@ -193,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit the model on a bounded sample of labelled rows that are not held out.
 
     The sample is the TRAIN_ROWS rows of each label with the least hash of the id, up to TRAIN_BYTES of
-    text; only it comes to the driver. An id with several labels counts with the greatest.
+    text, without texts that do not fit what is left; only it comes to the driver. An id with several labels counts with the greatest.
     """
     known = (labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).filter("id is not null and y in (0, 1)")
              .filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")))
@@ -202,14 +204,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         ids = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(size).select("id")
         texts = (docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
                  .join(F.broadcast(ids), "id").select(F.xxhash64("id").alias("order"), "id", "text"))
-        # equal ids may repeat rows; at most `size` rows are looked at
+        # equal ids may repeat rows; at most `size` rows that can fit are looked at
+        texts = texts.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))).filter(F.col("bytes") <= TRAIN_BYTES)
         texts = texts.orderBy("order", "id", F.md5("text")).limit(size)
         running, own = 0, []
         for row in texts.toLocalIterator():
-            running += len(row["text"] or "")
-            if running > TRAIN_BYTES:
-                break
-            own.append(row["text"])
+            if running + row["bytes"] <= TRAIN_BYTES:
+                running += row["bytes"]
+                own.append(row["text"])
         samples[y] = own
     return fit(samples[1], samples[0])
 
