@@ -13,12 +13,15 @@ from topicmoments.llm.decontaminate import decontaminate
 from topicmoments.llm.language import identify_languages
 from topicmoments.llm.lines import NEAR_FROM, dedupe_lines
 from topicmoments.llm.near_dup import near_duplicates
+from topicmoments.llm.ngram_join import ngram_join
 from topicmoments.llm.oracles import ORACLES
+from topicmoments.llm.prefix_trie import prefix_trie
 from topicmoments.llm.quality import quality_rules
 from topicmoments.llm.secrets import corpus_words, scan_secrets
 from topicmoments.llm.token_counts import count_tokens
 from topicmoments.llm.toxicity import score_toxicity
 from topicmoments.llm.warc import capture_histories, sorted_runs, write_archives
+from topicmoments.llm.whitening import whiten
 from topicmoments.runtime import work_path
 
 
@@ -90,7 +93,20 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations")).drop("prefix_key")
+
+
+def op13_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_language_id, op4_toxicity, op5_bpe, op6_secrets, op7_quality, op8_line_dedup, op9_token_counts, op10_warc)}
+    f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_language_id, op4_toxicity, op5_bpe, op6_secrets, op7_quality, op8_line_dedup, op9_token_counts, op10_warc,
+                               op11_whitening, op12_prefix_trie, op13_ngram_join)}
 
 __all__ = ["ORACLES", "QUERIES"]
