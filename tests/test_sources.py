@@ -58,6 +58,31 @@ def test_documents_without_a_term_survive_saving(spark, tmp_path):
     assert doc_tables.read_libsvm(spark, f"{tmp_path}/d.libsvm")[3] == 4
 
 
+def test_several_saved_tables_keep_all_their_documents(spark, tmp_path):
+    one = spark.createDataFrame([(7, 0, 1.0), (-3, 1, 2.0), (9, 2, 3.0)], twins.SCHEMA)
+    two = spark.createDataFrame([(9, 0, 4.0), (9, 5, 4.5), (2**62, 1, 5.0)], twins.SCHEMA)
+    a, b = f"{tmp_path}/a.parquet", f"{tmp_path}/b.parquet"
+    doc_tables.write_docs(one, a, spark.createDataFrame([(8,), (9,)], "doc_id long"))
+    doc_tables.write_docs(two, b)
+    first = [(0, 1, 2.0), (1, 0, 1.0), (3, 2, 3.0)]
+    second = [(0, 0, 4.0), (0, 5, 4.5), (1, 1, 5.0)]
+
+    def moved(rows, by):
+        return [(d + by, t, c) for d, t, c in rows]
+
+    for paths, want, n in (([a, b], first + moved(second, 4), 6), (f"{b},{a}", second + moved(first, 2), 6), ([b, b], second + moved(second, 2), 4),
+                           (f"{tmp_path}/*.parquet", first + moved(second, 4), 6)):
+        assert sorted(map(tuple, doc_tables.read_docs(spark, paths).collect())) == sorted(want)
+        assert doc_tables.count_docs(spark, paths) == n
+    assert {r["doc_id"] for r in doc_tables.read_docs(spark, a).collect()} == {7, -3, 9}
+    one.write.parquet(f"{tmp_path}/plain")
+    with pytest.raises(Exception, match="_documents|manifest"):
+        doc_tables.read_docs(spark, [a, f"{tmp_path}/plain"]).collect()
+    assert "Exchange hashpartitioning" not in doc_tables.read_docs(spark, [a, b])._jdf.queryExecution().executedPlan().toString()
+    doc_tables.write_docs(one.limit(0), f"{tmp_path}/none")
+    assert doc_tables.count_docs(spark, [f"{tmp_path}/none", a]) == 4
+
+
 def test_text_files_and_compaction(spark, tmp_path):
     for folder, names in (("one", "ba"), ("two", "c")):
         (tmp_path / folder).mkdir()

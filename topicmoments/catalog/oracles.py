@@ -385,6 +385,13 @@ ORACLES: dict[str, str] = {
     "compact_small_files": "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, true AS dense_ids FROM documents",
     "write_docs": statement("SELECT * FROM docs"),
     "read_docs": statement("SELECT * FROM o_docs"),
+    "read_docs_several": """
+WITH orders_seen AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS place, count(*) OVER () AS n
+                     FROM (SELECT DISTINCT l_orderkey FROM lineitem)),
+saved AS (SELECT 0 AS input, l_orderkey, l_suppkey AS term, l_quantity FROM lineitem
+          UNION ALL SELECT 1, l_orderkey, l_partkey, l_quantity FROM lineitem)
+SELECT place + input * n AS doc_id, CAST(term AS INTEGER) AS term_id, sum(l_quantity) AS cnt, 2 * any_value(n) AS n_docs
+FROM saved JOIN orders_seen USING (l_orderkey) GROUP BY input, place, n, term""",
     "read_libsvm": statement("SELECT * FROM docs"),
     "read_libsvm_class_labels": statement(
         "SELECT label, coalesce(sum(cnt), 0) AS len, count(term_id) AS n_terms, (SELECT count(*) FROM labelled) AS n_docs"

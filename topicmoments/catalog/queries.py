@@ -158,6 +158,18 @@ def read_docs(spark, sf):
     return doc_tables.read_docs(spark, path)
 
 
+def read_docs_several(spark, sf):
+    """Two saved tables with the same ids, suppliers and parts of the orders: twice as many documents."""
+    lines = table(spark, sf, "lineitem")
+    paths = []
+    for term in ("l_suppkey", "l_partkey"):
+        paths.append(work_path(spark, f"{term}.parquet"))
+        docs = lines.groupBy(F.col("l_orderkey").alias("doc_id"), F.col(term).cast("int").alias("term_id")).agg(F.sum("l_quantity").alias("cnt"))
+        doc_tables.write_docs(docs, paths[-1])
+    n_docs = doc_tables.count_docs(spark, paths)
+    return doc_tables.read_docs(spark, paths).withColumn("n_docs", F.lit(n_docs).cast("bigint"))
+
+
 def read_libsvm(spark, sf):
     path = work_path(spark, "docs.libsvm")
     doc_tables.write_libsvm(corpus(spark, sf), path)
@@ -674,7 +686,7 @@ def cv_log_perplexity(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    read_text_corpus, read_text_repeated_path, compact_small_files, write_docs, idf_after_round_trip, read_docs, read_libsvm,
+    read_text_corpus, read_text_repeated_path, compact_small_files, write_docs, idf_after_round_trip, read_docs, read_docs_several, read_libsvm,
     read_libsvm_class_labels, read_dok, read_stopwords,
     write_model, topic_matrix, rescaled_alpha, run_metrics,
     assign_doc_ids, tokenize, remove_stopwords, remove_long_stopword_list, word_count, vocab_topk, vocab_all,

@@ -2,34 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from topicmoments.operators.terms import assign_doc_ids
+from topicmoments.runtime import shuffle_partitions
 from topicmoments.sources.text import _paths
 
 DOCS_SCHEMA = "doc_id bigint, term_id int, cnt double"
+# A saved table also says where each row's document stands: its range, and its place among the documents there.
+SAVED_SCHEMA = f"{DOCS_SCHEMA}, range int, place bigint"
+# The folder inside a saved table that lists its ranges with their numbers of documents; Spark's readers pass over it.
+MANIFEST = "_documents"
+MANIFEST_SCHEMA = "range int, n_docs bigint"
 
 
 def write_docs(docs: DataFrame, path: str, doc_ids: DataFrame | None = None) -> None:
-    """Write counts. Documents of `doc_ids` that have none get a row without a term, so that they still count."""
+    """Write counts in the order of their documents, with a manifest of how many documents each range holds.
+
+    Documents of `doc_ids` that have no count get a row without a term, so that they still count.
+    """
     rows = docs.select("doc_id", "term_id", "cnt")
     if doc_ids is not None:
         bare = doc_ids.select("doc_id").distinct().join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
         rows = rows.unionByName(bare.select("doc_id", F.lit(None).cast("int").alias("term_id"), F.lit(0.0).alias("cnt")))
-    rows.write.mode("errorifexists").parquet(path)
+    spark = docs.sparkSession
+    sorted_rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "term_id")
+    sorted_rows.mapInArrow(_numbered, SAVED_SCHEMA).write.mode("errorifexists").parquet(path)
+    ranges = spark.read.schema(SAVED_SCHEMA).parquet(path).groupBy("range").agg((F.max("place") + 1).alias("n_docs"))
+    ranges.coalesce(1).write.mode("errorifexists").json(f"{path}/{MANIFEST}")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the documents of a task's sorted rows."""
+    own, place, last = TaskContext.get().partitionId(), -1, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        fresh = np.append(last is None or ids[0] != last, ids[1:] != ids[:-1])
+        places = place + np.cumsum(fresh)
+        place, last = int(places[-1]), ids[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ids), own, dtype=np.int32)), pa.array(places)],
+                                         ["doc_id", "term_id", "cnt", "range", "place"])
+
+
+def _table_of(file_path: Column, inner: str = "") -> Column:
+    """The folder of a saved table, from the path of one of its files."""
+    return F.regexp_extract(file_path, f"^(.*){inner}/[^/]+$", 1)
+
+
+def saved_ranges(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """The manifests of saved tables: `(input, saved, range, n_docs, before)`, `before` counting the documents of all
+    tables and ranges that come first. A pattern may name several tables, and a table that is named twice is listed twice."""
+    listed = [spark.read.schema(MANIFEST_SCHEMA).json(f"{path.rstrip('/')}/{MANIFEST}")
+              .select(F.lit(k).alias("input"), _table_of(F.col("_metadata.file_path"), f"/{MANIFEST}").alias("saved"), "range", "n_docs")
+              for k, path in enumerate(_paths(paths))]
+    # one row for each range of each table, so this window is small
+    order = W.orderBy("input", "saved", "range").rowsBetween(W.unboundedPreceding, -1)
+    return reduce(DataFrame.unionByName, listed).withColumn("before", F.coalesce(F.sum("n_docs").over(order), F.lit(0)))
 
 
 def read_docs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """The counts that `write_docs` wrote."""
-    return spark.read.schema(DOCS_SCHEMA).parquet(*_paths(paths)).filter("term_id is not null")
+    """The counts that `write_docs` wrote. A single table keeps its ids.
+
+    Of several tables each document is one of its own, whatever its id: they are numbered from 0 in the order in which
+    the tables are named, then by id. The manifests say how many come before each range, so rows only add two numbers.
+    """
+    listed = _paths(paths)
+    ranges = saved_ranges(spark, listed)
+    if len(listed) == 1 and ranges.select("saved").distinct().limit(2).count() <= 1:
+        return spark.read.schema(DOCS_SCHEMA).parquet(*listed).filter("term_id is not null")
+    rows = reduce(DataFrame.unionByName, [
+        spark.read.schema(SAVED_SCHEMA).parquet(path)
+        .select(F.lit(k).alias("input"), _table_of(F.col("_metadata.file_path")).alias("saved"), "range", "place", "term_id", "cnt")
+        for k, path in enumerate(listed)]).filter("term_id is not null")
+    # a row for each range, thousands at most
+    placed = rows.join(F.broadcast(ranges.select("input", "saved", "range", "before")), ["input", "saved", "range"], "left")
+    number = F.coalesce(F.col("before"), F.raise_error(F.lit("a saved table has no manifest")).cast("bigint")) + F.col("place")
+    return placed.select(number.alias("doc_id"), "term_id", "cnt")
 
 
 def count_docs(spark: SparkSession, paths: str | Sequence[str]) -> int:
-    """The documents that `write_docs` wrote, those without a term included."""
-    return spark.read.schema(DOCS_SCHEMA).parquet(*_paths(paths)).agg(F.count_distinct("doc_id")).first()[0]
+    """The documents that `write_docs` wrote, those without a term included, as the manifests say."""
+    return saved_ranges(spark, paths).agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
 
 
 def read_dok(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
