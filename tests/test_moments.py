@@ -50,6 +50,47 @@ def test_exact_second_moment_and_eigen(spark):
     assert np.allclose(expect @ u, u * values)
 
 
+@pytest.mark.parametrize("block, products", [(7, 50), (16, 1 << 20), (64, 1)])
+def test_second_moment_in_blocks(spark, monkeypatch, block, products):
+    monkeypatch.setattr(moments, "BLOCK_TERMS", block)
+    monkeypatch.setattr(moments, "PRODUCTS", products)
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(np.linspace(2.0, 0.02, 60), size=(150, 60)).astype(float)  # the first terms are in all documents
+    counts[:, 41] = 0
+    docs, table = twins.prepared(spark, counts)
+    cells = moments.second_moment(docs, table, 60, 1.5).collect()
+    whole = np.zeros((60, 60))
+    for r in cells:
+        assert r["i"] <= r["j"] and r["v"] != 0 and whole[r["i"], r["j"]] == 0
+        whole[r["i"], r["j"]] = whole[r["j"], r["i"]] = r["v"]
+    assert np.allclose(whole, 1.5 * 2.5 * twins.pair_moment(counts), atol=1e-12)
+
+
+def test_pairs_of_blocks_are_dealt_among_tasks_and_documents_stay(spark):
+    rng = np.random.default_rng(8)
+    docs, _table = twins.prepared(spark, rng.poisson(1.0, size=(80, 12)).astype(float))
+    plan = moments.block_pairs(docs, 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0]
+    assert moments.pair_moment(docs.limit(0), 12).count() == 0
+
+
+@pytest.mark.parametrize("size, k", [(80, 4), (30, 12), (12, 1), (6, 6)])
+def test_lanczos_as_a_full_decomposition(spark, size, k):
+    rng = np.random.default_rng(size)
+    topics = rng.dirichlet(np.full(size, 0.2), max(k, 3)).T
+    counts = np.vstack([twins.simulate(rng, np.full(max(k, 3), 0.3), topics, 300, 60), np.eye(size) * 3])
+    docs, table = twins.prepared(spark, counts)
+    expect = np.linalg.eigvalsh(twins.second_moment(counts, 5.0))[::-1][:k]
+    if expect[-1] <= 0:
+        with pytest.raises(ValueError, match="positive"):
+            moments.top_eigen_exact(docs, table, size, k, 5.0)
+        return
+    vectors, values = moments.top_eigen_exact(docs, table, size, k, 5.0)
+    u = twins.to_matrix(vectors, size)
+    assert np.allclose(values, expect, rtol=1e-9, atol=1e-12) and np.allclose(u.T @ u, np.eye(k), atol=1e-11)
+    assert np.abs(twins.second_moment(counts, 5.0) @ u - u * values).max() < 1e-9 * values[0]
+
+
 def test_randomised_eigen_finds_a_low_rank_matrix(spark):
     counts = small_counts(seed=5, n_docs=400)
     docs, table = twins.prepared(spark, counts)

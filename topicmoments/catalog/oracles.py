@@ -71,8 +71,6 @@ PARTS: dict[str, str] = {
     "all_counts": _COUNTS.format(words="all_words"),
     "all_vocab": _vocab("all_counts", q.ALL),
     "all_docs": _DOCS.format(words="all_words", vocab="all_vocab"),
-    "pair_vocab": _vocab("counts", q.PAIR_VOCAB),
-    "pair_docs": _DOCS.format(words="words", vocab="pair_vocab"),
     "term_ids": "SELECT term_id FROM vocab",
     "term_count": "SELECT count(*)::DOUBLE AS v FROM vocab",
     "lengths": "SELECT doc_id, sum(cnt) AS len FROM docs GROUP BY doc_id",
@@ -380,6 +378,17 @@ def _one_topic() -> dict[str, str]:
 
 _LINE_VECTOR = f"SELECT {_FLAG} AS comp, l_linenumber AS idx, avg({{m}}) AS v FROM lineitem GROUP BY 1, 2"
 
+_IDENTITY = ("SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS dot, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS image_dot{more} FROM"
+             f" (SELECT CAST(range AS INTEGER) AS i FROM range({q.FIT_TOPICS})), (SELECT CAST(range AS INTEGER) AS j FROM range({q.FIT_TOPICS}))")
+
+
+def _held_out_tokens(lengths: str, reps: list[int]) -> str:
+    """The tokens of the documents that each repetition holds out, for both methods."""
+    return " UNION ALL ".join(
+        f"SELECT {rep} AS rep, method, (SELECT sum(len) FROM {lengths} WHERE {_uniform(0, rep, 'doc_id')} < 0.1::DOUBLE) AS tokens, true AS sound"
+        " FROM (SELECT unnest(['moments', 'online variational']) AS method)" for rep in reps)
+
+
 ORACLES: dict[str, str] = {
     "read_text_corpus": statement(_COUNTS.format(words="all_words")),
     "compact_small_files": "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, true AS dense_ids FROM documents",
@@ -433,13 +442,16 @@ FROM saved JOIN orders_seen USING (l_orderkey) GROUP BY input, place, n, term"""
                             " FROM all_docs JOIN all_idf USING (term_id)"),
     "m1": statement(f"SELECT term_id, {r('coalesce(m1, 0)', 10)} AS m1 FROM term_ids LEFT JOIN m1 USING (term_id)"),
     "m2_exact": statement(
-        f"SELECT i, j, {r(f'{_A0} * ({_A0} + 1) * v / n', 12)} AS v FROM summed, size",
-        {"len_2": "SELECT doc_id, sum(cnt) AS len FROM pair_docs GROUP BY doc_id HAVING sum(cnt) >= 3",
-         "size": "SELECT count(*)::DOUBLE AS n FROM len_2",
-         "rows": "SELECT doc_id, term_id, cnt, len FROM pair_docs JOIN len_2 USING (doc_id)",
+        f"SELECT i, count(*) AS n_cells, {r('sum(v)', 10)} AS total, {r('sum(v * v)', 12)} AS squares, {r('sum(v * (j % 101 + 1))', 8)} AS by_column"
+        f" FROM (SELECT i, j, {_A0} * ({_A0} + 1) * v / n AS v FROM summed, size) GROUP BY i",
+        {"size": "SELECT count(*)::DOUBLE AS n FROM lengths WHERE len >= 3",
+         "rows": "SELECT doc_id, term_id, cnt, len FROM docs JOIN lengths USING (doc_id) WHERE len >= 3",
          "summed": ("SELECT a.term_id AS i, b.term_id AS j, sum((a.cnt * b.cnt - CASE WHEN a.term_id = b.term_id THEN a.cnt"
                     " ELSE 0 END) / (a.len * (a.len - 1))) AS v FROM rows a JOIN rows b USING (doc_id)"
                     " WHERE a.term_id <= b.term_id GROUP BY 1, 2 HAVING v <> 0")}),
+    "m2_exact_orders": statement(f"SELECT i, j, {r('v', 10)} AS v FROM summed", {
+        "summed": ("SELECT a.term_id AS i, b.term_id AS j, sum((a.cnt * b.cnt - CASE WHEN a.term_id = b.term_id THEN a.cnt ELSE 0 END) * a.w2) AS v"
+                   " FROM o_rows a JOIN o_rows b USING (doc_id) WHERE a.term_id <= b.term_id GROUP BY 1, 2 HAVING v <> 0")}),
     "m2_project": statement("SELECT * FROM result", {"size": "SELECT n FROM o_n", **_shifted_m2("o_rows", "o_m1", "o_mat", "n_docs")}),
     "m2_project_masked": statement("SELECT * FROM result", {
         "len_a": "SELECT doc_id, sum(cnt) AS len FROM all_docs GROUP BY doc_id HAVING sum(cnt) >= 3",
@@ -536,6 +548,17 @@ FROM saved JOIN orders_seen USING (l_orderkey) GROUP BY input, place, n, term"""
     "log_sum_exp": statement(
         f"SELECT row AS vec_id, {r('any_value(top) + ln(sum(exp(v * 500 - top)))')} AS v FROM"
         " (SELECT *, max(v * 500) OVER (PARTITION BY row) AS top FROM entries) GROUP BY row"),
+    # eigenpairs and fits start from random numbers; these statements say what must hold of any result
+    "topk_eigen_m2": _IDENTITY.format(more=""),
+    "topk_eigen_exact": _IDENTITY.format(more=", CASE WHEN i = j THEN 0.0::DOUBLE END AS residual"),
+    "fit_moments": statement(f"SELECT i, j, dot, {r('total')} AS first_total, n_terms, true AS third_repeats FROM identity, whole, n_vocab", {
+        "identity": f"SELECT i, j, dot FROM ({_IDENTITY.format(more='')})", "whole": "SELECT sum(m1) AS total FROM m1",
+        "n_vocab": "SELECT count(*) AS n_terms FROM vocab"}),
+    "fit_topics": statement("SELECT CAST(range AS INTEGER) AS topic, n_terms, 1.0::DOUBLE AS total, true AS admissible, true AS falling"
+                            f" FROM range({q.FIT_TOPICS}), n_vocab", {"n_vocab": "SELECT count(*) AS n_terms FROM vocab"}),
+    "run_metrics": statement(f"SELECT {q.FIT_TOPICS}::BIGINT AS k, (SELECT count(*) FROM lengths) AS n_docs, max(term_id) + 1::BIGINT AS vocab_size, true AS timed FROM docs"),
+    "heldout_perplexity": statement(_held_out_tokens("lengths", [0])),
+    "cv_log_perplexity": statement(_held_out_tokens("long_enough", [0, 1]), {"long_enough": "SELECT * FROM lengths WHERE len >= 3"}),
     "split_docs": " UNION ALL ".join(
         f"SELECT doc_id, {_uniform(11, rep, 'doc_id')} < 0.1::DOUBLE AS held_out, {rep} AS rep FROM documents" for rep in (0, 1)),
 }

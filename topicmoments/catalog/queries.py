@@ -11,18 +11,18 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from topicmoments.config import JobConfig, MomentOptions
 from topicmoments.functions import special
 from topicmoments.operators import likelihood, matrix, moments, simplex, tensor, terms, weights
 from topicmoments.plans import evaluate, fit, job
-from topicmoments.runtime import fits_broadcast, spread, table_bytes, work_path
+from topicmoments.runtime import cut, fits_broadcast, spread, table_bytes, work_path
 from topicmoments.sources import doc_tables, models, stopwords, text
 
 # Parameters shared with the SQL.
 TOP = 500  # of the queries whose feature is the limit
 ALL = -1
-PAIR_VOCAB = 200  # the dense moment is for small vocabularies
 MIN_WORDS = 50
 IDF_BOUND = 2.0
 ALPHA0 = 1.5
@@ -231,7 +231,8 @@ def run_metrics(spark, sf):
     doc_tables.write_docs(corpus(spark, sf), docs)
     cfg = JobConfig(k=FIT_TOPICS, alpha0=FIT_ALPHA0, inputs=(docs,), output_dir=path, min_words=3)
     job.run_job(spark, cfg)
-    return spark.read.json(f"{path}/TD_runningTime_k{FIT_TOPICS}.json")
+    figures = spark.read.json(f"{path}/TD_runningTime_k{FIT_TOPICS}.json")
+    return figures.select("k", "n_docs", "vocab_size", ((F.col("fit_seconds") > 0) & (F.col("total_seconds") >= F.col("fit_seconds"))).alias("timed"))
 
 
 # --- words, counts, filters ------------------------------------------------------------------
@@ -339,9 +340,19 @@ def m1(spark, sf):
 # --- moments ---------------------------------------------------------------------------------
 
 def m2_exact(spark, sf):
-    docs = fit.by_document(corpus(spark, sf, PAIR_VOCAB))
-    cells = moments.second_moment(docs.filter(F.col("len") >= 3), fit.term_table(docs), PAIR_VOCAB, ALPHA0)
-    return cells.withColumn("v", rounded("v", 12))
+    """Every cell of the second moment over all words, summed up by its row: number, sum, squares and a sum by column."""
+    made = built(spark, sf)
+    docs = fit.by_document(made.docs)
+    cells = moments.second_moment(docs.filter(F.col("len") >= 3), fit.term_table(docs), made.vocab_size, ALPHA0)
+    return cells.groupBy("i").agg(F.count("*").alias("n_cells"), rounded(F.sum("v"), 10).alias("total"), rounded(F.sum(F.col("v") * F.col("v")), 12).alias("squares"),
+                                  rounded(F.sum(F.col("v") * (F.col("j") % 101 + 1)), 8).alias("by_column"))
+
+
+def m2_exact_orders(spark, sf):
+    """The second moment of the orders' suppliers, cell by cell, in blocks of 32 terms."""
+    docs = fit.by_document(order_corpus(spark, sf)).filter(F.col("len") >= 3)
+    size = (docs.agg(F.max("term_id")).first()[0] or 0) + 1
+    return moments.pair_moment(docs, size, block=32).withColumn("v", rounded("v", 10))
 
 
 def m2_project(spark, sf):
@@ -410,25 +421,43 @@ def gaussian_matrix(spark, sf):
     return out.select("term_id", *[rounded(f"c{j}").alias(f"c{j}") for j in range(RANK)])
 
 
-def _eigen(spark, sf, find: Callable, vocab_size: int = ALL) -> DataFrame:
-    """Eigenvectors and eigenvalues of the documents' second moment, one row per term and rank."""
-    made = built(spark, sf, vocab_size)
+def _eigen(made: job.Corpus, find: Callable) -> DataFrame:
+    """What must hold of eigenpairs of the second moment, measured by another pass over the documents.
+
+    For ranks i and j: u_i·u_j, and (M u_i)·(M u_j) over both eigenvalues (1 or 0); for i = j also |M u - s u| over s.
+    """
     docs = fit.prepare(made.docs)
     try:
         sums = fit.term_table(docs, made.n_docs)
-        vectors, values = find(docs.filter(F.col("len") >= 3), sums, made.vocab_size)
+        valid = docs.filter(F.col("len") >= 3)
+        vectors, values = find(valid, sums, made.vocab_size)
+        vectors = cut(vectors)
+        image = moments.project_second_moment(valid, vectors, sums, FIT_ALPHA0)
+        cols = matrix.columns(vectors)
+        both = vectors.join(image.selectExpr("term_id", *[f"c{j} as m{j}" for j in range(len(cols))]), "term_id")
+        products = matrix.gram_matrix(both, [*cols, *[f"m{j}" for j in range(len(cols))]])
     finally:
         docs.unpersist()
-    long = vectors.select("term_id", F.posexplode(F.array(*matrix.columns(vectors))).alias("rank", "weight"))
-    return long.withColumn("eigenvalue", F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("rank") + 1))
+    k = len(cols)
+    rows = [(i, j, float(products[i, j]), float(products[k + i, k + j] / values[i] / values[j]),
+             float(np.sqrt(max(products[k + i, k + i] - 2 * values[i] * products[i, k + i] + values[i] ** 2, 0.0)) / values[i]) if i == j else None)
+            for i in range(k) for j in range(k)]
+    found = made.docs.sparkSession.createDataFrame(rows, "i int, j int, dot double, image_dot double, residual double")
+    return found.select("i", "j", rounded("dot").alias("dot"), rounded("image_dot", 6).alias("image_dot"), "residual")
 
 
 def topk_eigen_m2(spark, sf):
-    return _eigen(spark, sf, lambda docs, sums, n: moments.top_eigen(docs, sums, n, FIT_TOPICS, FIT_ALPHA0))
+    """Randomised iteration: vectors and images are orthogonal; the residual hangs on the number of iterations."""
+    found = _eigen(built(spark, sf), lambda docs, sums, n: moments.top_eigen(docs, sums, n, FIT_TOPICS, FIT_ALPHA0))
+    return found.drop("residual")
 
 
 def topk_eigen_exact(spark, sf):
-    return _eigen(spark, sf, lambda docs, sums, n: moments.top_eigen_exact(docs, sums, n, FIT_TOPICS, FIT_ALPHA0), TOP)
+    """Lanczos on the stored second moment of the conversations' words, all of them."""
+    said = spread(table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "text"))
+    made = job.corpus_from_texts(said, ALL, stopwords.ENGLISH)
+    found = _eigen(made, lambda docs, sums, n: moments.top_eigen_exact(docs, sums, n, FIT_TOPICS, FIT_ALPHA0))
+    return found.withColumn("residual", rounded("residual", 6))
 
 
 def topk_eigen_one(spark, sf):
@@ -637,14 +666,28 @@ def log_sum_exp(spark, sf):
 
 
 def fit_moments(spark, sf):
+    """What must hold of the moments of a fit: orthonormal eigenvectors, a whitened third moment equal to a pass of its own
+    with the same vectors, and a first moment that sums to one."""
     options = MomentOptions(k=FIT_TOPICS, alpha0=FIT_ALPHA0)
     made = built(spark, sf)
     found = fit.fit_moments(made.docs, options, made.vocab_size, made.n_docs)
-    return moments.tensor_cells(found.eigenvectors, found.third)
+    docs = fit.prepare(made.docs)
+    try:
+        sums, valid = fit.term_table(docs, made.n_docs), docs.filter(F.col("len") >= 3)
+        white = moments.whitening_matrix(found.eigenvectors, found.eigenvalues)
+        third = moments.whitened_third_moment(valid, white, sums, FIT_ALPHA0)
+    finally:
+        docs.unpersist()
+    products = matrix.gram_matrix(found.eigenvectors, matrix.columns(found.eigenvectors))
+    total = found.first.agg(F.sum("m1")).first()[0]
+    even = np.abs(third - found.third).max() <= 1e-8 * np.abs(found.third).max()
+    rows = [(i, j, float(products[i, j]), float(total), made.vocab_size, bool(even)) for i in range(FIT_TOPICS) for j in range(FIT_TOPICS)]
+    out = spark.createDataFrame(rows, "i int, j int, dot double, first_total double, n_terms bigint, third_repeats boolean")
+    return out.withColumns({"dot": rounded("dot"), "first_total": rounded("first_total")})
 
 
-def fit_topics(spark, sf):
-    """The flagship: learn topics from the documents and name their words."""
+def fitted(spark, sf):
+    """A fit of all words of the documents: words by topic with the topic's weight."""
     made = built(spark, sf)
     model = fit.TopicMoments(FIT_TOPICS, FIT_ALPHA0).fit(made.docs, made.vocab_size, made.n_docs)
     alpha = F.element_at(F.array(*[F.lit(a) for a in model.alpha]), F.col("topic") + 1)
@@ -655,6 +698,15 @@ def fit_topics(spark, sf):
             .select("topic", alpha.alias("alpha"), "term_id", "term", "p"))
 
 
+def fit_topics(spark, sf):
+    """What must hold of the learned topics: all words, none negative, sums of one, weights from the largest down."""
+    by_topic = fitted(spark, sf).groupBy("topic").agg(F.count("*").alias("n_terms"), rounded(F.sum("p")).alias("total"), F.min("p").alias("least"),
+                                                      F.max("alpha").alias("alpha"))
+    # one row for each topic, so this window is small
+    falling = F.coalesce(F.col("alpha") <= F.lag("alpha").over(W.orderBy("topic")), F.lit(True)) & (F.col("alpha") > 0)
+    return by_topic.select("topic", "n_terms", "total", (F.col("least") >= 0).alias("admissible"), falling.alias("falling"))
+
+
 def fit_one_topic(spark, sf):
     """The whole fit for one topic, which has no choice of start."""
     made = built(spark, sf)
@@ -671,18 +723,24 @@ def split_docs(spark, sf):
     return both[0].unionByName(both[1])
 
 
+def _scores(found: DataFrame, vocab_size: int) -> DataFrame:
+    """Scores as what must hold of them: finite, and of our method better than a guess among all words."""
+    most = F.when(F.col("method") == "moments", float(np.log(vocab_size))).otherwise(1e6)
+    return found.select("rep", "method", "tokens", F.col("log_perplexity").between(0.0, most).alias("sound"))
+
+
 def heldout_perplexity(spark, sf):
     made = built(spark, sf)
     docs = made.docs.persist()
     try:
-        return evaluate.heldout_perplexity(docs, made.vocab_size, FIT_TOPICS, FIT_ALPHA0)
+        return _scores(evaluate.heldout_perplexity(docs, made.vocab_size, FIT_TOPICS, FIT_ALPHA0), made.vocab_size)
     finally:
         docs.unpersist()
 
 
 def cv_log_perplexity(spark, sf):
     made = built(spark, sf)
-    return evaluate.cv_log_perplexity(made.docs, made.vocab_size, 2, FIT_TOPICS, FIT_ALPHA0, min_words=3)
+    return _scores(evaluate.cv_log_perplexity(made.docs, made.vocab_size, 2, FIT_TOPICS, FIT_ALPHA0, min_words=3), made.vocab_size)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
@@ -692,7 +750,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     assign_doc_ids, tokenize, remove_stopwords, remove_long_stopword_list, word_count, vocab_topk, vocab_all,
     vocab_stats, doc_term, doc_length, min_words_filter, valid_docs, term_distribution, token_total,
     corpus_summary, to_features, doc_freq, idf, low_idf_terms, filter_idf, m1,
-    m2_exact, m2_project, m2_project_masked, whitening_matrix, whiten_docs, whiten_first_moment,
+    m2_exact, m2_exact_orders, m2_project, m2_project_masked, whitening_matrix, whiten_docs, whiten_first_moment,
     m3_first, m3_second, m3_third, m3_whitened, gaussian_matrix, topk_eigen_m2, topk_eigen_exact, topk_eigen_one,
     gram, gram_tall, orthonormalize, normalize_columns, frobenius_norm, condition_number, column_dots,
     rank_one_tensor, unfold_tensor, fold_tensor, khatri_rao, mttkrp, cp_loss, cp_als,

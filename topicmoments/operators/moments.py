@@ -14,6 +14,8 @@ from itertools import combinations_with_replacement, permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 from topicmoments.operators.matrix import (
     COLUMN_BLOCK, MAX_EXPRESSIONS, column_sums, columns, gaussian_matrix, gram_matrix, number,
     orthonormal_step, orthonormalize, sums, times_small)
-from topicmoments.runtime import cut, join_sized, row_bytes
+from topicmoments.runtime import cut, hot_keys, join_sized, row_bytes, shuffle_partitions, stored
 
-# Largest vocabulary for which the whole second moment is formed.
-EXACT_VOCAB = 4096
+# Terms on either side of a block of the second moment: a task holds one block of this size.
+BLOCK_TERMS = 2048
+# Products of counts that a task has at hand at a time.
+PRODUCTS = 1 << 20
 # Fixed value: added to the root of an eigenvalue before it is inverted.
 WHITEN_SLACK = 1e-9
 
@@ -152,42 +156,118 @@ def whole_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def pair_moment(docs: DataFrame, vocab_size: int) -> DataFrame:
-    """Sum over documents of (n nᵀ - diag n) / (len (len - 1)): `(i, j, v)` with i <= j.
+def block_pairs(docs: DataFrame, block: int, n_blocks: int) -> DataFrame:
+    """Each document's terms by pairs of blocks of terms: `(pair, doc_id, w, xt, xc, yt, yc)`.
 
-    Each task adds its documents into one small matrix; pairs of terms are never listed per
-    document. Only for vocabularies up to `EXACT_VOCAB`.
+    Only pairs that the document touches are listed, the lower block first; within one block, `y` is left empty. Where
+    documents are placed by document, nothing is shuffled.
     """
-    if vocab_size > EXACT_VOCAB:
-        raise ValueError(f"the whole second moment needs at most {EXACT_VOCAB} terms, got {vocab_size}")
-    step = max(1, (1 << 22) // vocab_size)
+    by_block = (docs.select("doc_id", "term_id", "cnt", "len").withColumn("block", F.floor(F.col("term_id") / block))
+                .groupBy("doc_id", "block").agg(F.first("len").alias("len"), F.collect_list("term_id").alias("t"), F.collect_list("cnt").alias("c")))
+    whole = by_block.groupBy("doc_id").agg(F.first("len").alias("len"), F.collect_list(F.struct("block", "t", "c")).alias("blocks"))
+    first = whole.select("doc_id", F.expr(PAIR).alias("w"), "blocks", F.explode("blocks").alias("x"))
+    both = first.select("doc_id", "w", "x", F.explode(F.filter("blocks", lambda b: b["block"] >= F.col("x.block"))).alias("y"))
+    other = F.col("x.block") != F.col("y.block")
+    return both.select((F.col("x.block") * n_blocks + F.col("y.block")).alias("pair"), "doc_id", "w", F.col("x.t").alias("xt"), F.col("x.c").alias("xc"),
+                       F.when(other, F.col("y.t")).alias("yt"), F.when(other, F.col("y.c")).alias("yc"))
+
+
+class _Block:
+    """Sums of one block of the second moment, listed while they are few and dense from then on."""
+
+    def __init__(self, row: int, col: int, size: int) -> None:
+        self.row, self.col, self.size = row, col, size
+        self.listed: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting, self.dense = 0, None
+
+    def add(self, w: np.ndarray, x: tuple, y: tuple | None) -> None:
+        """Products of the counts of documents; `x` and `y` are terms, counts and numbers of terms."""
+        (xt, xc, nx), (yt, yc, ny) = x, x if y is None else y
+        many = np.repeat(ny, nx)  # for each term of x, the terms of its document in y
+        ends = np.cumsum(many)
+        at = np.repeat(np.arange(len(xt)), many)
+        other = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many - np.repeat(np.cumsum(ny) - ny, nx), many)
+        counts = yc[other]
+        if y is None:
+            kept = xt[at] <= yt[other]
+            at, other, counts = at[kept], other[kept], counts[kept]
+            counts = counts - (xt[at] == yt[other])  # a word is no pair with itself
+        flat = (xt[at] - self.row * self.size) * self.size + (yt[other] - self.col * self.size)
+        values = np.repeat(w, nx)[at] * xc[at] * counts
+        self.listed.append((flat, values))
+        self.waiting += len(flat)
+        if self.waiting > self.size * self.size // 4:
+            self._gather()
+
+    def _gather(self) -> None:
+        flat, values = (np.concatenate(x) for x in zip(*self.listed))
+        total = np.bincount(flat, values, minlength=self.size * self.size)
+        self.dense = total if self.dense is None else self.dense + total
+        self.listed, self.waiting = [], 0
+
+    def cells(self) -> Iterator[pa.RecordBatch]:
+        if self.dense is not None and self.listed:
+            self._gather()
+        if self.dense is not None:
+            flat = np.flatnonzero(self.dense)
+            values = self.dense[flat]
+        else:
+            flat, at = np.unique(np.concatenate([f for f, _ in self.listed]), return_inverse=True)
+            values = np.bincount(at, np.concatenate([v for _, v in self.listed]), minlength=len(flat))
+            flat, values = flat[values != 0], values[values != 0]
+        for lo in range(0, len(flat), 1 << 18):
+            i, j = np.divmod(flat[lo:lo + (1 << 18)], self.size)
+            yield pa.RecordBatch.from_arrays([pa.array((i + self.row * self.size).astype(np.int32)), pa.array((j + self.col * self.size).astype(np.int32)),
+                                              pa.array(values[lo:lo + (1 << 18)])], ["i", "j", "v"])
 
-    def partial(batches):
-        total = np.zeros((vocab_size, vocab_size))
-        for pdf in whole_documents(batches):
-            ids, at = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
-            terms, counts = pdf["term_id"].to_numpy(), pdf["cnt"].to_numpy(float)
-            length = pdf["len"].to_numpy(float)
-            pair = 1.0 / (length * (length - 1))
-            for lo in range(0, len(ids), step):
-                here = (at >= lo) & (at < lo + step)
-                block = np.zeros((min(step, len(ids) - lo), vocab_size))
-                scaled = np.zeros_like(block)
-                np.add.at(block, (at[here] - lo, terms[here]), counts[here])
-                np.add.at(scaled, (at[here] - lo, terms[here]), counts[here] * pair[here])
-                total += block.T @ scaled
-            total[np.arange(vocab_size), np.arange(vocab_size)] -= np.bincount(
-                terms, counts * pair, minlength=vocab_size)
-        i, j = np.nonzero(np.triu(total))
-        for lo in range(0, len(i), 1 << 18):
-            hi = slice(lo, lo + (1 << 18))
-            yield pd.DataFrame({"i": i[hi].astype("int32"), "j": j[hi].astype("int32"),
-                                "v": total[i[hi], j[hi]]})
-
-    rows = docs.select("doc_id", "term_id", "cnt", "len")
-    placed = rows.repartition("doc_id").sortWithinPartitions("doc_id")
-    return (placed.mapInPandas(partial, "i int, j int, v double")
-            .groupBy("i", "j").agg(F.sum("v").alias("v")))
+
+def _arrays(terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and counts of a run of documents, one after the other, and how many each has."""
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    return terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts.flatten().to_numpy(zero_copy_only=False), sizes.astype(np.int64)
+
+
+def pair_moment(docs: DataFrame, vocab_size: int, block: int | None = None) -> DataFrame:
+    """Sum over documents of (n nᵀ - diag n) / (len (len - 1)): `(i, j, v)` with i <= j, absent where it is zero.
+
+    The moment is cut into square blocks of terms. A document's terms go to the pairs of blocks that they touch; a task
+    adds up one block after the other, so it never holds more than one, whatever the vocabulary. A pair of
+    blocks that more than its part of all documents touch is dealt among several tasks, whose sums are then added.
+    """
+    block = block or BLOCK_TERMS
+    spark, n_blocks = docs.sparkSession, -(-vocab_size // block)
+    parts = shuffle_partitions(spark)
+    pairs = block_pairs(docs, block, n_blocks)
+    hot = cut(hot_keys(pairs.groupBy("pair").agg(F.count("*").alias("n")), "pair", "n", parts))
+    dealt = pairs.join(F.broadcast(hot), "pair", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("copies", F.lit(1))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, key = None, None
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            x_sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            y_sizes = pc.fill_null(pc.list_value_length(batch.column(4)), 0).to_numpy(zero_copy_only=False)
+            products = np.cumsum(x_sizes * np.where(y_sizes > 0, y_sizes, x_sizes))
+            start = 0
+            while start < len(keys):
+                if keys[start] != key:
+                    if own is not None:
+                        yield from own.cells()
+                    key = keys[start]
+                    own = _Block(int(key) // n_blocks, int(key) % n_blocks, block)
+                before = products[start - 1] if start else 0
+                stop = min(int(np.searchsorted(keys, key, "right")), max(start + 1, int(np.searchsorted(products, before + PRODUCTS, "right"))))
+                part = batch.slice(start, stop - start)
+                x = _arrays(part.column(2), part.column(3))
+                y = None if own.row == own.col else _arrays(part.column(4), part.column(5))
+                own.add(part.column(1).to_numpy(zero_copy_only=False), x, y)
+                start = stop
+        if own is not None:
+            yield from own.cells()
+
+    placed = dealt.repartition(parts, "pair", "salt").sortWithinPartitions("pair")
+    cells = placed.select("pair", "w", "xt", "xc", "yt", "yc").mapInArrow(add, "i int, j int, v double")
+    return cells.groupBy("i", "j").agg(F.sum("v").alias("v")) if hot.count() else cells
 
 
 def second_moment(docs: DataFrame, table: TermTable, vocab_size: int, alpha0: float) -> DataFrame:
@@ -196,31 +276,85 @@ def second_moment(docs: DataFrame, table: TermTable, vocab_size: int, alpha0: fl
     The shifted moment is this less the product of the first moments, a0² m1_i m1_j, which no pair is
     without; it has rank one and is left in that form. Masked terms have no row.
     """
-    open_terms = F.broadcast(table.terms.select("term_id"))
+    open_docs = join_sized(docs, table.terms.select("term_id"), "term_id", table.n_terms * row_bytes(1), "doc_id", table.terms, "df")
     main = alpha0 * (alpha0 + 1) / table.n_docs
-    return (pair_moment(docs, vocab_size)
-            .join(open_terms.toDF("i"), "i").join(open_terms.toDF("j"), "j")
-            .select("i", "j", (F.lit(main) * F.col("v")).alias("v")))
-
-
-def top_eigen_exact(docs: DataFrame, table: TermTable, vocab_size: int, k: int,
-                    alpha0: float) -> tuple[DataFrame, np.ndarray]:
-    """Leading eigenpairs from the whole second moment, ranked by signed value."""
-    cells = second_moment(docs, table, vocab_size, alpha0).toPandas()
-    m1 = np.zeros(vocab_size)
-    for row in table.terms.select("term_id", "m1").collect():
-        m1[row["term_id"]] = row["m1"]
-    whole = np.zeros((vocab_size, vocab_size))
-    i, j = cells["i"].to_numpy(), cells["j"].to_numpy()
-    whole[i, j] = whole[j, i] = cells["v"].to_numpy()
-    whole -= alpha0 * alpha0 * np.outer(m1, m1)
-    values, vectors = np.linalg.eigh(whole)
-    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
-    if values[-1] <= 0:
-        raise ValueError(f"leading eigenvalues of the second moment must be positive, got {values.tolist()}")
-    pdf = pd.DataFrame(vectors, columns=[f"c{c}" for c in range(k)])
-    pdf.insert(0, "term_id", np.arange(vocab_size, dtype="int32"))
-    return docs.sparkSession.createDataFrame(pdf), values.copy()
+    return pair_moment(open_docs, vocab_size).select("i", "j", (F.lit(main) * F.col("v")).alias("v"))
+
+
+def _cells_times(cells: DataFrame, basis: DataFrame, cols: Sequence[str], table: TermTable, alpha0: float) -> DataFrame:
+    """The shifted second moment, from its stored cells in both directions, times columns of a tall matrix that carries
+    the first moment: `(term_id, w0, w1, ...)`."""
+    shift = column_sums(basis, cols, "m1") * (alpha0 * alpha0)
+    named = basis.selectExpr("term_id as j", *[f"{c} as x{n}" for n, c in enumerate(cols)])
+    counts = cells.groupBy("j").agg(F.count("*").alias("n"))
+    hits = join_sized(cells, named, "j", table.n_terms * row_bytes(len(cols)), "i", counts, "n")
+    image = hits.groupBy(F.col("i").alias("term_id")).agg(*[F.expr(f"sum(v * x{n}) as z{n}") for n in range(len(cols))])
+    return basis.select("term_id", "m1").join(image, "term_id", "left").selectExpr(
+        "term_id", *[f"coalesce(z{n}, 0.0D) - {number(shift[n])} * m1 as w{n}" for n in range(len(cols))])
+
+
+def top_eigen_exact(docs: DataFrame, table: TermTable, vocab_size: int, k: int, alpha0: float, tol: float = 1e-10,
+                    seed: int = 0, max_steps: int = 100) -> tuple[DataFrame, np.ndarray]:
+    """Leading eigenpairs of the whole second moment, ranked by signed value, by block Lanczos steps on its stored cells.
+
+    The cells are written once. Each step multiplies the newest block of the basis by them, makes the image orthogonal to
+    the whole basis twice over and appends it; what the moment is within the basis gives eigenpairs and their residuals.
+    Once the basis is wide it is started again from its leading vectors. Steps end when all k residuals, measured from
+    the cells, are below `tol` of the largest value. Only products of columns come to the driver.
+    """
+    spark = docs.sparkSession
+    if table.n_terms < k:
+        raise ValueError(f"{table.n_terms} terms cannot give {k} topics")
+    upper = second_moment(docs, table, vocab_size, alpha0)
+    upper = stored(upper, "moment")
+    cells = upper.unionByName(upper.filter("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    widest = max(4 * k, k + 16)
+    start = gaussian_matrix(table.terms, "term_id", k, seed)
+    basis = stored(orthonormalize(start, "term_id").join(table.terms.select("term_id", "m1"), "term_id"), "basis")
+    inside = np.zeros((0, 0))
+    for _ in range(max_steps):
+        cols = columns(basis)
+        old, m = len(inside), len(cols)
+        image = _cells_times(cells, basis, cols[old:], table, alpha0)
+        n_new = m - old
+        both = stored(basis.join(image, "term_id"), "image")
+        images = [f"w{n}" for n in range(n_new)]
+        products = gram_matrix(both, [*cols, *images])
+        within = products[:m, m:]
+        grown = np.zeros((m, m))
+        grown[:old, :old] = inside
+        grown[:, old:] = within
+        grown[old:, :] = within.T
+        inside = (grown + grown.T) / 2
+        # what is new in the image, made orthogonal a second time from its own products
+        rest = times_small(both, ["term_id", "m1"], [*cols, *images], np.block([[np.eye(m), -within], [np.zeros((n_new, m)), np.eye(n_new)]]))
+        again = gram_matrix(rest, columns(rest))
+        left = again[m:, m:] - again[:m, m:].T @ again[:m, m:]
+        values, vectors = np.linalg.eigh(inside)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        scale = np.abs(values).max()
+        sizes, turn = np.linalg.eigh((left + left.T) / 2)
+        # directions that hardly stand out from the rest would not come out orthogonal
+        fresh = sizes > max((tol * scale) ** 2 * 1e-4, 1e-10 * sizes.max())
+        beta = np.sqrt(np.maximum(sizes, 0.0))[:, None] * turn.T
+        residuals = np.linalg.norm(beta @ vectors[old:, :k], axis=0)
+        if m >= k and ((residuals <= tol * scale).all() or not fresh.any()):
+            break
+        step = turn[:, fresh] / np.sqrt(sizes[fresh])
+        keep = np.eye(m)
+        if m + fresh.sum() > widest:
+            keep = vectors[:, :min(m, 2 * k)]
+            inside = np.diag(values[:keep.shape[1]])
+        whole = np.zeros((m + n_new, keep.shape[1] + step.shape[1]))
+        whole[:m, :keep.shape[1]] = keep
+        whole[:m, keep.shape[1]:] = -again[:m, m:] @ step
+        whole[m:, keep.shape[1]:] = step
+        basis = stored(times_small(rest, ["term_id", "m1"], columns(rest), whole), "basis")
+    else:
+        raise RuntimeError(f"eigenvalues did not settle in {max_steps} steps: residuals {residuals.tolist()}")
+    if values[k - 1] <= 0:
+        raise ValueError(f"leading eigenvalues of the second moment must be positive, got {values[:k].tolist()}")
+    return times_small(both, ["term_id"], cols, vectors[:, :k]), values[:k].copy()
 
 
 def whitening_matrix(vectors: DataFrame, values: Sequence[float]) -> DataFrame:
