@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,69 +10,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from topicmoments.llm.common import join_measured, join_salted, lists, pieces, written
 from topicmoments.llm.components import components
 from topicmoments.llm.near_dup import prints, shingle_sets
-from topicmoments.llm.words import NOT_BLANK, WordReader, mixed
+from topicmoments.llm.words import NOT_BLANK, WordReader
 
-#: Salts of the orders by hash, beside the order by rarity. The first is the order of the shingles' own hashes.
-ORDERS = (0, 0x2545F4914F6CDD1D)
 #: Members of a bucket that all its other members meet in one round.
 HUBS = 8
 #: As many at most; the number doubles from round to round.
 MOST_HUBS = 256
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    """So many shingles of a set, the first in any order, hold one of every set that is similar enough."""
-    return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+def spare(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of a set a similar enough one may lack."""
+    return n * (100 - percent) // 100
 
 
-def ordered_prefixes(values: np.ndarray, counts: np.ndarray, percent: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's prefix in the order of salted hashes, one set after the other, and the prefixes' lengths."""
-    lengths = prefix_length(counts, percent)
-    stops = np.cumsum(counts)
-    if salt:
-        owner = np.repeat(np.arange(len(counts)), counts)
-        values = values[np.lexsort((mixed(values ^ np.uint64(salt)), owner))]
-    place = np.arange(len(values)) - np.repeat(stops - counts, counts)
+def extended_prefixes(values: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set in the order of their hashes, one set after the other, and their numbers.
+
+    The first `spare` + 1 shingles in any order hold one of every similar enough set. Half as many more are taken:
+    then all but `spare` of these must stand in another set.
+    """
+    lengths = np.minimum(counts, np.maximum(spare(counts, percent) + 1, counts * (100 - percent) * 3 // 200))
+    place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
     return values[place < np.repeat(lengths, counts)], lengths
 
 
-def outlines(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(id, n, p1, p2, prefix): each text's number of shingles, prints of the set and the prefix in the first order."""
-    packed = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+def _scan(docs: DataFrame, size: int, schema: str, result: Callable[[pa.Array, np.ndarray, np.ndarray], list]) -> DataFrame:
+    """Run a function over ids, the shingles of texts (sorted hashes) and their numbers."""
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = WordReader(NOT_BLANK)
         for batch in batches:
             for piece in pieces(batch, 1):
-                values, counts = shingle_sets(reader, piece.column(1), size)
-                p1, p2 = prints(values, counts)
-                first, lengths = ordered_prefixes(values, counts, percent, ORDERS[0])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)),
-                                                  lists(first.view(np.int64), lengths, pa.int64())], ["id", "n", "p1", "p2", "prefix"])
+                columns = result(piece.column(0), *shingle_sets(reader, piece.column(1), size))
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) if isinstance(c, np.ndarray) else c for c in columns], names)
 
-    return packed.mapInArrow(run, "id long, n long, p1 long, p2 long, prefix array<long>")
+    return docs.mapInArrow(run, schema)
 
 
-def whole_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, p1, p2, shingles, orders): the whole set of each text and its prefixes in the orders by hash."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = WordReader(NOT_BLANK)
-        for batch in batches:
-            for piece in pieces(batch, 1):
-                values, counts = shingle_sets(reader, piece.column(1), size)
-                p1, p2 = prints(values, counts)
-                found = [ordered_prefixes(values, counts, percent, salt) for salt in ORDERS]
-                found = [lists(own.view(np.int64), lengths, pa.int64()) for own, lengths in found]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), lists(values.view(np.int64), counts, pa.int64()),
-                     pa.StructArray.from_arrays(found, [f"o{k}" for k in range(len(found))])], ["id", "p1", "p2", "shingles", "orders"])
+def outlines(texts: DataFrame, size: int) -> DataFrame:
+    """(id, n, p1, p2): each text's number of shingles and prints of the set."""
+    return _scan(texts, size, "id long, n long, p1 long, p2 long", lambda ids, values, counts: [ids, counts, *prints(values, counts)])
+
+
+def first_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, own): shingles of the extended prefixes with a print of their set, one row for each."""
+    def rows(ids: pa.Array, values: np.ndarray, counts: np.ndarray) -> list:
+        found, lengths = extended_prefixes(values, counts, percent)
+        return [found, np.repeat(prints(values, counts)[0], lengths)]
+
+    return _scan(texts, size, "key long, own long", rows)
 
-    orders = ", ".join(f"o{k}:array<long>" for k in range(len(ORDERS)))
-    return docs.mapInArrow(run, f"id long, p1 long, p2 long, shingles array<long>, orders struct<{orders}>")
+
+def whole_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, p1, p2, shingles): the whole set of each text, in the order of hashes."""
+    return _scan(texts, size, "id long, p1 long, p2 long, shingles array<long>",
+                 lambda ids, values, counts: [ids, *prints(values, counts), lists(values.view(np.int64), counts, pa.int64())])
 
 
 def largest_partner(n: Column, before: Column, percent: int) -> Column:
@@ -89,12 +87,20 @@ def enough(common: Column, n1: Column, n2: Column, percent: int) -> Column:
     return (100 + percent) * common >= percent * (n1 + n2)
 
 
-def candidates(outlined: DataFrame, percent: int) -> DataFrame:
-    """(cid, n): classes that share a shingle of the first order's prefix with another class."""
-    prefix = outlined.select("cid", "n", F.posexplode("prefix").alias("before", "key"))
-    prefix = prefix.withColumn("most", largest_partner(F.col("n"), F.col("before"), percent)).drop("before")
-    shared = written(prefix.groupBy("key").agg(F.count("*").alias("w"), F.min("n").alias("least")).filter("w > 1"), "shared-prefixes")
-    return join_salted(prefix, shared, ["key"], "w", F.col("cid"), 60).filter("least <= most").select("cid", "n").distinct()
+def may_lack(n: Column, percent: int) -> Column:
+    """How many shingles of a set a similar enough one may lack."""
+    return F.floor(n * (100 - percent) / 100)
+
+
+def candidates(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Classes whose prefix in the order of hashes has enough shingles that stand in the prefix of another class, too.
+
+    A shingle that only copies of one set have is found by equal prints, and is added up before every shuffle.
+    """
+    owners = first_shingles(texts, size, percent).groupBy("key").agg(F.min("own").alias("p1"), F.max("own").alias("other"))
+    alone = written(owners.filter("p1 = other").groupBy("p1").agg(F.count("*").alias("alone")), "alone")
+    found = join_measured(classes, alone, ["p1"], "left", 60)
+    return found.filter(F.coalesce("alone", F.lit(0)) <= may_lack(F.col("n"), percent)).drop("alone")
 
 
 def members_of(sets: DataFrame, percent: int) -> DataFrame:
@@ -105,50 +111,44 @@ def members_of(sets: DataFrame, percent: int) -> DataFrame:
     """
     each = sets.select("cid", "n", F.explode("shingles").alias("key"))
     common = written(each.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
-    table = common.withColumn("w", F.col("df"))
-    ranked = join_salted(each, table, ["key"], "w", F.col("cid"), 60).filter("df is not null")
+    ranked = join_salted(each, common.withColumn("w", F.col("df")), ["key"], "w", F.col("cid"), 60).filter("df is not null")
     own = ranked.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))
-    s = F.size("order")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    left = F.greatest(F.lit(0).cast("long"), prefix - (F.col("n") - s)).cast("int")
-    rows = own.select("cid", "n", s.cast("long").alias("s"), F.posexplode(F.slice("order", F.lit(1), left)).alias("place", "item"))
+    own = own.select("cid", "n", "order", F.size("order").cast("long").alias("s"))
+    left = F.greatest(F.lit(0), may_lack(F.col("n"), percent) + 1 - (F.col("n") - F.col("s"))).cast("int")
+    rows = own.select("cid", "n", "s", F.posexplode(F.slice("order", F.lit(1), left)).alias("place", "item"))
     most = largest_partner(F.col("n"), F.col("n") - F.col("s") + F.col("place"), percent)
-    rows = written(rows.select(F.col("item.key").alias("key"), F.col("cid").alias("id"), "n", most.alias("most"), "s"), "prefixes")
-    return useful(rows, percent)
+    return useful(written(rows.select(F.col("item.key").alias("key"), F.col("cid").alias("id"), "n", most.alias("most"), "s"), "prefixes"))
 
 
-def useful(members: DataFrame, percent: int) -> DataFrame:
+def useful(members: DataFrame) -> DataFrame:
     """Members that are small enough, as their buckets are, to meet anybody there."""
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1")
     found = join_salted(members, buckets.withColumn("w", F.col("size")), ["key"], "w", F.col("id"), 80)
     return found.filter("least <= most").drop("size", "least")
 
 
-def same_in_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose prefixes have a shingle in common under every order by hash."""
-    names = [f"o{k}" for k in range(len(ORDERS))]
-    numbers = reduce(Column.__add__, [F.size(f"orders.{o}") for o in names])
-    both = attach(pairs, sets.select("cid", F.col("orders").alias("set"), numbers.alias("numbers")))
-    return both.filter(reduce(Column.__and__, [F.arrays_overlap(f"a_set.{o}", f"b_set.{o}") for o in names])).select("a", "b")
-
-
 def attach(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with the `set` of both ends. A class in very many pairs is dealt among tasks, each with a copy of its set."""
+    """Pairs with the size and the set of both ends. A class in very many pairs is dealt among tasks, each with a copy of its set."""
     both = pairs
     for end, other in (("a", "b"), ("b", "a")):
-        weights = pairs.groupBy(end).agg(F.count("*").alias("w"))
-        own = written(weights.join(sets.select(F.col("cid").alias(end), F.col("set").alias(f"{end}_set"), "numbers"), end), "pair-sets")
-        mean = own.agg(F.avg("numbers")).first()[0] or 0
-        both = join_salted(both, own.drop("numbers"), [end], "w", F.col(other), int(100 + 16 * mean))
+        weights = written(pairs.groupBy(end).agg(F.count("*").alias("w")), "pair-counts")
+        mean = weights.join(sets.select(F.col("cid").alias(end), "n"), end).agg(F.avg("n")).first()[0] or 0
+        own = weights.join(sets.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}")), end)
+        both = join_salted(both, own, [end], "w", F.col(other), int(100 + 10 * mean))
     return both
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common, linked) of pairs that pass the orders' filters, from their whole sets."""
-    both = attach(written(same_in_all_orders(pairs, sets), "candidates"), sets.select("cid", F.struct("n", "shingles").alias("set"), F.col("n").alias("numbers")))
-    common = F.size(F.array_intersect("a_set.shingles", "b_set.shingles")).cast("long")
-    both = both.select("a", "b", common.alias("common"), F.col("a_set.n").alias("n1"), F.col("b_set.n").alias("n2"))
-    return both.select("a", "b", "common", enough(F.col("common"), F.col("n1"), F.col("n2"), percent).alias("linked"))
+    """(a, b, common, linked) of pairs whose prefixes share a shingle in the order of hashes and in its reverse, too."""
+    both = attach(pairs, sets)
+
+    def prefix(end: str, last: bool) -> Column:
+        n, length = F.col(f"n_{end}"), may_lack(F.col(f"n_{end}"), percent) + 1
+        return F.slice(f"set_{end}", (n - length + 1).cast("int") if last else F.lit(1), length.cast("int"))
+
+    both = both.filter(F.arrays_overlap(prefix("a", False), prefix("b", False)) & F.arrays_overlap(prefix("a", True), prefix("b", True)))
+    both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
+    return both.select("a", "b", "common", enough(F.col("common"), F.col("n_a"), F.col("n_b"), percent).alias("linked"))
 
 
 def may_link(h: Column, percent: int) -> Column:
@@ -233,31 +233,32 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are parted by space and by tab to carriage return, A-Z lowered; a set holds the different runs of `size` words,
     or the whole text if it has fewer. Two documents are linked if `percent` of the union of their sets is common to both.
     Documents with equal sets are one class. Linked sets must share a shingle of their prefixes under any order of all
-    shingles: classes first share one in the order of hashes, then, among those left, in the order of rarity, with bounds by
-    length and place, and pairs in every order by hash; only pairs that pass all filters are compared on whole sets.
+    shingles, and enough of them of longer prefixes: classes are first filtered by the order of hashes, those left meet on
+    prefixes in the order of rarity, with bounds by length and place, and pairs must share one in the order of hashes and
+    in its reverse, too; only pairs that pass all filters are compared on whole sets.
     In a bucket members meet a few hubs in each round and never all others. component_id is the smallest id reachable.
 
     Null and empty texts have no shingles and are linked with nothing. Equal rows stay as many; rows that share an id
     have the component of their text. A row without an id is linked with nothing and has no component_id. An empty table
     gives no rows. Other columns are not read.
     """
-    outlined = written(outlines(docs, id_col, text_col, size, percent), "outlines")
-    grouped = (outlined.filter("n > 0 and id is not null").groupBy("p1", "p2", "n")
-               .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")))
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    outlined = written(outlines(texts, size), "outlines")
+    classes = written(outlined.filter("n > 0 and id is not null").groupBy("p1", "p2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     # the class number is read back, so it stays
-    classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    kept = written(candidates(classes, percent), "kept")
-    wanted = written(join_measured(classes.drop("prefix", "copies"), kept.select("cid"), ["cid"], "left_semi", 40).withColumnRenamed("rep", "id"), "wanted")
-    chosen = join_measured(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")),
-                           wanted.select("id").distinct(), ["id"], "left_semi", 60)
-    sets = whole_sets(chosen, size, percent).join(wanted, ["id", "p1", "p2"])
-    sets = written(sets.groupBy("cid", "n").agg(F.first("shingles").alias("shingles"), F.first("orders").alias("orders")), "sets")
+    kept = written(candidates(classes, texts.filter("id is not null"), size, percent).withColumn("cid", F.monotonically_increasing_id()), "kept")
+    wanted = kept.select("cid", "p1", "p2", "n", F.col("rep").alias("id"))
+    chosen = join_measured(texts, wanted.select("id").distinct(), ["id"], "left_semi", 60)
+    sets = written(join_measured(whole_sets(chosen, size), wanted, ["id", "p1", "p2"], "inner", 100).select("cid", "n", "shingles"), "sets")
+    if sets.count() > kept.count():  # rows that repeat both id and text
+        sets = written(sets.groupBy("cid", "n").agg(F.first("shingles").alias("shingles")), "single-sets")
     members = written(members_of(sets, percent), "members")
     links = links_of(members, sets, percent)
     roots = components(links)
-    least = roots.join(classes.select(F.col("cid").alias("id"), "rep"), "id")
+    least = roots.join(kept.select(F.col("cid").alias("id"), "rep"), "id")
     least = least.join(least.groupBy("root").agg(F.min("rep").alias("component")), "root").select(F.col("id").alias("cid"), "component")
-    named = classes.drop("prefix").join(least, "cid", "left").withColumn("component", F.coalesce("component", "rep"))
+    linked = least.join(kept.select("cid", "p1", "p2", "n"), "cid").drop("cid")
+    named = join_measured(classes, written(linked, "linked"), ["p1", "p2", "n"], "left", 100).withColumn("component", F.coalesce("component", "rep"))
     named = named.filter("copies > 1 or component != rep").select("p1", "p2", "n", "copies", "component")
     rows = outlined.select("id", "n", "p1", "p2", (F.col("id").isNotNull() & (F.col("n") > 0)).alias("some"))
     joined = join_salted(rows, named, ["p1", "p2", "n"], "copies", F.col("id"), 120)
