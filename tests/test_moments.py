@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 import twins
 from topicmoments import runtime
 from topicmoments.operators import matrix, moments
+from topicmoments.operators.layout import by_term
 from topicmoments.plans import fit
 
 
@@ -91,6 +94,35 @@ def test_lanczos_as_a_full_decomposition(spark, size, k):
     assert np.abs(twins.second_moment(counts, 5.0) @ u - u * values).max() < 1e-9 * values[0]
 
 
+def test_passes_by_term_shuffle_no_documents(spark):
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(np.where(np.arange(40) < 2, 3.0, 0.05), size=(120, 40)).astype(float)
+    docs, table = twins.prepared(spark, counts)
+    written = replace(table, layout=by_term(docs, table.terms))
+    assert 0 < written.layout.hot.count() < 8 and written.layout.others.count() + written.layout.common.count() == docs.count()
+    q = rng.standard_normal((40, 2))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = written.layout.join(twins.wide(spark, q), ["c0", "c1"])
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        got = twins.to_matrix(moments.project_second_moment(docs, twins.wide(spark, q), written, 2.5), 40)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert np.allclose(got, twins.second_moment(counts, 2.5) @ q, atol=1e-10)
+    # a fit takes this way when its matrices do not fit
+    spark.conf.set("topicmoments.broadcast.maxBytes", "64")
+    try:
+        narrow = fit.with_layout(docs, table, 6)
+        assert narrow.layout is not None
+        vectors, values = moments.top_eigen(docs, narrow, 40, 1, 2.5, q=3)
+    finally:
+        spark.conf.unset("topicmoments.broadcast.maxBytes")
+    same, known = moments.top_eigen(docs, table, 40, 1, 2.5, q=3)
+    assert np.allclose(values, known, rtol=1e-8) and fit.with_layout(docs, table, 6).layout is None
+
+
 def test_randomised_eigen_finds_a_low_rank_matrix(spark):
     counts = small_counts(seed=5, n_docs=400)
     docs, table = twins.prepared(spark, counts)

@@ -453,6 +453,7 @@ FROM saved JOIN orders_seen USING (l_orderkey) GROUP BY input, place, n, term"""
         "summed": ("SELECT a.term_id AS i, b.term_id AS j, sum((a.cnt * b.cnt - CASE WHEN a.term_id = b.term_id THEN a.cnt ELSE 0 END) * a.w2) AS v"
                    " FROM o_rows a JOIN o_rows b USING (doc_id) WHERE a.term_id <= b.term_id GROUP BY 1, 2 HAVING v <> 0")}),
     "m2_project": statement("SELECT * FROM result", {"size": "SELECT n FROM o_n", **_shifted_m2("o_rows", "o_m1", "o_mat", "n_docs")}),
+    "m2_project_by_term": statement("SELECT * FROM result", {"size": "SELECT n FROM o_n", **_shifted_m2("o_rows", "o_m1", "o_mat", "n_docs")}),
     "m2_project_masked": statement("SELECT * FROM result", {
         "len_a": "SELECT doc_id, sum(cnt) AS len FROM all_docs GROUP BY doc_id HAVING sum(cnt) >= 3",
         "size": "SELECT count(*)::DOUBLE AS n FROM len_a",

@@ -6,6 +6,7 @@ Numbers are rounded so that the order of additions does not show; `+ 0` turns -0
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 
 from topicmoments.config import JobConfig, MomentOptions
 from topicmoments.functions import special
-from topicmoments.operators import likelihood, matrix, moments, simplex, tensor, terms, weights
+from topicmoments.operators import layout, likelihood, matrix, moments, simplex, tensor, terms, weights
 from topicmoments.plans import evaluate, fit, job
 from topicmoments.runtime import cut, fits_broadcast, spread, table_bytes, work_path
 from topicmoments.sources import doc_tables, models, stopwords, text
@@ -361,6 +362,14 @@ def m2_project(spark, sf):
     return out.select("term_id", *[rounded(f"c{j}", 12).alias(f"c{j}") for j in range(RANK)])
 
 
+def m2_project_by_term(spark, sf):
+    """The way for matrices that cannot be broadcast: documents written by term, once for all passes."""
+    docs, sums = order_rows(spark, sf)
+    sums = replace(sums, layout=layout.by_term(docs, sums.terms))
+    out = moments.project_second_moment(docs, rule_matrix(sums.terms, "term_id"), sums, ALPHA0)
+    return out.select("term_id", *[rounded(f"c{j}", 12).alias(f"c{j}") for j in range(RANK)])
+
+
 def m2_project_masked(spark, sf):
     made = built(spark, sf, stop=False)
     docs = fit.by_document(made.docs)
@@ -750,7 +759,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     assign_doc_ids, tokenize, remove_stopwords, remove_long_stopword_list, word_count, vocab_topk, vocab_all,
     vocab_stats, doc_term, doc_length, min_words_filter, valid_docs, term_distribution, token_total,
     corpus_summary, to_features, doc_freq, idf, low_idf_terms, filter_idf, m1,
-    m2_exact, m2_exact_orders, m2_project, m2_project_masked, whitening_matrix, whiten_docs, whiten_first_moment,
+    m2_exact, m2_exact_orders, m2_project, m2_project_by_term, m2_project_masked, whitening_matrix, whiten_docs, whiten_first_moment,
     m3_first, m3_second, m3_third, m3_whitened, gaussian_matrix, topk_eigen_m2, topk_eigen_exact, topk_eigen_one,
     gram, gram_tall, orthonormalize, normalize_columns, frobenius_norm, condition_number, column_dots,
     rank_one_tensor, unfold_tensor, fold_tensor, khatri_rao, mttkrp, cp_loss, cp_als,

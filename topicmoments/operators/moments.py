@@ -20,6 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicmoments.operators.layout import TermLayout
 from topicmoments.operators.matrix import (
     COLUMN_BLOCK, MAX_EXPRESSIONS, column_sums, columns, gaussian_matrix, gram_matrix, number,
     orthonormal_step, orthonormalize, sums, times_small)
@@ -44,16 +45,24 @@ class TermTable:
     terms: DataFrame
     n_terms: int
     n_docs: int
+    layout: TermLayout | None = None  # where documents are written by term, passes over them take that way
 
 
 def project_docs(docs: DataFrame, mat: DataFrame, table: TermTable) -> DataFrame:
-    """Each document's counts times the matrix: `(doc_id, len, p0, p1, ...)`."""
+    """Each document's counts times the matrix: `(doc_id, len, p0, p1, ...)`.
+
+    A matrix that can be broadcast is; else documents that are written by term meet it there, and only the sums by
+    document are shuffled. Without that layout the documents' rows are shuffled to their terms.
+    """
     cols = columns(mat)
     parts = None
     for lo in range(0, len(cols), COLUMN_BLOCK):
         block = cols[lo:lo + COLUMN_BLOCK]
-        hits = join_sized(docs, mat.select("term_id", *block), "term_id",
-                          table.n_terms * row_bytes(len(block)), "doc_id", table.terms, "df")
+        if table.layout is not None:
+            hits = table.layout.join(mat, block)
+        else:
+            hits = join_sized(docs, mat.select("term_id", *block), "term_id",
+                              table.n_terms * row_bytes(len(block)), "doc_id", table.terms, "df")
         totals = hits.groupBy("doc_id").agg(
             F.max("len").alias("len"),
             *[F.expr(f"sum(cnt * {c}) as p{lo + i}") for i, c in enumerate(block)])

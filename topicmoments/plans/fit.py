@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark import StorageLevel
@@ -13,14 +13,15 @@ from pyspark.sql import Window as W
 
 from topicmoments.config import MomentOptions
 from topicmoments.operators import likelihood
-from topicmoments.operators.matrix import check_condition, columns, times_small
+from topicmoments.operators.layout import by_term
+from topicmoments.operators.matrix import COLUMN_BLOCK, check_condition, columns, times_small
 from topicmoments.operators.moments import (
     TermTable, top_eigen, top_eigen_exact, whitened_third_moment, whitening_matrix)
 from topicmoments.operators.simplex import project_signed
 from topicmoments.operators.tensor import decompose_small
 from topicmoments.operators.terms import with_length
 from topicmoments.operators.weights import IDF_SLACK, dense, term_statistics
-from topicmoments.runtime import cut
+from topicmoments.runtime import cut, fits_broadcast, row_bytes
 
 
 @dataclass(frozen=True)
@@ -86,12 +87,20 @@ def term_table(prepared: DataFrame, n_docs: int | None = None, idf_lb: float = 1
     return TermTable(terms, terms.count(), valid)
 
 
+def with_layout(valid: DataFrame, table: TermTable, width: int) -> TermTable:
+    """The table with the documents written by term, if matrices of so many columns are too large to broadcast."""
+    if fits_broadcast(valid.sparkSession, table.n_terms * row_bytes(min(width, COLUMN_BLOCK))):
+        return table
+    return replace(table, layout=by_term(valid, table.terms.select("term_id", "df")))
+
+
 def fit_moments(docs: DataFrame, options: MomentOptions, vocab_size: int, n_docs: int | None = None) -> Moments:
     """Moments of a document-term table whose terms are 0 .. vocab_size - 1."""
     prepared = prepare(docs)
     try:
         table = term_table(prepared, n_docs, options.idf_lb)
         valid = prepared.filter(F.col("len") >= 3)
+        table = with_layout(valid, table, 2 * options.k)
         if options.randomised_svd:
             vectors, values = top_eigen(valid, table, vocab_size, options.k, options.alpha0, options.q, options.seed)
         else:
