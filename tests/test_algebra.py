@@ -160,3 +160,25 @@ def test_entries_of_a_vector_are_not_gathered(spark):
     vectors = spark.range(2000).selectExpr("cast(id % 2 as int) as vec_id", "cast(id as int) as row", "rand(1) as v")
     plan = simplex.project(vectors, 0)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_orthonormal_columns_of_a_steep_matrix(spark):
+    x = np.linspace(0, 1, 400)
+    steep = np.vander(x, 11, increasing=True) * np.logspace(0, 6, 11)
+    assert np.linalg.cond(steep / np.linalg.norm(steep, axis=0)) > 1e7
+    frame = twins.wide(spark, steep, "row").repartition(70)
+    got = twins.to_matrix(matrix.orthonormalize(frame, "row"), 400, "row")
+    assert np.abs(got.T @ got - np.eye(11)).max() < 1e-12
+    q, r = np.linalg.qr(steep)
+    assert np.abs(got - q * np.where(np.diag(r) < 0, -1, 1)).max() < 1e-7
+    assert np.allclose(matrix.r_factor(frame, matrix.columns(frame)), r * np.where(np.diag(r) < 0, -1, 1)[:, None], rtol=1e-6)
+
+
+def test_dependent_columns_are_left_out_with_a_warning(spark):
+    rng = np.random.default_rng(6)
+    full = rng.standard_normal((60, 3))
+    low = np.column_stack((full, full @ [1.0, 2.0, -1.0], np.zeros(60)))
+    with pytest.warns(UserWarning, match="2 of 5 columns"):
+        got = twins.to_matrix(matrix.orthonormalize(twins.wide(spark, low, "row"), "row"), 60, "row")
+    assert got.shape == (60, 3) and np.abs(got.T @ got - np.eye(3)).max() < 1e-12
+    assert np.abs(got @ (got.T @ full) - full).max() < 1e-10

@@ -224,3 +224,13 @@ def test_whole_documents_regroups_batches():
         assert pd.concat(out)["x"].tolist() == list(range(len(ids)))
         seen = [set(p["doc_id"]) for p in out]
         assert sum(len(s) for s in seen) == 5
+
+
+def test_packed_third_moment_of_twelve_columns(spark):
+    rng = np.random.default_rng(12)
+    counts = rng.poisson(0.6, size=(90, 14)).astype(float)
+    docs, table = twins.prepared(spark, counts)
+    w = rng.standard_normal((14, 12))
+    expect = np.einsum("abc,ai,bj,cl->ijl", twins.third_moment(counts, 2.0), w, w, w, optimize=True)
+    got = moments.whitened_third_moment(docs, twins.wide(spark, w), table, 2.0)
+    assert np.abs(got - expect).max() < 1e-9 * np.abs(expect).max()

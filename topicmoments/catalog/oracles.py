@@ -327,6 +327,26 @@ def _als() -> dict[str, str]:
 _F0 = f"CAST({q.FIT_ALPHA0} AS DOUBLE)"
 
 
+def _wide_third() -> dict[str, str]:
+    """The third moment of many columns, with one row for each document (or term) and column, and joins by triple."""
+    three = " JOIN {t} b ON b.{k} = a.{k} JOIN {t} c ON c.{k} = a.{k} JOIN wide_t t ON t.i = a.j AND t.j = b.j AND t.l = c.j"
+    q3 = " JOIN wide_q qi ON qi.j = t.i JOIN wide_q qj ON qj.j = t.j JOIN wide_q ql ON ql.j = t.l"
+    return {
+        "wide_w": (f"SELECT term_id, j, ((term_id * 31 + j * 17) % 101) / 101.0::DOUBLE - 0.5::DOUBLE AS c FROM (SELECT DISTINCT term_id FROM o_docs), range({q.WIDE}) x(j)"),
+        "wide_t": f"SELECT i, j, l FROM range({q.WIDE}) a(i), range({q.WIDE}) b(j), range({q.WIDE}) c(l) WHERE i <= j AND j <= l",
+        "wide_q": "SELECT j, sum(m1 * c) AS q FROM o_m1 JOIN wide_w USING (term_id) GROUP BY j",
+        "wide_p": "SELECT doc_id, j, any_value(w2) AS w2, any_value(w3) AS w3, sum(cnt * c) AS p FROM o_rows JOIN wide_w USING (term_id) GROUP BY doc_id, j",
+        "wide_s": "SELECT term_id, sum(cnt * w2) AS s2, sum(cnt * w3) AS s1 FROM o_rows GROUP BY term_id",
+        "wide_z": "SELECT r.term_id, p.j, sum(r.w3 * r.cnt * p.p) AS z FROM o_rows r JOIN wide_p p USING (doc_id) GROUP BY r.term_id, p.j",
+        "wide_x": (f"SELECT w.term_id, w.j, w.c, s.s1, {_H} * s.s2 * k.q - z.z AS x FROM wide_w w JOIN wide_s s USING (term_id)"
+                   " JOIN wide_z z ON z.term_id = w.term_id AND z.j = w.j JOIN wide_q k ON k.j = w.j"),
+        "wide_1": (f"SELECT t.i, t.j, t.l, sum(a.w3 * a.p * b.p * c.p - a.w2 * {_H} * (a.p * b.p * ql.q + a.p * qj.q * c.p + qi.q * b.p * c.p)) AS v"
+                   " FROM wide_p a" + three.format(t="wide_p", k="doc_id") + q3 + " GROUP BY 1, 2, 3"),
+        "wide_2": ("SELECT t.i, t.j, t.l, sum(a.c * b.c * c.x + a.c * b.x * c.c + a.x * b.c * c.c + 2 * a.s1 * a.c * b.c * c.c) AS v"
+                   " FROM wide_x a" + three.format(t="wide_x", k="term_id") + " GROUP BY 1, 2, 3"),
+    }
+
+
 def _one_topic() -> dict[str, str]:
     """The fit of one topic: subspace iteration (q = 1), whitening, third moment, projection."""
     def image(mat: str, name: str) -> dict[str, str]:
@@ -468,6 +488,13 @@ FROM saved JOIN orders_seen USING (l_orderkey) GROUP BY input, place, n, term"""
                   + " FROM (SELECT term_id, " + ", ".join(f"sum(w2 * cnt * p{j}) AS z{j}" for j in _R)
                   + " FROM rows JOIN p USING (doc_id) GROUP BY term_id) JOIN s2 USING (term_id) JOIN mat USING (term_id) GROUP BY term_id"),
         **{k: v for k, v in _shifted_m2("rows", "mean", "mat", "n_docs").items() if k in ("shift", "result")}}),
+    "m3_wide": statement(
+        "SELECT CAST(t.i AS INTEGER) AS i, CAST(t.j AS INTEGER) AS j, CAST(t.l AS INTEGER) AS l, "
+        + r(f"((wide_1.v + wide_2.v) / n + 2 * {_A0} * {_A0} / (({_A0} + 1) * ({_A0} + 2)) * qi.q * qj.q * ql.q) * {_A0} * ({_A0} + 1) * ({_A0} + 2) / 2", 9)
+        + " AS v FROM wide_t t JOIN wide_1 USING (i, j, l) JOIN wide_2 USING (i, j, l) JOIN wide_q qi ON qi.j = t.i JOIN wide_q qj ON qj.j = t.j"
+          " JOIN wide_q ql ON ql.j = t.l, o_n", _wide_third()),
+    "orthonormalize_steep": (f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS v"
+                             f" FROM range({q.WIDE}) a(i), range({q.WIDE}) b(j)"),
     "whitening_matrix": statement("SELECT term_id, " + ", ".join(
         f"{r(f'c{j} / (sqrt({q.SIGMA[j]}::DOUBLE) + 1e-9)', 10)} AS c{j}" for j in _R) + " FROM o_mat"),
     "whiten_docs": statement("SELECT doc_id, len, " + ", ".join(f"{r(f'p{j}')} AS p{j}" for j in _R) + " FROM o_p"),

@@ -28,6 +28,7 @@ MIN_WORDS = 50
 IDF_BOUND = 2.0
 ALPHA0 = 1.5
 RANK = 3
+WIDE = 8
 SIGMA = (4.0, 2.25, 1.0)
 LAMBDA = (0.5, 2.0, 1.25)
 FACTOR = ((0.8, 0.0, 0.6), (0.6, 0.0, -0.8), (0.0, 1.0, 0.0))
@@ -424,6 +425,21 @@ def m3_whitened(spark, sf):
     return _third(spark, sf, lambda docs, sums, white, q: moments.whitened_third_moment(docs, white, sums, ALPHA0))
 
 
+def m3_wide(spark, sf):
+    """The whitened third moment of eight columns, whose sums are packed per task."""
+    docs, sums = order_rows(spark, sf)
+    white = rule_matrix(sums.terms, "term_id", WIDE)
+    return moments.tensor_cells(docs, moments.whitened_third_moment(docs, white, sums, ALPHA0)).withColumn("v", rounded("v", 9))
+
+
+def orthonormalize_steep(spark, sf):
+    """Powers of a price, columns that are nearly dependent: what must hold of their orthonormal basis."""
+    x = F.col("o_totalprice") / 600000.0
+    prices = table(spark, sf, "orders").select("o_orderkey", *[F.pow(x, F.lit(j)).alias(f"c{j}") for j in range(WIDE)])
+    out = matrix.orthonormalize(prices, "o_orderkey")
+    return matrix.gram(out, matrix.columns(out)).select("i", "j", rounded("v", 12).alias("v"))
+
+
 def gaussian_matrix(spark, sf):
     vocab = terms.vocab_topk(terms.word_count(words(spark, sf)), ALL)
     out = matrix.gaussian_matrix(vocab, "term_id", RANK, 7)
@@ -760,8 +776,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     vocab_stats, doc_term, doc_length, min_words_filter, valid_docs, term_distribution, token_total,
     corpus_summary, to_features, doc_freq, idf, low_idf_terms, filter_idf, m1,
     m2_exact, m2_exact_orders, m2_project, m2_project_by_term, m2_project_masked, whitening_matrix, whiten_docs, whiten_first_moment,
-    m3_first, m3_second, m3_third, m3_whitened, gaussian_matrix, topk_eigen_m2, topk_eigen_exact, topk_eigen_one,
-    gram, gram_tall, orthonormalize, normalize_columns, frobenius_norm, condition_number, column_dots,
+    m3_first, m3_second, m3_third, m3_whitened, m3_wide, gaussian_matrix, topk_eigen_m2, topk_eigen_exact, topk_eigen_one,
+    gram, gram_tall, orthonormalize, orthonormalize_steep, normalize_columns, frobenius_norm, condition_number, column_dots,
     rank_one_tensor, unfold_tensor, fold_tensor, khatri_rao, mttkrp, cp_loss, cp_als,
     simplex_project, simplex_project_long, simplex_project_signed, unwhiten, order_topics,
     smooth_beta, validate_model, augment_topics, infer_topics, doc_bounds, log_likelihood, multinomial_loglik,

@@ -8,10 +8,12 @@ come to the driver. Long sums are passed to Spark as SQL text, one call for all
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from topicmoments.runtime import cut, fits_broadcast, hot_keys, row_bytes, salte
 MAX_EXPRESSIONS = 64
 # Columns summed in one aggregation, well below the field limit of generated code.
 COLUMN_BLOCK = 48
+# Tasks whose small results are merged in one task before they come to the driver.
+FAN_IN = 32
 
 
 def columns(mat: DataFrame) -> list[str]:
@@ -102,6 +106,44 @@ def times_small(mat: DataFrame, keep: Sequence[str], cols: Sequence[str], right:
     return mat.select(*keep, *cols).mapInPandas(multiply, schema)
 
 
+def merged(partials: DataFrame, merge: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray | None:
+    """One array from the arrays `(part, values)` of all tasks: merged in groups of `FAN_IN` tasks, and these on the driver."""
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("part")
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "values": [merge([np.asarray(v) for v in rows["values"]]).ravel()]})
+
+    grouped = partials.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(group, "part int, values array<double>")
+    found = [np.array(r["values"]) for r in sorted(grouped.collect(), key=lambda r: r["part"])]
+    return merge(found) if found else None
+
+
+def r_factor(mat: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """The triangular factor of a QR of a tall matrix, with a nonnegative diagonal, by a tree of Householder factors.
+
+    Each task reduces its rows to a small triangle, batch by batch; triangles of several tasks are stacked and
+    reduced again. Products of columns, which lose half of the digits, are never formed.
+    """
+    k = len(cols)
+
+    def reduce_rows(rows: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(rows, mode="r") if len(rows) else rows
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros((0, k))
+        for pdf in batches:
+            own = reduce_rows(np.vstack((own, pdf.to_numpy(float))))
+        if len(own):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "values": [own.ravel()]})
+
+    found = merged(mat.select(*cols).mapInPandas(local, "part int, values array<double>"),
+                   lambda arrays: reduce_rows(np.vstack([a.reshape(-1, k) for a in arrays])))
+    out = np.zeros((k, k))
+    if found is not None:
+        found = found.reshape(-1, k)
+        out[:len(found)] = found
+    return np.where(np.diag(out) < 0, -1.0, 1.0)[:, None] * out
+
+
 def orthonormal_step(products: np.ndarray) -> tuple[np.ndarray, bool]:
     """A small matrix that makes columns with these products orthonormal, and whether it does so well.
 
@@ -120,21 +162,27 @@ def orthonormal_step(products: np.ndarray) -> tuple[np.ndarray, bool]:
 
 
 def orthonormalize(mat: DataFrame, key: str) -> DataFrame:
-    """Orthonormal columns with the same span, as a thin QR gives; vanishing directions are left out.
+    """Orthonormal columns with the same span, as a thin QR with a positive diagonal gives.
 
-    A round reads the table once for its products, and only these leave the executors. Each round's
-    table is written, since the next has to remove what rounding left in it.
+    The triangular factor comes from a tree of Householder factors, and the columns from one product with its
+    inverse; a second factor, of the columns found, removes what an ill-conditioned matrix leaves in them. Directions
+    that are no more than rounding of the others are left out with a warning; then the rest is a basis of the span.
     """
     cols = columns(mat)
-    step, good = orthonormal_step(gram_matrix(mat, cols))
-    for _ in range(1 if good else 2):
-        mat = cut(times_small(mat, [key], cols, step))
-        products = gram_matrix(mat, columns(mat))
-        # columns have norm one by now, but for directions that were only rounding
-        kept = np.diag(products) > 1e-8
-        cols = [c for c, k in zip(columns(mat), kept) if k]
-        step, _good = orthonormal_step(products[np.ix_(kept, kept)])
-    return times_small(mat, [key], cols, step)
+    mat = cut(mat.select(key, *cols))
+    factor = r_factor(mat, cols)
+    norms = np.linalg.norm(factor, axis=0)
+    scaled = factor / np.where(norms > 0, norms, 1.0)
+    _left, sizes, right = np.linalg.svd(scaled)
+    rank = int((sizes > 8 * len(cols) * np.finfo(float).eps * max(sizes[0], np.finfo(float).tiny)).sum())
+    if rank == len(cols):
+        first = np.linalg.inv(factor)
+    else:
+        warnings.warn(f"{len(cols) - rank} of {len(cols)} columns depend on the others and are left out", stacklevel=2)
+        first = (right[:rank].T / sizes[:rank]) / np.where(norms > 0, norms, 1.0)[:, None]
+    once = times_small(mat, [key], cols, first)
+    second = r_factor(once, columns(once)) if rank else np.zeros((0, 0))
+    return times_small(once, [key], columns(once), np.linalg.inv(second))
 
 
 def normalize_columns(entries: DataFrame) -> DataFrame:

@@ -16,13 +16,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicmoments.operators.layout import TermLayout
 from topicmoments.operators.matrix import (
-    COLUMN_BLOCK, MAX_EXPRESSIONS, column_sums, columns, gaussian_matrix, gram_matrix, number,
+    COLUMN_BLOCK, MAX_EXPRESSIONS, column_sums, columns, gaussian_matrix, gram_matrix, merged, number,
     orthonormal_step, orthonormalize, sums, times_small)
 from topicmoments.runtime import cut, hot_keys, join_sized, row_bytes, shuffle_partitions, stored
 
@@ -378,7 +378,8 @@ def outer_sums(rows: DataFrame, a: Sequence[str], b: Sequence[str], c: Sequence[
     """The small tensor of sums over rows of a_i * b_j * c_l, at the given triples (zero elsewhere).
 
     Entries of `a`, `b` and `c` are SQL expressions. Few sums are one aggregate; many are added up
-    per task with matrix products on Arrow batches, and then by triple.
+    per task with matrix products on Arrow batches. A task gives one array of the asked triples alone, and
+    the arrays of several tasks are added in a task before the driver adds the rest.
     """
     out = np.zeros((len(a), len(b), len(c)))
     if len(triples) <= MAX_EXPRESSIONS:
@@ -387,27 +388,29 @@ def outer_sums(rows: DataFrame, a: Sequence[str], b: Sequence[str], c: Sequence[
             out[t] = v
         return out
 
-    na, nb, nc = out.shape
-    step = max(1, (1 << 20) // (na * nb))
-
-    def partial(batches):
-        total = np.zeros((na * nb, nc))
+    na, nb = len(a), len(b)
+    # rows of the packed sums: the pairs (i, j) that triples begin with
+    pairs = sorted({(i, j) for i, j, _ in triples})
+    left, right = (np.array(side) for side in zip(*pairs))
+    place = {pair: n for n, pair in enumerate(pairs)}
+    at = np.array([place[i, j] for i, j, _ in triples])
+    last = np.array([l for _, _, l in triples])
+    step = max(1, (1 << 20) // len(pairs))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(pairs), len(c)))
         for pdf in batches:
             x = pdf.to_numpy(float)
             for lo in range(0, len(x), step):
                 part = x[lo:lo + step]
-                pairs = part[:, :na, None] * part[:, None, na:na + nb]
-                total += pairs.reshape(len(part), -1).T @ part[:, na + nb:]
-        yield pd.DataFrame({"cell": np.arange(total.size), "v": total.ravel()})
-
-    cells = (rows.selectExpr(*[f"{e} as x{n}" for n, e in enumerate([*a, *b, *c])])
-             .mapInPandas(partial, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")))
-    flat = out.reshape(-1)
-    for row in cells.collect():
-        flat[row["cell"]] = row["v"]
-    wanted = np.zeros(out.shape, dtype=bool)
-    wanted[tuple(np.array(triples).T)] = True
-    return np.where(wanted, out, 0.0)
+                total += (part[:, left] * part[:, na + right]).T @ part[:, na + nb:]
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "values": [total[at, last]]})
+
+    found = merged(rows.selectExpr(*[f"{e} as x{n}" for n, e in enumerate([*a, *b, *c])])
+                   .mapInPandas(partial, "part int, values array<double>"), lambda arrays: np.sum(arrays, axis=0))
+    if found is not None:
+        out[tuple(np.array(triples).T)] = found
+    return out
 
 
 def sorted_triples(k: int) -> list[tuple[int, int, int]]:
