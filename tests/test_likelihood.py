@@ -185,3 +185,35 @@ def test_gamma_starts_in_a_task_are_those_of_the_expression(spark):
 
     rows = spark.range(20).selectExpr("id", f"{gamma_integer(3, 2, 'id', 1)} as g").collect()
     assert all(abs(r["g"] - gamma_integer_np(3, 2, r["id"], 1)) < 1e-12 for r in rows)
+
+
+@pytest.mark.parametrize("shape", [0.3, 2.5, 7.25, 2.0])
+def test_gamma_of_any_shape(spark, shape):
+    from topicmoments.functions.chance import gamma, gamma_np
+
+    rows = spark.range(8000).selectExpr("id", f"{gamma(4, shape, 'id', 2)} as g").repartition(5).collect()
+    draws = np.array([r["g"] for r in rows])
+    assert (draws > 0).all() and abs(draws.mean() - 1) < 4 / np.sqrt(shape * 8000) and abs(draws.var() * shape - 1) < 0.12
+    assert all(r["g"] == pytest.approx(gamma_np(4, shape, r["id"], 2), rel=1e-11) for r in rows[:500])
+    # the share below one quarter is that of a large plain sample
+    plain = np.random.default_rng(1).gamma(shape, 1 / shape, 200_000)
+    for at in (0.25, 1.0, 2.0):
+        assert abs((draws < at).mean() - (plain < at).mean()) < 0.02
+
+
+def test_inference_starts_of_any_shape_settle_alike(spark):
+    docs = twins.doc_frame(spark, np.random.default_rng(2).poisson(2.0, size=(6, 30)).astype(float))
+    words = topic_frame(spark, random_model(3))
+    found = [{(r["doc_id"], r["topic"]): r["gamma"] for r in likelihood.infer_topics(docs, words, [0.4, 0.3, 0.3], 30, 200, gamma_shape=g).collect()} for g in (1, 100.5)]
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 0.2 for k in found[0])
+
+
+def test_inference_shuffles_placed_documents_not_again(spark):
+    from topicmoments.plans.fit import by_document
+
+    docs = by_document(twins.doc_frame(spark, np.random.default_rng(2).poisson(1.0, size=(9, 20)).astype(float)))
+    found = likelihood.infer_topics(docs, topic_frame(spark, random_model(3, v=20)), [0.4, 0.3, 0.3], 20)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the one that places them
+    loose = twins.doc_frame(spark, np.eye(3)).withColumn("term_id", F.col("term_id") + 18)  # two of three terms are unknown, one document each
+    some = likelihood.infer_topics(loose, topic_frame(spark, random_model(3, v=19)), [0.4, 0.3, 0.3], 19).select("doc_id").distinct().collect()
+    assert [r["doc_id"] for r in some] == [1000]

@@ -409,6 +409,21 @@ def _held_out_tokens(lengths: str, reps: list[int]) -> str:
         " FROM (SELECT unnest(['moments', 'online variational']) AS method)" for rep in reps)
 
 
+def _gamma_starts() -> str:
+    """By attempts in a table: the first that is not rejected counts."""
+    out = []
+    for k, shape in enumerate(q.SHAPES):
+        d = (shape if shape > 1 else shape + 1) - 1 / 3
+        at = (5, "o_orderkey", k, "attempt")
+        u = _uniform(*at, "'u'")
+        x = f"sqrt(-2 * ln({_uniform(*at, "'x'", 0)})) * cos(2 * pi() * {_uniform(*at, "'x'", 1)})"
+        power = "1.0::DOUBLE" if shape > 1 else f"power({_uniform(5, 'o_orderkey', k, chr(39) + 'power' + chr(39))}, {1 / shape!r}::DOUBLE)"
+        out.append(f"(SELECT o_orderkey, {r(f'arg_min(v, attempt) * {d!r}::DOUBLE * {power} / {shape!r}::DOUBLE')} AS g{k} FROM (SELECT o_orderkey, attempt, x, u,"
+                   f" power(1.0::DOUBLE + {1 / (9 * d) ** 0.5!r}::DOUBLE * x, 3) AS v FROM (SELECT o_orderkey, attempt, {x} AS x, {u} AS u FROM orders, range(16) t(attempt)))"
+                   f" WHERE v > 0 AND ln(u) < 0.5 * x * x + {d!r}::DOUBLE * (1.0 - v + ln(greatest(v, 1e-300))) GROUP BY o_orderkey)")
+    return f"SELECT o_orderkey, g0, g1 FROM {out[0]} JOIN {out[1]} USING (o_orderkey)"
+
+
 ORACLES: dict[str, str] = {
     "read_text_corpus": statement(_COUNTS.format(words="all_words")),
     "compact_small_files": "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, true AS dense_ids FROM documents",
@@ -576,6 +591,9 @@ FROM saved JOIN orders_seen USING (l_orderkey) GROUP BY input, place, n, term"""
     "log_sum_exp": statement(
         f"SELECT row AS vec_id, {r('any_value(top) + ln(sum(exp(v * 500 - top)))')} AS v FROM"
         " (SELECT *, max(v * 500) OVER (PARTITION BY row) AS top FROM entries) GROUP BY row"),
+    "gamma_starts": _gamma_starts(),
+    # what is left of a document's weights beyond its words is the prior
+    "infer_topics_shaped": statement(f"SELECT doc_id, {r(f'{sum(q.PRIOR)!r}::DOUBLE', 6)} AS prior FROM lengths"),
     # eigenpairs and fits start from random numbers; these statements say what must hold of any result
     "topk_eigen_m2": _IDENTITY.format(more=""),
     "topk_eigen_exact": _IDENTITY.format(more=", CASE WHEN i = j THEN 0.0::DOUBLE END AS residual"),

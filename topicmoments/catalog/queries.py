@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from topicmoments.config import JobConfig, MomentOptions
-from topicmoments.functions import special
+from topicmoments.functions import chance, special
 from topicmoments.operators import layout, likelihood, matrix, moments, simplex, tensor, terms, weights
 from topicmoments.plans import evaluate, fit, job
 from topicmoments.runtime import cut, fits_broadcast, spread, table_bytes, work_path
@@ -29,6 +29,7 @@ IDF_BOUND = 2.0
 ALPHA0 = 1.5
 RANK = 3
 WIDE = 8
+SHAPES = (2.5, 0.3)
 SIGMA = (4.0, 2.25, 1.0)
 LAMBDA = (0.5, 2.0, 1.25)
 FACTOR = ((0.8, 0.0, 0.6), (0.6, 0.0, -0.8), (0.0, 1.0, 0.0))
@@ -666,6 +667,21 @@ def log_likelihood(spark, sf):
     return out.select(rounded("log_likelihood", 3).alias("log_likelihood"), "skipped_tokens", "tokens")
 
 
+def infer_topics_shaped(spark, sf):
+    """Inference that starts from gamma numbers of shape 2.5, until it settles."""
+    made = built(spark, sf)
+    out = likelihood.infer_topics(made.docs, _smoothed(spark, sf, made), PRIOR, made.vocab_size, INFER_ITERATIONS, gamma_shape=2.5, seed=3)
+    totals = out.groupBy("doc_id").agg(F.sum("gamma").alias("total"))
+    return totals.join(made.docs.groupBy("doc_id").agg(F.sum("cnt").alias("len")), "doc_id").select(
+        "doc_id", rounded(F.col("total") - F.col("len"), 6).alias("prior"))
+
+
+def gamma_starts(spark, sf):
+    """A number of each of two shapes that are not whole, for every order."""
+    return table(spark, sf, "orders").select("o_orderkey", *[rounded(F.expr(chance.gamma(5, shape, "o_orderkey", k)), 8).alias(f"g{k}")
+                                                             for k, shape in enumerate(SHAPES)])
+
+
 def multinomial_loglik(spark, sf):
     docs = corpus(spark, sf)
     totals = docs.groupBy("term_id").agg(F.sum("cnt").alias("n"))
@@ -780,6 +796,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     gram, gram_tall, orthonormalize, orthonormalize_steep, normalize_columns, frobenius_norm, condition_number, column_dots,
     rank_one_tensor, unfold_tensor, fold_tensor, khatri_rao, mttkrp, cp_loss, cp_als,
     simplex_project, simplex_project_long, simplex_project_signed, unwhiten, order_topics,
-    smooth_beta, validate_model, augment_topics, infer_topics, doc_bounds, log_likelihood, multinomial_loglik,
+    smooth_beta, validate_model, augment_topics, infer_topics, infer_topics_shaped, gamma_starts, doc_bounds, log_likelihood, multinomial_loglik,
     log_gamma, dirichlet_expectation, log_sum_exp, fit_moments, fit_topics, fit_one_topic,
     split_docs, heldout_perplexity, cv_log_perplexity)}
