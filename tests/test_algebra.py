@@ -182,3 +182,22 @@ def test_dependent_columns_are_left_out_with_a_warning(spark):
         got = twins.to_matrix(matrix.orthonormalize(twins.wide(spark, low, "row"), "row"), 60, "row")
     assert got.shape == (60, 3) and np.abs(got.T @ got - np.eye(3)).max() < 1e-12
     assert np.abs(got @ (got.T @ full) - full).max() < 1e-10
+
+
+def test_loss_of_an_exact_and_of_a_sparse_decomposition(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = (rng.standard_normal((n, 2)) for n in (9, 8, 7))
+    w = np.array([3.0, 0.25])
+    a[:3], b[4:], c[2:5, 1] = 0.0, 0.0, 0.0  # most cells are exactly zero, and absent
+    full = np.einsum("r,ir,jr,lr->ijl", w, a, b, c)
+    factors = [twins.wide(spark, m, "row") for m in (a, b, c)]
+
+    def cells(values):
+        return spark.createDataFrame([(int(i), int(j), int(l), float(values[i, j, l])) for i, j, l in np.argwhere(values)], "i int, j int, l int, v double")
+
+    assert tensor.cp_loss(cells(full), *factors, w).first()["loss"] < 1e-14 * np.linalg.norm(full)
+    other = full.copy()
+    other[5, 1, 1], other[0, 0, 0], other[6, 2, 0] = 0.0, 2.0, other[6, 2, 0] + 1e-9
+    got = tensor.cp_loss(cells(other).repartition(40), *factors, w).first()["loss"]
+    assert got == pytest.approx(np.linalg.norm(other - full), rel=1e-12)
+    assert tensor.cp_loss(cells(full).limit(0), *factors, w).first()["loss"] == pytest.approx(np.linalg.norm(full), rel=1e-12)

@@ -594,6 +594,7 @@ FROM saved JOIN orders_seen USING (l_orderkey) GROUP BY input, place, n, term"""
     "gamma_starts": _gamma_starts(),
     # what is left of a document's weights beyond its words is the prior
     "infer_topics_shaped": statement(f"SELECT doc_id, {r(f'{sum(q.PRIOR)!r}::DOUBLE', 6)} AS prior FROM lengths"),
+    "cp_loss_exact": statement("SELECT count(DISTINCT i) * count(DISTINCT j) * count(DISTINCT l) AS n_cells, true AS exact FROM cells"),
     # eigenpairs and fits start from random numbers; these statements say what must hold of any result
     "topk_eigen_m2": _IDENTITY.format(more=""),
     "topk_eigen_exact": _IDENTITY.format(more=", CASE WHEN i = j THEN 0.0::DOUBLE END AS residual"),

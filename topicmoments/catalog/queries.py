@@ -588,6 +588,18 @@ def cp_loss(spark, sf):
     return tensor.cp_loss(cells, *factors, LAMBDA).withColumn("loss", rounded("loss"))
 
 
+def cp_loss_exact(spark, sf):
+    """The loss of a tensor that is its decomposition, by line number, month and supplier: none beyond rounding."""
+    lines = line_tensor(spark, sf)
+    parts = [_rule_factor(lines, m) for m in ("i", "j", "l")]
+    vectors = [f.select(F.posexplode(F.array("c0", "c1")).alias("comp", "v"), "row").select("comp", F.col("row").alias("idx"), "v") for f in parts]
+    scaled = vectors[0].withColumn("v", F.col("v") * F.when(F.col("comp") == 0, 4.0).otherwise(0.5))
+    cells = tensor.rank_one(scaled, *vectors[1:]).groupBy("i", "j", "l").agg(F.sum("v").alias("v"))
+    loss = tensor.cp_loss(cells, *[f.select("row", "c0", "c1") for f in parts], (4.0, 0.5))
+    whole = cells.agg(F.count("*").alias("n_cells"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))  # one row, as the loss
+    return whole.crossJoin(F.broadcast(loss)).select("n_cells", (F.col("loss") <= 1e-12 * F.col("norm")).alias("exact"))
+
+
 def cp_als(spark, sf):
     """Two components, from the better of two starts, after a fixed number of rounds."""
     a, _b, _c, values, loss = tensor.cp_als(line_tensor(spark, sf), 2, max_iter=ALS_ROUNDS, tol=1e-15,
@@ -794,7 +806,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     m2_exact, m2_exact_orders, m2_project, m2_project_by_term, m2_project_masked, whitening_matrix, whiten_docs, whiten_first_moment,
     m3_first, m3_second, m3_third, m3_whitened, m3_wide, gaussian_matrix, topk_eigen_m2, topk_eigen_exact, topk_eigen_one,
     gram, gram_tall, orthonormalize, orthonormalize_steep, normalize_columns, frobenius_norm, condition_number, column_dots,
-    rank_one_tensor, unfold_tensor, fold_tensor, khatri_rao, mttkrp, cp_loss, cp_als,
+    rank_one_tensor, unfold_tensor, fold_tensor, khatri_rao, mttkrp, cp_loss, cp_loss_exact, cp_als,
     simplex_project, simplex_project_long, simplex_project_signed, unwhiten, order_topics,
     smooth_beta, validate_model, augment_topics, infer_topics, infer_topics_shaped, gamma_starts, doc_bounds, log_likelihood, multinomial_loglik,
     log_gamma, dirichlet_expectation, log_sum_exp, fit_moments, fit_topics, fit_one_topic,
