@@ -64,3 +64,14 @@ def test_short_lines_as_brute_force(spark):
     rows = [(i, "\n".join(line if RNG.random() < 0.5 else line[:-2] + RNG.choice("abz") for line in RNG.sample(base, 4))) for i in range(60)]
     got = dedupe_lines(documents(spark, rows), near_from=NEAR_FROM).collect()
     assert {r["doc_id"]: r["text"] for r in got} == brute_force(rows, lambda n: EDITS)
+
+
+def test_very_many_lines_in_one_text(spark):
+    import time
+
+    lines = [f"line {i} of a very long text" if i % 7 else "the same again and again" for i in range(50_000)]
+    started = time.time()
+    got = dedupe_lines(documents(spark, [(1, "\n".join(lines)), (2, "alone")]), edits=0, near_from=NEAR_FROM).filter("doc_id = 1").first()
+    want = [line for i, line in enumerate(lines) if i % 7 or i == 0]
+    assert got["text"] == "\n".join(want) and got["n_lines"] == 50_000 and got["n_dropped"] == 50_000 - len(want)
+    assert time.time() - started < 60

@@ -203,10 +203,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("string").alias("whole"),
                         docs[id_col].cast("long").alias("id")).withColumn("t", F.xxhash64("whole"))
     joined = join_measured(whole, drops, ["id", "t"], "left", int(100 + 12 * mean))
-    lines = F.split("whole", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col("whole").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    # arrays of one array, so that a text is split once and not for each line that stays
+    split = F.transform(F.array(F.split("whole", "\n")), lambda lines: F.struct(
+        lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")).alias("left")))
+    kept = F.transform(split, lambda t: F.array_join(F.transform(t["left"], lambda i: F.get(t["lines"], i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.get(kept, F.lit(0)))
+    n_lines = F.when(F.col("whole").isNull(), 0).otherwise(F.char_length("whole") - F.char_length(F.translate("whole", "\n", "")) + 1).cast("long")
     return joined.select("row", n_lines.alias("n_lines"), F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long").alias("n_dropped"),
                          F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                          F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"), text.alias("text"))
