@@ -48,7 +48,7 @@ def segment_probes(edits: int) -> list[tuple[int, int, int]]:
 
 
 def with_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Add `keys`, an array of hashes, one for each substring to look up and its place, without repeats.
+    """Add `keys`, an array of hashes, one for each substring to look up and its place; a line of equal characters may repeat some.
 
     Lengths become columns first: they are then worked out once and not in each of the keys.
     """
@@ -62,7 +62,7 @@ def with_keys(lines: DataFrame, edits: int) -> DataFrame:
     keys = [F.xxhash64(F.col("n") - d, F.lit(i), F.substr(F.col("line"), F.col(f"begin{d}_{i}") + shift,
                                                          F.col(f"base{d}") + F.when(F.lit(i) > parts - F.col(f"longer{d}"), 1).otherwise(0)))
             for i, d, shift in segment_probes(edits)]
-    return lines.withColumn("keys", F.array_distinct(F.array(*keys)))
+    return lines.withColumn("keys", F.array(*keys))
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -208,7 +208,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")).alias("left")))
     kept = F.transform(split, lambda t: F.array_join(F.transform(t["left"], lambda i: F.get(t["lines"], i)), "\n"))
     text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.get(kept, F.lit(0)))
-    n_lines = F.when(F.col("whole").isNull(), 0).otherwise(F.char_length("whole") - F.char_length(F.translate("whole", "\n", "")) + 1).cast("long")
+    n_lines = F.when(F.col("whole").isNull(), 0).otherwise(F.octet_length("whole") - F.octet_length(F.replace(F.col("whole"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return joined.select("row", n_lines.alias("n_lines"), F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long").alias("n_dropped"),
                          F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                          F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"), text.alias("text"))
