@@ -58,16 +58,19 @@ def edits(a, b):
     return line[-1]
 
 
-def dedupe_lines(rows, most=2, least=32):
-    """id -> text without repeated lines, for rows with different ids."""
+def dedupe_lines(rows, most=2, least=32, near_from=None):
+    """id -> text without repeated lines, for rows with different ids. With `near_from` every line that holds a word counts."""
+    def counted(line):
+        return len(line) >= least or near_from is not None and re.search(r"[^\W_]", line) is not None
+
     lines = {}
     for i, text in sorted(rows):
         for line in (text or "").split("\n"):
-            if len(line) >= least:
+            if counted(line):
                 lines.setdefault(line, i)
     groups, counts = Groups(lines), {line: Counter(line) for line in lines}
     by_size = defaultdict(list)
-    for line in lines:
+    for line in (x for x in lines if len(x) >= (near_from or 0)):
         for size in range(len(line) - most, len(line) + 1):
             for other in by_size[size]:
                 a, b = counts[line], counts[other]
@@ -90,7 +93,7 @@ def dedupe_lines(rows, most=2, least=32):
             continue
         seen, kept = set(), []
         for line in text.split("\n"):
-            root = groups.find(line) if len(line) >= least else None
+            root = groups.find(line) if counted(line) else None
             if root is not None and (first[root] != i or root in seen):
                 continue
             seen.add(root)

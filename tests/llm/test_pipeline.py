@@ -4,6 +4,7 @@ from brute import contamination, dedupe_lines, near_duplicates, sha
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from topicmoments.llm.lines import NEAR_FROM
 from topicmoments.llm.toxicity import Scorer, learn, scores
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def test_stages_as_brute_force(spark):
     if model is not None:
         scorer = Scorer(model.toxic, model.ordinary)
         rows = [(i, t) for i, t in rows if scores(scorer, model, [t])[0] < 0.3]
-    texts = dedupe_lines(rows)
+    texts = dedupe_lines(rows, near_from=NEAR_FROM)
     components = near_duplicates(list(texts.items()), 5, 80)
     rows = [(i, t) for i, t in texts.items() if components[i][1] == i]
     items = duckdb.sql(f"SELECT item_id, text FROM '{FOLDER}/benchmark.parquet'").fetchall()

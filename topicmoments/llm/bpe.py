@@ -9,14 +9,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from topicmoments.llm.common import flat, lists, scan_texts, text_bytes
+from topicmoments.llm.common import ENTRY_BYTES, Remembered, flat, lists, scan_texts, text_bytes
 from topicmoments.llm.merges import MergeTable, merge_ragged
 from topicmoments.llm.words import BLANKS
 
 #: Pre-tokens of the byte-level vocabulary (fixed value of the format).
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Different fragments that a task remembers, and the longest of them in bytes.
-MEMORY = 1 << 19
+#: The longest fragment in bytes that a task remembers.
 LONGEST = 256
 
 
@@ -53,7 +52,7 @@ class Fragments:
         self.pattern = regex.compile(BYTE_PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, table.special)) + ")")
         self.blank = np.isin(np.arange(256), BLANKS)
-        self.ids: dict[bytes, bytes] = {}
+        self.ids = Remembered()
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Places where a fragment begins, the beginnings of texts included.
@@ -125,11 +124,11 @@ class Fragments:
         whole, stops = data.tobytes(), [*begins[1:].tolist(), len(data)]
         found = [whole[a:b] for a, b in zip(begins.tolist(), stops)]
         new = list(set(found) - self.ids.keys())
-        if len(self.ids) + len(new) > MEMORY:
-            self.ids.clear()
+        # a fragment has at most one 32-bit id for each of its bytes, and mostly one for four
+        if self.ids.room(sum(2 * len(k) + ENTRY_BYTES for k in new if len(k) <= LONGEST)):
             new = list(set(found))
-        fresh = dict(zip(new, self.encode(new)))
-        self.ids.update(fresh)
+            self.ids.held = sum(2 * len(k) + ENTRY_BYTES for k in new if len(k) <= LONGEST)
+        self.ids.update(zip(new, self.encode(new)))
         ids = list(map(self.ids.__getitem__, found))
         for long in [k for k in new if len(k) > LONGEST]:
             del self.ids[long]

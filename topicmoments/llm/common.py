@@ -17,6 +17,8 @@ from topicmoments.runtime import checkpoint_root, shuffle_partitions, work_path
 PIECE_BYTES = 1 << 20
 #: Bytes of a table that may be broadcast.
 BROADCAST_BYTES = 24 << 20
+#: Bytes of results that a task remembers, and what an entry takes besides its own bytes.
+MEMORY_BYTES, ENTRY_BYTES = 32 << 20, 160
 
 
 def pieces(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -36,21 +38,42 @@ def scan_texts(docs: DataFrame, text_col: str, keep: Sequence[str], results: str
 
     `start` is called once in each task and returns a function from an array of texts (null where
     the text is null) to one array for each column of the DDL string `results`. Input columns stay
-    inside `row`, so that their names cannot clash with the results'.
+    inside `row`, so that their names cannot clash with the results'. A text that is kept is not sent
+    a second time.
     """
-    packed = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].cast("string").alias("text"))
+    row = F.struct(*[docs[c] for c in keep]).alias("row")
+    inside = list(keep).index(text_col) if text_col in keep and dict(docs.dtypes)[text_col] == "string" else None
+    packed = docs.select(row) if inside is not None else docs.select(row, docs[text_col].cast("string").alias("text"))
     schema = StructType([packed.schema["row"], *StructType.fromDDL(results).fields])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
+            if inside is not None:
+                batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(inside)], ["row", "text"])
             for piece in pieces(batch, 1):
                 yield pa.RecordBatch.from_arrays([piece.column(0), *work(piece.column(1))], names)
 
     return packed.mapInArrow(run, schema)
 
 
+class Remembered(dict):
+    """Results by key, all forgotten when keys and values would take more than `limit` bytes."""
+
+    def __init__(self, limit: int = MEMORY_BYTES) -> None:
+        self.limit, self.held = limit, 0
+
+    def room(self, size: int) -> bool:
+        """Make room for entries of so many bytes; whether anything was forgotten for them."""
+        full = self.held + size > self.limit
+        if full:
+            self.clear()
+            self.held = 0
+        self.held += size
+        return full
+
+
 def flat(scanned: DataFrame) -> DataFrame:
     """Input columns and results side by side; a result replaces an input column of the same name."""
     results = [c for c in scanned.columns if c != "row"]

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicmoments.llm.common import flat, scan_texts
+from topicmoments.llm.common import ENTRY_BYTES, Remembered, flat, scan_texts
 
 #: Labelled rows of each label that the model is fitted on, at most, and bytes of their texts.
 TRAIN_ROWS = {1: 2000, 0: 4000}
@@ -29,7 +29,6 @@ CONTEXTS, CONTRAST = 5, 20
 THRESHOLD = 0.3
 #: Classes of windows: bytes saved, and bytes left, up to these numbers.
 SAVED, LEFT = 24, 48
-MEMORY = 1 << 19
 #: Words (with repeats) that the ordinary dictionary is trained on, drawn at random from all of them.
 PLAIN_WORDS = 1 << 19
 
@@ -96,7 +95,7 @@ class Scorer:
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         self.toxic, self.ordinary = packer(toxic), packer(ordinary)
-        self.known: dict[bytes, int] = {}
+        self.known = Remembered()
 
     def cell(self, word: bytes) -> int:
         """The window's class: bytes that the toxic dictionary saves, and bytes that it leaves."""
@@ -106,8 +105,7 @@ class Scorer:
             left = len(self.toxic.compress(window))
             saved = len(self.ordinary.compress(window)) - left
             cell = min(max(saved, 0), SAVED - 1) * LEFT + min(left, LEFT - 1)
-            if len(self.known) >= MEMORY:
-                self.known.clear()
+            self.known.room(len(word) + ENTRY_BYTES)
             self.known[word] = cell
         return cell
 
