@@ -98,7 +98,8 @@ def test_roots_lie_between_the_poles_even_when_these_are_close():
     weights = np.array([0.5, 0.3, 1e-6, 0.4, 0.7])
     weights /= np.linalg.norm(weights)
     roots, apart = secular_roots(poles, weights, 2.0)
-    assert (roots[:-1] > poles[:-1]).all() and (roots[:-1] < poles[1:]).all() and poles[-1] < roots[-1] <= poles[-1] + 2.0
+    # a root may be closer to its pole than doubles near it are to each other; the differences tell
+    assert (np.diag(apart) < 0).all() and (np.diag(apart[:-1], 1) > 0).all() and poles[-1] < roots[-1] <= poles[-1] + 2.0
     terms = 2.0 * weights ** 2 / apart
     assert (np.abs(1 + terms.sum(axis=1)) <= 1e-13 * (1 + np.abs(terms).sum(axis=1))).all()
 
