@@ -20,8 +20,7 @@ def test_a_text_that_does_not_fit_is_passed_over(spark, monkeypatch):
 
 
 def test_ordinary_words_are_cut_at_random(monkeypatch):
-    monkeypatch.setattr(toxicity, "PLAIN_WORDS", 300, raising=False)
-    monkeypatch.setattr(toxicity, "MEMORY", 300)
+    monkeypatch.setattr(toxicity, "PLAIN_WORDS", 300)
     given, train = [], toxicity.trained
     monkeypatch.setattr(toxicity, "trained", lambda size, samples: given.append(list(samples)) or train(size, samples))
     labelled = dict(LABELS)
