@@ -18,9 +18,7 @@ from topicmoments.llm.near_dup import prints, shingle_sets
 from topicmoments.llm.words import NOT_BLANK, WordReader
 
 #: Members of a bucket that all its other members meet in one round.
-HUBS = 8
-#: As many at most; the number doubles from round to round.
-MOST_HUBS = 256
+HUBS = 128
 
 
 def spare(n: np.ndarray, percent: int) -> np.ndarray:
@@ -103,28 +101,39 @@ def candidates(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return found.filter(F.coalesce("alone", F.lit(0)) <= may_lack(F.col("n"), percent)).drop("alone")
 
 
-def members_of(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n, most, s): the prefix of each class in the order of rarity, one row for each shingle.
+def ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, s, starts, prefix): what each class has in the order of rarity, where shingles of one class alone come first.
 
-    Shingles of one class alone come first in that order and cannot be shared: they only take up the prefix. `s` shingles
-    are left; `most` is the size of the largest set that a class can link to if this is the first shingle in common.
+    Those cannot be shared and only take up the prefix; `s` shingles are left. `starts` are the first of these in
+    three orders: by hash, its reverse, and rarity.
     """
     each = sets.select("cid", "n", F.explode("shingles").alias("key"))
     common = written(each.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
     ranked = join_salted(each, common.withColumn("w", F.col("df")), ["key"], "w", F.col("cid"), 60).filter("df is not null")
     own = ranked.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))
-    own = own.select("cid", "n", "order", F.size("order").cast("long").alias("s"))
-    left = F.greatest(F.lit(0), may_lack(F.col("n"), percent) + 1 - (F.col("n") - F.col("s"))).cast("int")
-    rows = own.select("cid", "n", "s", F.posexplode(F.slice("order", F.lit(1), left)).alias("place", "item"))
-    most = largest_partner(F.col("n"), F.col("n") - F.col("s") + F.col("place"), percent)
-    return useful(written(rows.select(F.col("item.key").alias("key"), F.col("cid").alias("id"), "n", most.alias("most"), "s"), "prefixes"))
+    own = own.select(F.col("cid").alias("id"), "n", F.transform("order", lambda x: x["key"]).alias("order"), F.size("order").cast("long").alias("s"))
+    left = (may_lack(F.col("n"), percent) + 1 - (F.col("n") - F.col("s"))).cast("int")
+    starts = F.array(F.array_min("order"), F.array_max("order"), F.get("order", F.lit(0)))
+    return written(own.filter(left > 0).select("id", "n", "s", starts.alias("starts"), F.slice("order", F.lit(1), left).alias("prefix")), "ordered")
 
 
-def useful(members: DataFrame) -> DataFrame:
-    """Members that are small enough, as their buckets are, to meet anybody there."""
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1")
-    found = join_salted(members, buckets.withColumn("w", F.col("size")), ["key"], "w", F.col("id"), 80)
-    return found.filter("least <= most").drop("size", "least")
+def members_of(order: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, most, s): the prefixes, one row for each shingle; `most` is the size of the largest set that a class can
+    link to if this is the first shingle in common."""
+    rows = order.select("id", "n", "s", F.posexplode("prefix").alias("place", "key"))
+    return rows.select("key", "id", "n", largest_partner(F.col("n"), F.col("n") - F.col("s") + F.col("place"), percent).alias("most"), "s")
+
+
+def mixed(members: DataFrame) -> DataFrame:
+    """Members, with their component as `root`, of buckets that hold several, where these are small enough to meet."""
+    buckets = (members.groupBy("key").agg(F.count("*").alias("w"), F.min("n").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+               .filter("low != high").select("key", "w", "least"))
+    return join_salted(members, written(buckets, "mixed"), ["key"], "w", F.col("id"), 80).filter("least <= most").drop("least")
+
+
+def with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    roots = components(links).select("id", "root")
+    return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def attach(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,49 +169,65 @@ def may_link(h: Column, percent: int) -> Column:
     return fits & F.coalesce(enough(F.least(common, n, h["n"]), n, h["n"], percent) | common.isNull(), F.lit(True))
 
 
-def links_of(members: DataFrame, sets: DataFrame, percent: int, hubs: int = HUBS) -> DataFrame:
+FACTS = ("id", "n", "most", "s", "root", "seen")
+
+
+def star_hubs(members: DataFrame) -> DataFrame:
+    """(key, hubs, over, w): the class with the largest part of shared shingles, often what others were copied from."""
+    best = F.struct(F.col("s") / F.col("n"), -F.col("id"))
+    return members.groupBy("key").agg(F.max_by(F.struct(*FACTS), best).alias("h"), F.count("*").alias("w")).select(
+        "key", F.array("h").alias("hubs"), F.lit(True).alias("over"), "w")
+
+
+def links_of(order: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) whose components are those of all links between members of a bucket.
 
-    In each round the members of a bucket meet a few of them, its hubs, which are done then. What links have joined
-    already is not compared: once no more than `hubs` members lie outside a bucket's largest component, these are the
-    hubs of its last round. What a member has in common with a bucket's first hub bounds what it can have in common
-    with anybody there, and members that cannot reach any other are done, too.
+    First each class has three buckets only, those of its first shingle in each order, and meets their hubs: most copies of
+    a text are one component then. After that only buckets of the whole prefixes that hold several components are looked
+    at. Their members meet one hub, and what a member has in common with it bounds what it can have in common with
+    anybody there: members that cannot reach any other are done. In each further round up to `HUBS` hubs are met, all
+    that lie outside a bucket's largest component if they are no more; nobody ever meets all others.
     """
-    still = members.select("*", F.col("id").alias("root"), F.lit(None).cast("long").alias("seen"))
-    found, tried, first = [], None, True
-    while True:
-        if first:
-            # the class with the largest part of shared shingles, often what others were copied from
-            chosen = still.groupBy("key").agg(F.max_by(F.struct("id", "n", "most", "s", "root", "seen"), F.struct(F.col("s") / F.col("n"), -F.col("id"))).alias("h"),
-                                              F.count("*").alias("w")).select("key", F.array("h").alias("hubs"), F.lit(False).alias("over"), "w")
-        else:
-            chosen = round_hubs(still, hubs)
-        chosen = written(chosen, "hubs")
-        met = join_salted(still, chosen, ["key"], "w", F.col("id"), 120 * (1 if first else hubs)).filter("hubs is not null")
-        met = written(met, "met")
+    unknown = F.lit(None).cast("long").alias("seen")
+    tried, found = [], []
+
+    def meet(members: DataFrame, chosen: DataFrame) -> DataFrame:
+        met = join_salted(members, chosen.drop("over"), ["key"], "w", F.col("id"), 150 if not tried else 60 * HUBS).filter("hubs is not null")
         pairs = (met.select("id", F.explode(F.filter("hubs", lambda h: may_link(h, percent))).alias("h"))
                  .select(F.greatest("id", "h.id").alias("a"), F.least("id", "h.id").alias("b")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        seen_pairs = written(verified(pairs, sets, percent), "verified")
-        found.append(written(seen_pairs.filter("linked").select("a", "b"), "links"))
-        tried = reduce(DataFrame.unionByName, [x for x in (tried, pairs) if x is not None])
-        links = reduce(DataFrame.unionByName, found)
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        tried.append(written(pairs, "pairs"))
+        seen = written(verified(tried[-1], sets, percent), "verified")
+        found.append(written(seen.filter("linked").select("a", "b"), "links"))
+        return seen
+
+    def links() -> DataFrame:
+        return reduce(DataFrame.unionByName, found)
+
+    starts = order.select("id", "n", "s", F.posexplode("starts").alias("order", "first"))
+    starts = written(starts.select(F.xxhash64("order", "first").alias("key"), "id", "n", F.lit(1 << 60).alias("most"), "s", F.col("id").alias("root"), unknown), "starts")
+    meet(starts, written(star_hubs(starts).filter("w > 1"), "hubs"))
+
+    still = written(mixed(with_roots(members_of(order, percent), links())).withColumn("seen", unknown), "members")
+    first = True
+    while not still.isEmpty():
+        chosen = written(star_hubs(still) if first else round_hubs(still), "hubs")
+        seen = meet(still, chosen)
         # hubs have met all others, and need not stay, nor do buckets whose hubs were all that was left outside
-        hub = F.get("hubs", F.lit(0))
-        done = F.exists("hubs", lambda h: h["id"] == F.col("id"))
-        rest = met.filter("over" if not first else "true").filter(~done)
+        done = chosen.select("key", F.explode("hubs.id").alias("id"))
+        rest = still.join(done, ["key", "id"], "left_anti")
         if first:
-            a, b = F.greatest("id", hub["id"]).alias("a"), F.least("id", hub["id"]).alias("b")
-            rest = rest.drop("seen").select("*", a, b).join(seen_pairs.select("a", "b", F.col("common").alias("seen")), ["a", "b"], "left").drop("a", "b")
-        rest = rest.select("key", "id", "n", "most", "s", "seen")
-        roots = components(links).select("id", "root")
-        rest = written(rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rest")
-        still = written(reachable(rest, percent), "open")
-        if still.isEmpty():
-            return links
-        hubs, first = min(hubs if first else 2 * hubs, MOST_HUBS), False
+            hub = chosen.select("key", F.get("hubs", F.lit(0))["id"].alias("hub"), "w")
+            rest = join_salted(rest, hub, ["key"], "w", F.col("id"), 60).withColumns({"a": F.greatest("id", "hub"), "b": F.least("id", "hub")})
+            common = seen.select("a", "b", F.col("common").alias("seen"))
+            rest = rest.drop("seen", "hub").join(common, ["a", "b"], "left").drop("a", "b")
+        else:
+            open_ = chosen.filter("over").select("key", "w", F.lit(True).alias("open"))
+            rest = join_salted(rest, open_, ["key"], "w", F.col("id"), 60).filter("open").drop("open")
+        still = written(reachable(written(with_roots(rest.drop("root"), links()), "rest"), percent), "open")
+        first = False
+    return links()
 
 
 def reachable(members: DataFrame, percent: int) -> DataFrame:
@@ -215,15 +240,15 @@ def reachable(members: DataFrame, percent: int) -> DataFrame:
     return found.filter(enough(common, F.col("n"), F.greatest(F.col("least"), common), percent)).drop("low", "high", "least", "out")
 
 
-def round_hubs(members: DataFrame, hubs: int) -> DataFrame:
-    """(key, hubs, over, w): up to `hubs` members of each bucket, those outside its largest component if these are all."""
+def round_hubs(members: DataFrame) -> DataFrame:
+    """(key, hubs, over, w): up to `HUBS` members outside each bucket's largest component, and whether there are more."""
     parts = members.groupBy("key", "root").agg(F.count("*").alias("many"))
     buckets = parts.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.max("many").alias("largest"), F.sum("many").alias("w"))
-    buckets = written(buckets.select("key", "main", "w", (F.col("w") - F.col("largest") > hubs).alias("over")), "buckets")
+    buckets = written(buckets.select("key", "main", "w", (F.col("w") - F.col("largest") > HUBS).alias("over")), "buckets")
     marked = join_salted(members, buckets, ["key"], "w", F.col("id"), 80).filter("root != main")
     order = W.partitionBy("key").orderBy(F.desc(F.col("s") / F.col("n")), "id")
-    ranked = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= hubs)
-    chosen = ranked.groupBy("key").agg(F.collect_list(F.struct("id", "n", "most", "s", "root", "seen")).alias("hubs"), F.max("over").alias("over"))
+    ranked = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= HUBS)
+    chosen = ranked.groupBy("key").agg(F.collect_list(F.struct(*FACTS)).alias("hubs"), F.max("over").alias("over"))
     return chosen.join(buckets.select("key", "w"), "key")
 
 
@@ -252,8 +277,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(join_measured(whole_sets(chosen, size), wanted, ["id", "p1", "p2"], "inner", 100).select("cid", "n", "shingles"), "sets")
     if sets.count() > kept.count():  # rows that repeat both id and text
         sets = written(sets.groupBy("cid", "n").agg(F.first("shingles").alias("shingles")), "single-sets")
-    members = written(members_of(sets, percent), "members")
-    links = links_of(members, sets, percent)
+    links = links_of(ordered(sets, percent), sets, percent)
     roots = components(links)
     least = roots.join(kept.select(F.col("cid").alias("id"), "rep"), "id")
     least = least.join(least.groupBy("root").agg(F.min("rep").alias("component")), "root").select(F.col("id").alias("cid"), "component")
