@@ -109,7 +109,8 @@ def ordered(sets: DataFrame, percent: int) -> DataFrame:
     """
     each = sets.select("cid", "n", F.explode("shingles").alias("key"))
     common = written(each.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
-    ranked = join_salted(each, common.withColumn("w", F.col("df")), ["key"], "w", F.col("cid"), 60).filter("df is not null")
+    # as many rows as shared shingles: shuffled at any size, so that all sizes take one way
+    ranked = join_salted(each, common.withColumn("w", F.col("df")), ["key"], "w", F.col("cid"), 60, limit=-1).filter("df is not null")
     own = ranked.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))
     own = own.select(F.col("cid").alias("id"), "n", F.transform("order", lambda x: x["key"]).alias("order"), F.size("order").cast("long").alias("s"))
     left = (may_lack(F.col("n"), percent) + 1 - (F.col("n") - F.col("s"))).cast("int")
