@@ -149,3 +149,10 @@ def test_features_are_sparse_vectors(spark):
     docs = spark.createDataFrame([(1, 3, 2.0), (1, 0, 1.0), (2, 1, 4.0)], twins.SCHEMA)
     rows = {r["doc_id"]: r["features"] for r in terms.to_features(docs, 5).collect()}
     assert rows[1].size == 5 and list(rows[1].indices) == [0, 3] and list(rows[2].values) == [4.0]
+
+
+def test_entries_of_vectors_are_never_written_out(spark):
+    docs = spark.createDataFrame([(1, 3, 2.0), (1, 0, 1.0), (2, 2_000_000_000, 4.0)], twins.SCHEMA)
+    found = terms.vector_entries(terms.to_features(docs, 2_000_000_001), "features")
+    assert {r["doc_id"]: (r["size"], r["indices"], r["values"]) for r in found.collect()} == {
+        1: (2_000_000_001, [0, 3], [1.0, 2.0]), 2: (2_000_000_001, [2_000_000_000], [4.0])}
