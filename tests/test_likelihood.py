@@ -217,3 +217,22 @@ def test_inference_shuffles_placed_documents_not_again(spark):
     loose = twins.doc_frame(spark, np.eye(3)).withColumn("term_id", F.col("term_id") + 18)  # two of three terms are unknown, one document each
     some = likelihood.infer_topics(loose, topic_frame(spark, random_model(3, v=19)), [0.4, 0.3, 0.3], 19).select("doc_id").distinct().collect()
     assert [r["doc_id"] for r in some] == [1000]
+
+
+def test_inference_shares_the_frequent_words_where_all_do_not_fit(spark):
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(np.linspace(2.0, 0.05, 30), size=(40, 30)).astype(float)
+    counts[7], counts[8, :12] = 0, 0
+    counts[7, 29] = 3  # a document of rare words alone
+    docs, words = twins.doc_frame(spark, counts, 0), topic_frame(spark, random_model(2) * 0.99 + 0.01 / 30)
+    docs = docs.unionByName(spark.createDataFrame([(7, 77, 2.0), (99, 78, 1.0)], docs.schema))  # words that the model does not know
+    whole = {(r["doc_id"], r["topic"]): r["gamma"] for r in likelihood.infer_topics(docs, words, [0.3, 0.8, 0.1], 30, seed=5).collect()}
+    spark.conf.set(runtime.BROADCAST_CONF, str(12 * (runtime.row_bytes(4) + runtime.row_bytes(1))))
+    try:
+        found = likelihood.infer_topics(docs, words, [0.3, 0.8, 0.1], 30, seed=5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["doc_id"], r["topic"]): r["gamma"] for r in found.collect()}
+    finally:
+        spark.conf.unset(runtime.BROADCAST_CONF)
+    assert "FullOuter" in plan and got.keys() == whole.keys() and not any(d == 99 for d, _ in got)
+    assert all(got[x] == pytest.approx(whole[x], rel=1e-9) for x in got)

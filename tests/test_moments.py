@@ -234,3 +234,19 @@ def test_packed_third_moment_of_twelve_columns(spark):
     expect = np.einsum("abc,ai,bj,cl->ijl", twins.third_moment(counts, 2.0), w, w, w, optimize=True)
     got = moments.whitened_third_moment(docs, twins.wide(spark, w), table, 2.0)
     assert np.abs(got - expect).max() < 1e-9 * np.abs(expect).max()
+
+
+def test_frequent_terms_stay_with_their_documents_as_far_as_there_is_room(spark):
+    rng = np.random.default_rng(6)
+    counts = rng.poisson(np.linspace(2.0, 0.05, 40), size=(120, 40)).astype(float)
+    docs, table = twins.prepared(spark, counts)
+    room = 15 * (runtime.row_bytes(2) + runtime.row_bytes(1))
+    spark.conf.set(runtime.BROADCAST_CONF, str(room))
+    try:
+        written = fit.with_layout(docs, table, 2)
+        assert 10 <= written.layout.hot.count() <= 15 and written.layout.common.count() > docs.count() / 2
+        q = rng.standard_normal((40, 2))
+        got = twins.to_matrix(moments.project_second_moment(docs, twins.wide(spark, q), written, 2.5), 40)
+    finally:
+        spark.conf.unset(runtime.BROADCAST_CONF)
+    assert np.allclose(got, twins.second_moment(counts, 2.5) @ q, atol=1e-10)

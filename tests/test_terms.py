@@ -8,6 +8,7 @@ import twins
 from topicmoments import runtime
 from topicmoments.functions.words import pieces, words
 from topicmoments.operators import terms, weights
+from topicmoments.plans import job
 from topicmoments.plans.job import corpus_from_texts
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
@@ -156,3 +157,30 @@ def test_entries_of_vectors_are_never_written_out(spark):
     found = terms.vector_entries(terms.to_features(docs, 2_000_000_001), "features")
     assert {r["doc_id"]: (r["size"], r["indices"], r["values"]) for r in found.collect()} == {
         1: (2_000_000_001, [0, 3], [1.0, 2.0]), 2: (2_000_000_001, [2_000_000_000], [4.0])}
+
+
+def test_frequent_words_stay_with_their_documents_where_a_vocabulary_is_not_broadcast(spark):
+    texts = spark.createDataFrame([(d, " ".join(["common", "usual"][: 1 + d % 2] + [f"rare{chr(97 + d % 26) * 3}"] * (1 + d % 3))) for d in range(60)]
+                                  + [(None, "common lost")], "doc_id bigint, text string")
+    whole = sorted(map(tuple, corpus_from_texts(texts).docs.collect()), key=str)
+    spark.conf.set(runtime.BROADCAST_CONF, "700")
+    try:
+        docs = corpus_from_texts(texts).docs
+        assert sorted(map(tuple, docs.collect()), key=str) == whole
+        plan = terms.with_length(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(runtime.BROADCAST_CONF)
+    assert "Exchange" not in plan and "Join" not in plan  # numbered once, and placed by document
+
+
+def test_texts_are_counted_by_as_many_tasks_as_their_bytes_ask_for(spark, monkeypatch):
+    texts = spark.createDataFrame([(d, "alpha beta gamma " * 10) for d in range(100)], "doc_id bigint, text string")
+    monkeypatch.setattr(job, "PART_BYTES", 1000)
+    corpus = corpus_from_texts(texts)
+    assert corpus.docs.rdd.getNumPartitions() == 17 and corpus.n_docs == 100 and corpus.docs.count() == 300
+
+
+def test_the_most_frequent_keys_by_number(spark):
+    counts = spark.createDataFrame([(t, n) for t, n in enumerate([9, 5, 5, 2, 2, 2])], "term_id int, df bigint")
+    found = lambda most: sorted(r["term_id"] for r in runtime.most_frequent(counts, "term_id", "df", most).collect())
+    assert [found(m) for m in (0, 1, 2, 3, 5, 6)] == [[], [0], [0], [0, 1, 2], [0, 1, 2], [0, 1, 2, 3, 4, 5]]

@@ -146,7 +146,7 @@ def write_libsvm(docs: DataFrame, path: str, labels: DataFrame | None = None) ->
     """
     entry = F.concat_ws(":", (F.col("term_id") + 1).cast("string"), F.col("cnt").cast("string"))
     grouped = (docs.groupBy("doc_id")
-               .agg(F.array_sort(F.collect_list(F.struct("term_id", entry.alias("entry")))).alias("entries")))
+               .agg(F.sort_array(F.collect_list(F.struct("term_id", entry.alias("entry")))).alias("entries")))
     if labels is None:
         grouped = grouped.withColumn("label", F.col("doc_id"))
     else:
