@@ -250,3 +250,22 @@ def test_frequent_terms_stay_with_their_documents_as_far_as_there_is_room(spark)
     finally:
         spark.conf.unset(runtime.BROADCAST_CONF)
     assert np.allclose(got, twins.second_moment(counts, 2.5) @ q, atol=1e-10)
+
+
+def test_short_documents_in_a_large_vocabulary_list_their_products(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    counts = np.zeros((150, 60))
+    for row in counts:
+        row[rng.choice(60, 4, replace=False)] = rng.integers(1, 4, 4)
+    docs, table = twins.prepared(spark, counts)
+
+    def cells():
+        return {(r["i"], r["j"]): r["v"] for r in moments.pair_moment(docs, 60, block=2).collect()}
+
+    found = cells()
+    monkeypatch.setattr(moments, "_few_products", lambda docs, block: False)
+    blocks = cells()
+    assert found.keys() == blocks.keys() and all(abs(found[x] - blocks[x]) < 1e-12 for x in found)
+    monkeypatch.undo()
+    assert "MapInArrow" not in moments.pair_moment(docs, 60, block=2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in moments.pair_moment(docs, 60, block=60)._jdf.queryExecution().executedPlan().toString()
