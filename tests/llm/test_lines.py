@@ -4,7 +4,7 @@ from brute import dedupe_lines as brute_force
 from brute import documents, edits
 from pyspark.sql import functions as F
 
-from topicmoments.llm.lines import dedupe_lines, segment_probes, within_edits
+from topicmoments.llm.lines import dedupe_lines, line_table, segment_probes, within_edits
 
 RNG = random.Random(11)
 
@@ -81,3 +81,15 @@ def test_as_brute_force(spark):
 def test_no_python_in_the_plan(spark):
     plan = dedupe_lines(documents(spark, corpus()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_lines_are_keyed_once_by_characters_not_bytes(spark):
+    """The written table has every line's keys; a line within two edits shares one, whatever bytes its characters take."""
+    table = [("é" * 5 + "𝄞" + line(20), line(12)) for _ in range(40)]
+    rows = [(2 * i, a + b) for i, (a, b) in enumerate(table)] + [(2 * i + 1, edited(a + b, 2, "ab𝄞é")) for i, (a, b) in enumerate(table)]
+    rows.append((900, "no key"))
+    found = {r["id"]: r for r in line_table(documents(spark, rows), "doc_id", "text", 2, 32, 10).collect()}
+    assert set(found) == {i for i, _ in rows} and found[900]["keys"] is None
+    for i in range(len(table)):
+        a, b = found[2 * i], found[2 * i + 1]
+        assert len(a["keys"]) == len(segment_probes(2)) and set(a["keys"]) & set(b["keys"]), rows[2 * i]

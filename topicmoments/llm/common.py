@@ -99,12 +99,17 @@ def lists(values: np.ndarray | list, counts: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared work folder, so that later steps read the same rows."""
+def written(frame: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """The frame as a Parquet table in the shared work folder, so that later steps read the same rows.
+
+    With `group`, row groups take so many bytes and are read one column after the other, not at once through buffers
+    outside the heap.
+    """
     spark = frame.sparkSession
     path = work_path(spark, name)
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    own = {} if group is None else {"parquet.block.size": str(group), "parquet.hadoop.vectored.io.enabled": "false"}
+    frame.write.options(compression="zstd", **own).parquet(path)
+    return spark.read.options(**own).schema(frame.schema).parquet(path)
 
 
 def small_enough(frame: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

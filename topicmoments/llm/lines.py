@@ -20,6 +20,8 @@ WORD = r"[\p{L}\p{N}]"
 #: Letters whose numbers are compared before two lines are. An edit changes these by two in all at most.
 LETTERS = " abcdefghijklmnopqrstuvwxyz.,"
 SALT = 91
+#: Bytes of a row group of the lines' keys: a task holds one at a time, and keys do not compress.
+KEYS_GROUP = 4 << 20
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int, words: bool = False) -> DataFrame:
@@ -47,22 +49,35 @@ def segment_probes(edits: int) -> list[tuple[int, int, int]]:
             for shift in range(max(1 - i, d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1)]
 
 
-def with_keys(lines: DataFrame, edits: int) -> DataFrame:
+def with_keys(lines: DataFrame, edits: int, min_chars: int = 0) -> DataFrame:
     """Add `keys`, an array of hashes, one for each substring to look up and its place; a line of equal characters may repeat some.
+    Lines of fewer than `min_chars` characters have null.
 
-    Lengths become columns first: they are then worked out once and not in each of the keys.
+    Lengths become columns first: they are then worked out once and not in each of the keys. So do the line's characters,
+    in four bytes each: a substring is then cut out where it stands, and not counted up to from the line's beginning.
     """
     parts = edits + 1
-    lines = lines.withColumn("n", F.char_length("line"))
+    lines = lines.withColumns({"n": F.char_length("line"), "wide": F.encode("line", "UTF-32")})
     lines = lines.withColumns({f"longer{d}": (F.col("n") - d) % parts for d in range(edits + 1)})
     lines = lines.withColumns({f"base{d}": ((F.col("n") - d - F.col(f"longer{d}")) / parts).cast("int") for d in range(edits + 1)})
     # the last segments, as many as `longer`, have one character more
     lines = lines.withColumns({f"begin{d}_{i}": (i - 1) * F.col(f"base{d}") + F.greatest(F.lit(0), F.lit(i - 1 - parts) + F.col(f"longer{d}")) + 1
                                for d in range(edits + 1) for i in range(1, parts + 1)})
-    keys = [F.xxhash64(F.col("n") - d, F.lit(i), F.substr(F.col("line"), F.col(f"begin{d}_{i}") + shift,
-                                                         F.col(f"base{d}") + F.when(F.lit(i) > parts - F.col(f"longer{d}"), 1).otherwise(0)))
+    keys = [F.xxhash64(F.col("n") - d, F.lit(i), F.substr(F.col("wide"), (F.col(f"begin{d}_{i}") + (shift - 1)) * 4 + 1,
+                                                         (F.col(f"base{d}") + F.when(F.lit(i) > parts - F.col(f"longer{d}"), 1).otherwise(0)) * 4))
             for i, d, shift in segment_probes(edits)]
-    return lines.withColumn("keys", F.array(*keys))
+    return lines.withColumn("keys", F.when(F.col("n") >= min_chars, F.array(*keys)))
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, near_from: int | None = None) -> DataFrame:
+    """`line_rows` without the lines themselves, but with the keys of those that edits are looked for in (null for others).
+
+    Texts are split, and keys worked out, once: the table is written, and all later passes but that for lines that share
+    a key read it.
+    """
+    lines = line_rows(docs, id_col, text_col, min_chars, near_from is not None)
+    keyed = with_keys(lines, edits, near_from or 0) if edits else lines.withColumn("keys", F.lit(None).cast("array<bigint>"))
+    return written(keyed.select("id", "t", "pos", "h", "g", "keys"), "keyed-lines", KEYS_GROUP)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -118,13 +133,12 @@ def triples(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.split(line, "")), of)))
 
 
-def near_links(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, near_from: int | None = None) -> DataFrame:
-    """(a, b): hashes of different lines within `edits` edits, enough of them to connect all such lines."""
+def near_links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, near_from: int | None = None) -> DataFrame:
+    """(a, b): hashes of different lines within `edits` edits, enough of them to connect all such lines. `table` is the documents' `line_table`."""
     lines = line_rows(docs, id_col, text_col, min_chars, near_from is not None).select("h", "line")
     if near_from is not None:
         lines = lines.filter(F.char_length("line") >= near_from)
-    # arrays are never empty; a plain explode would have them worked out a first time to filter on that
-    keyed = with_keys(lines, edits).select("h", F.explode_outer("keys").alias("key"))
+    keyed = table.filter("keys is not null").select("h", F.explode("keys").alias("key"))
     # copies of one line count once in the least and greatest hash, and are added up before the shuffle
     shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
                      .filter("low != high").select("key"), "shared-segments")
@@ -163,13 +177,12 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, edits: int, min_char
                         hub_seen=F.struct(no_flags().alias("lacks"), no_flags().alias("adds")))
 
 
-def line_classes(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, near_from: int | None = None) -> DataFrame:
+def line_classes(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, near_from: int | None = None) -> DataFrame:
     """(h, g, n, class, first_id, near) of lines that have a copy or a near copy: how often the line
     stands, the class's number, the smallest id of a document with a line of the class, and whether the class has
-    different lines."""
-    counted = written(line_rows(docs, id_col, text_col, min_chars, near_from is not None).groupBy("h", "g")
-                      .agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "line-counts")
-    roots = components(near_links(docs, id_col, text_col, edits, min_chars, near_from)) if edits else None
+    different lines. `table` is the documents' `line_table`."""
+    counted = written(table.groupBy("h", "g").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "line-counts")
+    roots = components(near_links(docs, table, id_col, text_col, edits, min_chars, near_from)) if edits else None
     if roots is None:
         return counted.filter("n > 1").select("h", "g", "n", F.col("h").alias("class"), "first_id", F.lit(False).alias("near"))
     roots = written(roots.withColumnRenamed("id", "h"), "line-roots")
@@ -185,8 +198,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     min_chars: int = MIN_CHARS, near_from: int | None = None) -> DataFrame:
     """Documents in a struct column `row`, with their text without repeated lines: row, n_lines, n_dropped,
     n_near, kept_in, text (see `dedupe_lines`)."""
-    classes = line_classes(docs, id_col, text_col, edits, min_chars, near_from)
-    found = join_salted(line_rows(docs, id_col, text_col, min_chars, near_from is not None).select("id", "t", "pos", "h", "g"), classes, ["h", "g"], "n",
+    table = line_table(docs, id_col, text_col, edits, min_chars, near_from)
+    classes = line_classes(docs, table, id_col, text_col, edits, min_chars, near_from)
+    found = join_salted(table.select("id", "t", "pos", "h", "g"), classes, ["h", "g"], "n",
                         F.xxhash64("id", "pos"), 90).filter("class is not null")
     # a document's rows are placed once; both groupings below keep to that
     grouped = (found.repartition("id", "t").groupBy("id", "t", "class")
