@@ -3,6 +3,7 @@ import zlib
 
 from brute import documents
 
+from topicmoments.llm import toxicity
 from topicmoments.llm.toxicity import Scorer, fit, learn, score_toxicity, scores
 
 RNG = random.Random(2)
@@ -56,3 +57,12 @@ def test_without_labels_or_rows(spark):
     assert {r["score"] for r in score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert score_toxicity(docs.limit(0), labels).count() == 0
     assert fit(["a b"], []) is None and fit([None, ""], ["a"]) is None
+
+
+def test_repeated_words_are_one_object_among_the_samples(monkeypatch):
+    """The driver holds a word that the dictionaries are trained on once, however often it counts."""
+    seen, own = [], toxicity.trained
+    monkeypatch.setattr(toxicity, "trained", lambda size, samples: seen.append(samples) or own(size, samples))
+    assert fit([t for i, t in ROWS[:700] if i % 7 == 0], [t for i, t in ROWS[:700] if i % 7]) is not None
+    for samples in seen:
+        assert len({id(s) for s in samples}) == len(set(samples)) < len(samples)

@@ -147,8 +147,9 @@ def fit(toxic: Sequence[str | None], ordinary: Sequence[str | None]) -> Model |
     if not typical:
         return None
     rng = np.random.default_rng(0)
-    samples = [spelled(w) for w in typical for _ in range(bad[w])]
-    plain = [spelled(w) for w, n in sorted(good.items()) for _ in range(min(n, 20)) if n > 1]
+    # a word that comes several times is one object in the lists
+    samples = [s for w in typical for s in [spelled(w)] * bad[w]]
+    plain = [s for w, n in sorted(good.items()) if n > 1 for s in [spelled(w)] * min(n, 20)]
     other = trained(ORDINARY_SIZE, [plain[i] for i in rng.permutation(len(plain))[:PLAIN_WORDS]])
     trials = [windows_in(t) for t in [*toxic[:TRIAL_ROWS], *ordinary[:TRIAL_ROWS]]]
     words = list(set().union(*trials))
