@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import twins
 from topicmoments import runtime
-from topicmoments.functions.words import pieces, words
+from topicmoments.functions.words import PIECE, PIECE_FIRST, pieces, words
 from topicmoments.operators import terms, weights
 from topicmoments.plans import job
 from topicmoments.plans.job import corpus_from_texts
@@ -184,3 +184,13 @@ def test_the_most_frequent_keys_by_number(spark):
     counts = spark.createDataFrame([(t, n) for t, n in enumerate([9, 5, 5, 2, 2, 2])], "term_id int, df bigint")
     found = lambda most: sorted(r["term_id"] for r in runtime.most_frequent(counts, "term_id", "df", most).collect())
     assert [found(m) for m in (0, 1, 2, 3, 5, 6)] == [[], [0], [0], [0, 1, 2], [0, 1, 2], [0, 1, 2, 3, 4, 5]]
+
+
+def test_plain_words_first_give_the_pieces_of_the_whole_pattern(spark):
+    """Letters before blanks and signs are cut without the long pattern, and as it cuts them, whatever stands beside them."""
+    signs = ["a", "bé", "Zß", "×", "÷", " ", "\n", "\t", ",", ";", ".", "(", ")", "'", "-", "_", "7", "­", "‍", "́", "।", "・", "か", "語", "ж", "𝄞", "𐐀"]
+    rng = random.Random(4)
+    rows = [("".join(rng.choice(signs) for _ in range(rng.randrange(0, 14))),) for _ in range(6000)] + [("",), (None,), ("abc",), ("abc.",), ("‍abc def",)]
+    first, whole = pieces(F.col("text")), F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
+    found = spark.createDataFrame(rows, "text string").select("text", first.alias("first"), whole.alias("whole"), F.lit(PIECE_FIRST).alias("pattern"))
+    assert found.filter(~F.col("first").eqNullSafe(F.col("whole"))).limit(3).collect() == []
