@@ -236,3 +236,21 @@ def test_inference_shares_the_frequent_words_where_all_do_not_fit(spark):
         spark.conf.unset(runtime.BROADCAST_CONF)
     assert "FullOuter" in plan and got.keys() == whole.keys() and not any(d == 99 for d, _ in got)
     assert all(got[x] == pytest.approx(whole[x], rel=1e-9) for x in got)
+
+
+def test_multinomial_shuffles_only_rows_of_rare_terms(spark):
+    """Where probabilities do not fit a broadcast, those of frequent terms are broadcast all the same."""
+    rng = np.random.default_rng(6)
+    counts = rng.poisson(np.linspace(3.0, 0.02, 40), size=(30, 40)).astype(float)
+    docs = twins.doc_frame(spark, counts, 0).unionByName(spark.createDataFrame([(77, 39, 2.0), (78, 50, 1.0)], twins.SCHEMA))
+    p = spark.createDataFrame([(t, (t + 1) / 820) for t in range(40) if t != 3], "term_id int, p double")
+    small = sorted(map(tuple, likelihood.multinomial_log_likelihood(docs, p).collect()))
+    spark.conf.set(runtime.BROADCAST_CONF, str(12 * 2 * runtime.row_bytes(3)))
+    try:
+        found = likelihood.multinomial_log_likelihood(docs, p)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        large = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset(runtime.BROADCAST_CONF)
+    assert "Union" in plan and [r[0] for r in small] == [r[0] for r in large]
+    assert np.allclose([r[1] for r in small], [r[1] for r in large]) and -math.inf in [r[1] for r in small]

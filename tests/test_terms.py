@@ -194,3 +194,30 @@ def test_plain_words_first_give_the_pieces_of_the_whole_pattern(spark):
     first, whole = pieces(F.col("text")), F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
     found = spark.createDataFrame(rows, "text string").select("text", first.alias("first"), whole.alias("whole"), F.lit(PIECE_FIRST).alias("pattern"))
     assert found.filter(~F.col("first").eqNullSafe(F.col("whole"))).limit(3).collect() == []
+
+
+def test_parts_of_a_corpus_are_not_joined_by_adaptive_execution(spark, monkeypatch):
+    """More tasks than cores and fewer than shuffle partitions, which adaptive execution would join to parts of 64 MiB."""
+    texts = spark.createDataFrame([(d, "alpha beta gamma " * 10) for d in range(100)], "doc_id bigint, text string")
+    monkeypatch.setattr(job, "PART_BYTES", 1000)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        docs = corpus_from_texts(texts).docs
+        assert docs.rdd.getNumPartitions() == 17 and docs.count() == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_saved_counts_are_placed_in_parts_that_fit_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, t, 1.0) for d in range(60) for t in range(5)] + [(None, 1, 2.0), (3, 1, 1.0)], "doc_id bigint, term_id int, cnt double")
+    assert job.placed(docs) is docs
+    monkeypatch.setattr(job, "PART_ROWS", 10)
+    found = job.placed(docs)
+    assert found.rdd.getNumPartitions() == 31 and sorted(map(str, found.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_listed_documents_are_the_same_rows(spark):
+    rows = [(1, "a", 2.0), (1, "b", 1.0), (None, "c", 1.0), (2, "a", 3.0), (None, "d", 5.0)]
+    counted = spark.createDataFrame(rows, "doc_id bigint, term string, cnt double")
+    back = terms.unlisted(terms.listed(counted))
+    assert back.schema.simpleString() == counted.schema.simpleString() and sorted(map(str, back.collect())) == sorted(map(str, counted.collect()))
