@@ -269,3 +269,27 @@ def test_short_documents_in_a_large_vocabulary_list_their_products(spark, monkey
     monkeypatch.undo()
     assert "MapInArrow" not in moments.pair_moment(docs, 60, block=2)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in moments.pair_moment(docs, 60, block=60)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held, products", [(25, 30), (400, 1 << 20)])
+def test_rows_are_shuffled_once_for_each_even_block_whatever_the_vocabulary(spark, monkeypatch, held, products):
+    for name, value in (("HELD", held), ("LEAST", 100), ("PRODUCTS", products), ("BLOCK_TERMS", 16)):
+        monkeypatch.setattr(moments, name, value)
+    monkeypatch.setattr(moments, "_few_products", lambda docs, block: False)
+    rng = np.random.default_rng(21)
+    size = 600
+    counts = np.zeros((60, size))
+    for row in counts:
+        row[rng.choice(size, 25, replace=False)] = rng.integers(1, 4, 25)
+    counts[:, 7] = 2  # a block of more rows than a task holds, dealt among tasks
+    docs, table = twins.prepared(spark, counts)
+    group, n_blocks = moments.even_blocks(docs)
+    pairs = moments.block_pairs(docs, group, n_blocks).toPandas()
+    sent = sum(len(t) for side in ("xt", "yt") for t in pairs[side] if t is not None)
+    # blocks of a fixed number of terms, one for a word, would send each row with every other word
+    assert sent <= docs.count() * (n_blocks + 1) and n_blocks <= max(-(-docs.count() // held), 7)
+    found = {(r["i"], r["j"]): r["v"] for r in moments.pair_moment(docs, size).collect()}
+    expect = len(counts) * twins.pair_moment(counts)
+    i, j = np.nonzero(np.triu(expect))
+    assert found.keys() == set(zip(i.tolist(), j.tolist()))
+    assert all(abs(v - expect[cell]) < 1e-12 for cell, v in found.items())
