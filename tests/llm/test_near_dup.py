@@ -5,6 +5,7 @@ import pyarrow as pa
 from brute import documents, near_duplicates as brute_force, shingle_set
 from pyspark.sql import functions as F
 
+from topicmoments.llm import common
 from topicmoments.llm.common import join_salted
 from topicmoments.llm.components import components
 from topicmoments.llm.near_dup import bands_for, min_max, near_duplicates, shingle_sets
@@ -82,3 +83,27 @@ def test_salted_join_equals_the_broadcast_one(spark):
     table = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k != 7").withColumn("v", F.col("k") * 2)
     ways = [sorted(map(tuple, join_salted(rows, table, ["k"], "n", F.col("id"), 100, limit).select("id", "k", "v").collect()), key=str) for limit in (0, 1 << 20)]
     assert ways[0] == ways[1] and len(ways[0]) == 2000
+
+
+def test_tasks_give_back_memory_after_each_batch(monkeypatch):
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(len(seen))
+
+    seen = []
+
+    def run(batches):
+        for batch in batches:
+            seen.append(batch)
+            yield batch
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    assert list(common.giving_back(run)(iter([1, 2, 3]))) == [1, 2, 3]
+    assert given == [1, 2, 3, 3]
+    given.clear()
+    closed = common.giving_back(run)(iter([1, 2]))
+    next(closed)
+    closed.close()  # as a task that is ended early
+    assert given

@@ -32,6 +32,26 @@ def pieces(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES) -> Iter
         start = stop
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function over batches, giving memory of batches that are done back to the system.
+
+    Arrow keeps what it freed, and a Python worker lives on after its task, so later stages would count it too.
+    """
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    def giving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(freed(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return giving
+
+
 def scan_texts(docs: DataFrame, text_col: str, keep: Sequence[str], results: str,
                start: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Run a function over whole texts: a struct column `row` with the `keep` columns, then `results`.
@@ -55,7 +75,7 @@ def scan_texts(docs: DataFrame, text_col: str, keep: Sequence[str], results: str
             for piece in pieces(batch, 1):
                 yield pa.RecordBatch.from_arrays([piece.column(0), *work(piece.column(1))], names)
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(giving_back(run), schema)
 
 
 class Remembered(dict):

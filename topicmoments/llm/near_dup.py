@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicmoments.llm.buckets import bucket_links, fact, flag_count, flags, no_flags
-from topicmoments.llm.common import join_measured, join_salted, lists, pieces, text_bytes, written
+from topicmoments.llm.common import giving_back, join_measured, join_salted, lists, pieces, text_bytes, written
 from topicmoments.llm.components import components
 from topicmoments.llm.words import NOT_BLANK, SEED, WordReader, mixed, run_hashes
 
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), keys],
                                                  ["id", "n", "p1", "p2", "keys"])
 
-    return packed.mapInArrow(run, "id long, n long, p1 long, p2 long, keys array<long>")
+    return packed.mapInArrow(giving_back(run), "id long, n long, p1 long, p2 long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -111,7 +111,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)),
                                                   lists(values.view(np.int64), counts, pa.int64())], ["id", "p1", "p2", "shingles"])
 
-    return packed.mapInArrow(run, "id long, p1 long, p2 long, shingles array<long>")
+    return packed.mapInArrow(giving_back(run), "id long, p1 long, p2 long, shingles array<long>")
 
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
