@@ -3,6 +3,7 @@ import glob
 import numpy as np
 import pytest
 
+import twins
 from topicmoments.operators import moments
 from topicmoments.plans import fit, job
 from topicmoments.runtime import checkpoint_root, let_go
@@ -53,6 +54,17 @@ def test_closed_layouts_leave_no_documents_by_term_behind(spark, counted, nothin
     docs.unpersist()
 
 
+def test_lanczos_steps_leave_no_basis_behind(spark):
+    counts = np.random.default_rng(9).integers(1, 6, size=(40, 5)).astype(float)
+    docs, table = twins.prepared(spark, counts)
+    names = ("basis", "image", "moment")
+    before = [tables(spark, n) for n in names]
+    vectors, values = moments.top_eigen_exact(docs, table, 5, 2, 35.0)
+    assert [tables(spark, n) for n in names] == before
+    known = np.linalg.eigvalsh(twins.second_moment(counts, 35.0))[::-1][:2]
+    assert vectors.count() == 5 and np.allclose(values, known, rtol=1e-8)
+
+
 def test_counted_words_go_once_documents_are_written(spark, nothing_broadcast, monkeypatch):
     gone = []
     monkeypatch.setattr(job, "let_go", lambda *tables: (gone.extend(t.columns for t in tables), let_go(*tables)))
